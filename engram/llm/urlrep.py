@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: (verdict, rule), a rule being a host and a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -66,7 +68,8 @@ def host_reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
     """{host, domain, suffix, all}: alpha, beta and mean of each key, from rows (host, good 0/1); null outcomes count not."""
     domain, suffix = domain_columns(F.col("host"))
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    # a row for each host, which four levels read: written once, so that the pages and labels are joined once
+    hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     # a flat Beta(1, 1) stands above all
