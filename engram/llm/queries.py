@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, media, sharding, urlrep
+from engram.llm import bpe, fingerprint, media, sharding, urlrep
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,10 @@ def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op9_parse_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(bpe.bpe_codec(docs, tokenizer_path("byte_bpe_50k.json")))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_avi": op1_media_avi,
     "op6_url_reputation": op6_url_reputation,
     "op8_shard_lookup": op8_shard_lookup,
+    "op9_parse_fingerprint": op9_parse_fingerprint,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 ORACLE_SQL: dict[str, str] = {}
