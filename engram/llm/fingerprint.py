@@ -83,7 +83,9 @@ def parse_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
         label = _TOSS[(pair << np.uint16(7)) | label]
     cut = np.empty(label.size, bool)
     cut[1:] = label[1:] > label[:-1]
-    cut[:-1] &= label[:-1] > label[1:]
+    falls = label[:-1] > label[1:]
+    falls[top[1:] - 1] = True  # a text's end
+    cut[:-1] &= falls
     cut[top] = True
     cut = np.flatnonzero(cut)
     place = np.arange(label.size, dtype=np.int32) - np.repeat(cut.astype(np.int32), np.diff(cut, append=label.size))
