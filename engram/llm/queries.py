@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, fingerprint, media, sharding, urlrep
+from engram.llm import bpe, fingerprint, media, quality, sharding, toxicity, urlrep
+from engram.llm.common import crc_mod
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,12 +25,25 @@ def op1_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.classify(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.size("matches").alias("n_matches"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = urlrep.page_outcomes(pages, table(spark, sf_dir, "labels"))
     return urlrep.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 9).alias("bound"))
 
 
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
 
@@ -48,7 +62,9 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_avi": op1_media_avi,
+    "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_url_reputation": op6_url_reputation,
+    "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_shard_lookup": op8_shard_lookup,
     "op9_parse_fingerprint": op9_parse_fingerprint,
     "op10_bpe_automaton": op10_bpe_automaton,
