@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, fingerprint, langid, media, quality, sharding, toxicity, urlrep
+from engram.llm import bpe, fingerprint, langid, media, packing, quality, sharding, toxicity, urlrep
 from engram.llm.common import crc_mod
 
 
@@ -25,6 +25,11 @@ def op1_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op2_packing_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -68,6 +73,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_avi": op1_media_avi,
+    "op2_packing_drr": op2_packing_drr,
     "op3_language_crf": op3_language_crf,
     "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_url_reputation": op6_url_reputation,
