@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, fingerprint, langid, media, packing, quality, sharding, toxicity, urlrep
+from engram.llm import bpe, fingerprint, langid, media, neardup, packing, quality, sharding, toxicity, urlrep
 from engram.llm.common import crc_mod
 
 
@@ -36,6 +36,11 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, width=3, percent=85)
+
+
 def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_avi": op1_media_avi,
     "op2_packing_drr": op2_packing_drr,
     "op3_language_crf": op3_language_crf,
+    "op4_chosen_path": op4_chosen_path,
     "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_url_reputation": op6_url_reputation,
     "op7_quality_nbsvm": op7_quality_nbsvm,
