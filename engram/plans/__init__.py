@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
+    from engram.plans import log  # noqa: F401
