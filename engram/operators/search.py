@@ -33,6 +33,10 @@ def words_of(query: str, least: int = 1) -> list[str]:
     return [w for w in cleaned.split() if len(w) >= least]
 
 
+def _count(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
     """(term, id, tf)."""
     exploded = docs.select(id_col, F.explode(tx.tokens(F.col(text_col), least)).alias("term"))
@@ -63,7 +67,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     names = sorted(terms)
     words = tx.tokens(F.col(text_col), least)
     counted = docs.withColumn("_w", words).withColumn("_len", F.size("_w"))
-    tf = [F.size(F.filter("_w", lambda x, t=t: x == t)) for t in names]
+    tf = [_count(F.col("_w"), t) for t in names]
     counted = counted.select(*docs.columns, "_len", *(c.alias(f"_tf{i}") for i, c in enumerate(tf)))
     figures = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(names))))
     hits = counted.filter(" or ".join(f"_tf{i} > 0" for i in range(len(names))))
@@ -103,7 +107,7 @@ def and_search(docs: DataFrame, query: str, fields: dict[str, float], id_col: st
     figures = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.array_contains(bag, t)).alias(f"_df{i}") for i, t in enumerate(terms)))
     hits = rows.filter(has).crossJoin(F.broadcast(figures))  # one row
     for i, t in enumerate(terms):
-        tf = sum((F.size(F.filter(tx.tokens(F.coalesce(F.col(f), F.lit(""))), lambda x, t=t: x == t)) * w for f, w in fields.items()), F.lit(0.0))
+        tf = sum((_count(tx.tokens(F.coalesce(F.col(f), F.lit(""))), t) * w for f, w in fields.items()), F.lit(0.0))
         idf = F.log(1 + (n - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         score = score + idf * tf * 2.2 / (tf + 1.2 * (1 - B + B * length / F.col("_avg")))
     return hits.select(id_col, score.alias("score"))

@@ -41,7 +41,11 @@ def hashed(docs: DataFrame, id_col: str, text_col: str, dims: int = 768, grams:
     """
     w = F.col("w")
     words = docs.select(id_col, tx.tokens(F.col(text_col)).alias("w"))
-    parts = [F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), "_")) for n in range(1, grams + 1)]
+
+    def run(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), "_"))
+
+    parts = [run(n) for n in range(1, grams + 1)]
     none = F.array().cast("array<string>")
     all_grams = F.concat(*(F.when(F.size(w) >= n, p).otherwise(none) for n, p in enumerate(parts, 1)))
     each = words.select(id_col, F.explode(all_grams).alias("g"))
