@@ -7,9 +7,11 @@ to level with s / threshold nodes on average, and unlike ones part quickly. Node
 branch on, and independent trees are repeated until the recall that is aimed at is reached: a pair at the threshold
 itself survives four levels of one tree with probability 0.64, ten trees miss it once in 25,000.
 
-Nodes that are still large at the last level, groups of many near copies, are compared with a pivot first; once the links
-found so far have been joined into components, the members that stand outside the node's main component are compared
-with all others. Every comparison is a 64-bit sketch first, and each link is confirmed on the full shingle sets.
+A large node may hold a group of near copies, which no branching parts. Its consensus sketch (the majority of each bit)
+tells: members near it are compared with a pivot, the member nearest to it, and the most central ones branch no further.
+Once the links found so far have been joined into components, the members of a pivot's group that are outside the pivot's
+component are compared with the whole group, in blocks, by bitmaps over the pivot's shingles, which bound the similarity
+from above. Other comparisons are a 64-bit sketch first. Each link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from engram.llm.components import components
 from engram.session import materialize
 
 PLACES, TREES, DEPTH, SMALL, BROADCAST_ROWS = 64, 10, 6, 40, 1_000_000
+#: Bits from the consensus within which a member joins a pivot's group, and within which it branches no further.
+NEAR, CENTRAL = 20, 10
+#: Members of a block on either side of a comparison; bits of a member's bitmap of shingles that the pivot lacks.
+INSIDE, OUTSIDE, NEW_BITS = 1024, 256, 256
 _RNG = np.random.default_rng(20240501)
 _ODD = _RNG.integers(1, 1 << 62, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, PLACES, np.uint64)
@@ -167,12 +173,8 @@ def _broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union.
-
-    Only the documents that stand for a class of some pair are read again; each pair meets its sets by joins on a and b.
-    """
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+def full_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(k, names) of the classes in pairs (a, b), from the documents that stand for them, which are read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "doc_id"), "k")
     wanted = _broadcast_if_small(materialize(wanted, "wanted").select("doc_id").distinct())
 
@@ -182,7 +184,11 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "names"])
 
     sets = arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), run, "k bigint, names binary")
-    sets = materialize(sets.groupBy("k").agg(F.min("names").alias("names")), "sets")
+    return materialize(sets.groupBy("k").agg(F.min("names").alias("names")), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left, right = sets.select(F.col("k").alias("a"), F.col("names").alias("x")), sets.select(F.col("k").alias("b"), F.col("names").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +207,83 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
+def consensus(big: DataFrame) -> DataFrame:
+    """(node, k, bits, far, pivot): members of large nodes with their distance from the consensus and the pivot."""
+    ones = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1")).alias(f"b{i}") for i in range(PLACES)]
+    votes = big.groupBy("node").agg(F.count("*").alias("n"), *ones)
+    word = F.lit(0).cast("bigint")
+    for i in range(PLACES):
+        word = word.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    middle = votes.select("node", word.alias("middle"))
+    far = materialize(big.join(middle, "node").select("node", "k", "bits", F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("far")), "far")
+    pivots = far.groupBy("node").agg(F.min(F.struct("far", "k")).alias("p")).select("node", F.col("p.k").alias("pivot"))
+    return far.join(pivots, "node")
+
+
+def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a pivot's group (pivot, k, root, main) that may be links and lie in different components.
+
+    a is outside the pivot's component. Groups whose members are all inside give nothing. A member is a bitmap of the
+    pivot's shingles that it has, and one of hashes of those that the pivot lacks. Blocks of a bounded number of members
+    meet each other, so a group of any size is spread over tasks, and only pairs that pass the bound leave them.
+    """
+    split = groups.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(F.col("root") != F.col("main")).alias("outside")).filter("outside > 0")
+    rows = groups.join(split, "pivot").join(sets, "k")
+    rows = rows.join(sets.select(F.col("k").alias("pivot"), F.col("names").alias("base")), "pivot")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "names"):
+            maps, news, size, own = [], [], [], []
+            for x, base in zip(b.column("names").to_pylist(), b.column("base").to_pylist(), strict=True):
+                x, base = np.frombuffer(x, np.uint64), np.frombuffer(base, np.uint64)
+                at = np.minimum(np.searchsorted(base, x), base.size - 1)
+                hit = base[at] == x
+                word = np.zeros(-(-base.size // 64) * 64, np.uint8)
+                word[at[hit]] = 1
+                new = np.zeros(NEW_BITS, np.uint8)
+                new[(x[~hit] % np.uint64(NEW_BITS)).astype(np.int64)] = 1
+                maps.append(np.packbits(word).tobytes())
+                news.append(np.packbits(new).tobytes())
+                size.append(x.size)
+                own.append(int((~hit).sum()))
+            keep = [b.column(c) for c in ("pivot", "k", "root", "main", "size", "outside")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(maps, pa.binary()), pa.array(news, pa.binary()), pa.array(size, pa.int64()), pa.array(own, pa.int64())], names=["pivot", "k", "root", "main", "size", "outside", "map", "new", "n", "own"])
+
+    rows = rows.select("pivot", "k", "root", "main", "size", "outside", "names", "base")
+    coded = materialize(arrow_map(rows, encode, "pivot bigint, k bigint, root bigint, main bigint, size bigint, outside bigint, map binary, new binary, n bigint, own bigint"), "coded")
+    item = F.struct("k", "root", "map", "new", "n", "own")
+
+    def blocks(df: DataFrame, total: str, most: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("k", F.lit(name)), F.ceil(F.col(total) / most)).alias("block")
+        return df.groupBy("pivot", block).agg(F.collect_list(item).alias(name)).drop("block")
+
+    met = blocks(coded, "size", INSIDE, "xs").join(blocks(coded.filter("root <> main"), "outside", OUTSIDE, "ys"), "pivot")
+
+    def unpack(part: pa.ListArray) -> tuple:
+        rows = part.to_pylist()
+        words = lambda f: np.stack([np.frombuffer(r[f], np.uint64) for r in rows])
+        return words("map"), words("new"), *(np.array([r[f] for r in rows], np.int64) for f in ("k", "root", "n", "own"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                xm, xn, xk, xr, xs, xo = unpack(b.column("xs")[i].values)
+                ym, yn, yk, yr, ys, yo = unpack(b.column("ys")[i].values)
+                lost = yo - np.bitwise_count(yn).sum(axis=1)
+                a, c = [], []
+                for j in range(yk.size):
+                    base = np.bitwise_count(xm & ym[j]).sum(axis=1, dtype=np.int64)
+                    new = np.bitwise_count(xn & yn[j]).sum(axis=1, dtype=np.int64) + lost[j]
+                    most = base + np.minimum(new, np.minimum(xo, yo[j]))
+                    ok = (100 * most >= percent * (xs + ys[j] - most)) & (xr != yr[j])
+                    a.append(np.full(int(ok.sum()), yk[j], np.int64))
+                    c.append(xk[ok])
+                a, c = np.concatenate(a), np.concatenate(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+
+    return arrow_map(met.select("xs", "ys"), compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -215,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     classes = every.filter("k is not null").groupBy("k").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("k", "r.doc_id", "r.sig")
     classes = materialize(classes, "classes")
 
-    small, level, big = [], branch(classes.select("k", "sig"), threshold, trees), None
+    small, stars, level = [], [], branch(classes.select("k", "sig"), threshold, trees)
     for depth in range(1, DEPTH + 1):
         level = materialize(level, f"level{depth}")
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
@@ -225,33 +308,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         big = materialize(rows.filter(F.col("size") > SMALL).select("node", "k", "bits"), "big")
         if big.isEmpty():
             break
+        big = materialize(consensus(big), "middle")
+        # at the last level all members are compared, however far they are from each other
+        stars.append(big.filter(F.col("far") <= (NEAR if depth < DEPTH else PLACES)).select("pivot", "k").distinct())
         if depth < DEPTH:
-            level = branch(big.join(classes.select("k", "sig"), "k").select("node", "k", "sig"), threshold)
+            on = big.filter(F.col("far") > CENTRAL).select("node", "k")
+            level = branch(on.join(classes.select("k", "sig"), "k").select("node", "k", "sig"), threshold)
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
 
-    pairs = small[0]
-    for more in small[1:]:
-        pairs = pairs.unionByName(more)
     # a pair that ends a star in some node is checked first
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= differ
-    pivots = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "k").alias("h"), "k", "bits")).alias("p"))
-    pivots = pivots.select("node", F.col("p.k").alias("k2"), F.col("p.bits").alias("bits2"))
-    stars = big.join(pivots, "node").filter(close & (F.col("k") != F.col("k2"))).select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-    first = confirm(pairs.filter("star").select("a", "b").unionByName(stars), classes, docs, width, percent)
+    pairs = materialize(union(small).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    groups = materialize(union(stars).distinct(), "groups") if stars else docs.sparkSession.createDataFrame([], "pivot bigint, k bigint")
+    spokes = groups.filter("pivot <> k").select(F.least("pivot", "k").alias("a"), F.greatest("pivot", "k").alias("b"))
+    every_pair = materialize(pairs.select("a", "b").unionByName(spokes).distinct(), "every_pair")
+    sets = full_sets(every_pair, classes, docs, width)
+    first = confirm(pairs.filter("star").select("a", "b").unionByName(spokes).distinct(), sets, percent)
     first = materialize(first, "links")
     found = materialize(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     roots = _broadcast_if_small(found)
     root_of = lambda df, key, name: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
     rest = root_of(root_of(pairs.filter("not star"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-    inside = materialize(root_of(big, "k", "root"), "inside")
-    share = inside.groupBy("node", "root").agg(F.count("*").alias("c"))
-    main = share.groupBy("node").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    apart = inside.join(main.select("node", F.col("m.root").alias("main")), "node").filter("root <> main")
-    apart = apart.select("node", F.col("k").alias("k2"), F.col("bits").alias("bits2"), F.col("root").alias("root2"))
-    cross = inside.join(apart, (inside["node"] == apart["node"]) & (F.col("root") != F.col("root2")) & close)
-    cross = cross.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-    second = confirm(rest.unionByName(cross), classes, docs, width, percent)
+    apart = group_pairs(root_of(root_of(groups, "k", "root"), "pivot", "main"), sets, percent)
+    second = confirm(materialize(rest.unionByName(apart).distinct(), "rest"), sets, percent)
     # components are joined by the new links alone: an end stands for its root
     joined = root_of(root_of(second, "a", "ra"), "b", "rb").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
     upper = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
