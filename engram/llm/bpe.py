@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import arrow_map, slices
+from engram.llm.common import arrow_map, kept, slices
 
 #: Fixed values of the byte-level pre-tokenizer: its split pattern, and the printable code points that stand for bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,16 +189,9 @@ class ByteBpe:
         return b"".join(map(self.emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODEC: dict[int, ByteBpe] = {}
-
-
 def codec(spec: str) -> ByteBpe:
     """The codec of a tokenizer file's text; a worker builds it once."""
-    key = hash(spec)
-    if key not in _CODEC:
-        _CODEC.clear()
-        _CODEC[key] = ByteBpe.from_json(spec)
-    return _CODEC[key]
+    return kept(f"{__name__}:{hash(spec)}", lambda: ByteBpe.from_json(spec))
 
 
 def bpe_codec(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

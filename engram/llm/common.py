@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,8 +31,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors; a task starts with no other operator's tables in its worker."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    own = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(own)  # by name: what a nested function holds itself reaches the worker as a copy
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:
@@ -42,3 +50,25 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most ``rows`` rows, those of the smallest hash of ``by``; the same rows whatever the partitioning."""
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object] | None = None) -> object:
+    """The table ``name`` of this worker, made on first use. A worker keeps the tables of one operator at a time, so those
+    of a pipeline's stages don't add up; without ``make`` it keeps none."""
+    if name not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        if make is None:
+            return None
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def enter(module: str) -> None:
+    """Drop the tables of operators of other modules."""
+    if _KEPT and not any(k.startswith(f"{module}:") for k in _KEPT):
+        kept("")

@@ -24,7 +24,7 @@ from engram.llm.common import arrow_map, crc_mod, slices
 #: Documents a language that a fit takes at most, languages at most (those of most documents), hashed features.
 SAMPLE, LANGUAGES, SIZE = 200, 64, 1 << 17
 SEQUENCES, LENGTH, RUN, BATCH, EPOCHS, RATE, RIDGE = 3000, 48, 12, 250, 6, 0.15, 1e-6
-SLICE = 12 << 20
+SLICE = 6 << 20
 WORD = re.compile(r"[^\W\d_]+")
 KINDS = 9
 
@@ -242,9 +242,6 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = SA
     return fit([(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang, r.text)) if r.lang in languages])
 
 
-_TAGGER: list[tuple[int, Tagger]] = []
-
-
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1).
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import arrow_map, bounded_sample, crc_mod, slices
+from engram.llm.common import arrow_map, bounded_sample, crc_mod, kept, slices
 
 #: Documents of each class that a fit takes at most; those of the smallest hash of their id.
 SAMPLE = 4000
@@ -180,13 +180,8 @@ def sample_of(docs: DataFrame, marks: DataFrame, rows: int) -> tuple[DataFrame,
     return texts.join(F.broadcast(picked), "doc_id"), share  # picked: 2 * rows ids at most
 
 
-_FEATURES: list[Features] = []
-
-
 def _features() -> Features:
-    if not _FEATURES:
-        _FEATURES.append(Features())
-    return _FEATURES[0]
+    return kept(f"{__name__}:features", Features)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = SAMPLE) -> dict:
