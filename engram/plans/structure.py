@@ -73,7 +73,8 @@ def severity_summary(spark, sf):
 
 
 _SYM = _FIND + """, s AS (SELECT 'src/file' || (p_partkey % 50 + 1) || '.ts' AS file_path, p_partkey AS symbol_id, p_size % 7 AS a, p_size % 7 + p_partkey % 5 AS b FROM part),
-  att AS (SELECT l_orderkey, start_line, f.file_path, severity, l_partkey, (SELECT min_by(symbol_id, (b - a, symbol_id)) FROM s WHERE s.file_path = f.file_path AND start_line BETWEEN a AND b) AS symbol_id FROM f)
+  best AS (SELECT l_orderkey, start_line, min_by(symbol_id, (b - a, symbol_id)) AS symbol_id FROM f JOIN s ON s.file_path = f.file_path AND start_line BETWEEN a AND b GROUP BY 1, 2),
+  att AS (SELECT f.l_orderkey, f.start_line, f.file_path, severity, l_partkey, symbol_id FROM f LEFT JOIN best USING (l_orderkey, start_line))
 """
 
 
