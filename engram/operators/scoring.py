@@ -13,7 +13,7 @@ from engram.functions import text as tx
 STABILITY_DAYS = {"decision": 180, "error": 90, "task": 30, "fact": 30, "observation": 3, "progress": 7, "note": 14, "knowledge_entry": 60}
 PRIORITY = {"high": 1.5, "normal": 1.0, "low": 0.5}
 CATEGORY = {"decision": 1.3, "error": 1.2, "task": 1.0, "warning": 1.0, "fact": 0.9, "observation": 0.8, "progress": 0.8, "note": 0.7}
-DECAY, FACTOR, DEFAULT_STABILITY = -0.5, 19 / 81, 30
+DECAY, FACTOR, DEFAULT_STABILITY, UNKNOWN_CATEGORY = -0.5, 19 / 81, 30, 0.7
 EVIDENCE = {"decision": ["rationale"], "error": ["source"], "fact": ["source"], "knowledge_entry": ["source"]}
 
 
@@ -24,19 +24,21 @@ def lookup(values: dict, key: Column, default: float) -> Column:
 
 def relevance(priority: Column, category: Column, accesses: Column, days: Column) -> Column:
     """Weights times access boost times power-law retention times a recency boost that fades over a week."""
-    weight = lookup(PRIORITY, priority, 1.0) * lookup(CATEGORY, category, 1.0)
-    boost = F.least(1 + F.log2(1.0 + accesses) * 0.1, F.lit(2.0))
+    weight = lookup(PRIORITY, priority, 1.0) * lookup(CATEGORY, category, UNKNOWN_CATEGORY)
+    boost = F.when(accesses > 0, F.least(1 + F.log2(accesses.cast("double")) * 0.1, F.lit(2.0))).otherwise(1.0)
     return weight * boost * retention(category, accesses, days)
 
 
 def retention(category: Column, accesses: Column, days: Column) -> Column:
+    """Of a memory last read ``days`` ago; one never read hasn't decayed."""
     stability = lookup(STABILITY_DAYS, category, DEFAULT_STABILITY)
+    days = F.greatest(F.coalesce(days, F.lit(0.0)), F.lit(0.0))
     kept = F.pow(1 + F.lit(FACTOR) * days / stability, F.lit(DECAY))
     return kept * (1 + 0.3 * F.log(1.0 + accesses) * F.exp(-days * 24 / 168))
 
 
 def initial(priority: Column, category: Column) -> Column:
-    return F.least(lookup(PRIORITY, priority, 1.0) * lookup(CATEGORY, category, 1.0), F.lit(2.0))
+    return F.least(lookup(PRIORITY, priority, 1.0) * lookup(CATEGORY, category, UNKNOWN_CATEGORY), F.lit(2.0))
 
 
 def temporal_boost(score: Column, age_days: Column) -> Column:

@@ -207,8 +207,8 @@ _CATS = list(sc.CATEGORY)
 _CASE = lambda values, key, default: "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in values.items()) + f" ELSE {float(default)}::DOUBLE END"
 _MEM_SQL = f"""WITH m AS (SELECT user_id AS memory_id, count(*) FILTER (WHERE event_type = 'view') AS accesses, (1709251200000 - max(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'view')) / 86400000.0::DOUBLE AS days,
   ['high', 'normal', 'low'][user_id % 3 + 1] AS priority, [{", ".join(f"'{c}'" for c in _CATS)}][user_id % {len(_CATS)} + 1] AS category FROM events GROUP BY user_id),
-  r AS (SELECT *, {_CASE(sc.PRIORITY, "priority", 1)} * {_CASE(sc.CATEGORY, "category", 1)} * least(1 + log2(1.0 + accesses) * 0.1, 2.0)
-  * pow(1 + (19.0::DOUBLE / 81) * days / {_CASE(sc.STABILITY_DAYS, "category", 30)}, -0.5) * (1 + 0.3 * ln(1.0 + accesses) * exp(-days * 24 / 168)) AS score FROM m) """
+  r AS (SELECT *, {_CASE(sc.PRIORITY, "priority", 1)} * {_CASE(sc.CATEGORY, "category", 1)} * CASE WHEN accesses > 0 THEN least(1 + log2(accesses::DOUBLE) * 0.1, 2.0) ELSE 1.0 END
+  * pow(1 + (19.0::DOUBLE / 81) * coalesce(days, 0) / {_CASE(sc.STABILITY_DAYS, "category", 30)}, -0.5) * (1 + 0.3 * ln(1.0 + accesses) * exp(-coalesce(days, 0) * 24 / 168)) AS score FROM m) """
 
 
 def _scored(spark, sf):
@@ -225,7 +225,7 @@ def relevance_score(spark, sf):
     return _scored(spark, sf).select("memory_id", "accesses", F.round("score", 6).alias("score"))
 
 
-@query("relevance_decay_only", _MEM_SQL + f"SELECT memory_id, round(pow(1 + (19.0::DOUBLE / 81) * days / {_CASE(sc.STABILITY_DAYS, 'category', 30)}, -0.5) * (1 + 0.3 * ln(1.0 + accesses) * exp(-days * 24 / 168)), 6) AS score FROM r")
+@query("relevance_decay_only", _MEM_SQL + f"SELECT memory_id, round(pow(1 + (19.0::DOUBLE / 81) * coalesce(days, 0) / {_CASE(sc.STABILITY_DAYS, 'category', 30)}, -0.5) * (1 + 0.3 * ln(1.0 + accesses) * exp(-coalesce(days, 0) * 24 / 168)), 6) AS score FROM r")
 def relevance_decay_only(spark, sf):
     return _scored(spark, sf).select("memory_id", F.round(sc.retention(F.col("category"), F.col("accesses"), F.col("days")), 6).alias("score"))
 
