@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from engram.session import ship
 
 #: Text that a Python operator handles at a time; larger Arrow batches are cut into slices of about this size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 2000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,11 +36,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors; a task starts with no other operator's tables in its worker."""
     ship(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     own = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter(own)  # by name: what a nested function holds itself reaches the worker as a copy
-        yield from fn(batches)
+        try:
+            yield from fn(batches)
+        finally:
+            leave()
 
     return df.mapInArrow(run, schema)
 
@@ -72,3 +81,13 @@ def enter(module: str) -> None:
     """Drop the tables of operators of other modules."""
     if _KEPT and not any(k.startswith(f"{module}:") for k in _KEPT):
         kept("")
+
+
+def leave() -> None:
+    """Give what a task has freed back to the system; workers are used again and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -24,7 +24,7 @@ from engram.llm.common import arrow_map, crc_mod, slices
 #: Documents a language that a fit takes at most, languages at most (those of most documents), hashed features.
 SAMPLE, LANGUAGES, SIZE = 200, 64, 1 << 17
 SEQUENCES, LENGTH, RUN, BATCH, EPOCHS, RATE, RIDGE = 3000, 48, 12, 250, 6, 0.15, 1e-6
-SLICE = 6 << 20
+SLICE = 5 << 20
 WORD = re.compile(r"[^\W\d_]+")
 KINDS = 9
 
