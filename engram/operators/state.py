@@ -121,6 +121,19 @@ def lock_step(ttl_ms: int):
     return step
 
 
+def drift_step(percent: float):
+    """Whether a value drifts more than ``percent`` from the baseline, which moves only when it doesn't."""
+
+    def step(base, row):
+        v = row["value"]
+        if base is None or base == 0:
+            return v, False
+        drifts = abs(v - base) / abs(base) * 100 > percent
+        return (base if drifts else v), drifts
+
+    return step
+
+
 def recover_stale(queue: DataFrame, now_ms: int, after_ms: int = 3_600_000) -> DataFrame:
     """Rows that have been processing for too long are pending again."""
     late = (F.col("status") == "processing") & (F.col("started_ms") < now_ms - after_ms)

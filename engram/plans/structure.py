@@ -482,3 +482,19 @@ def transcript_messages(spark, sf):
     from engram.sources import transcripts
 
     return transcripts.prompts(table(spark, sf, "conversations")).withColumn("prompt", F.md5("prompt"))
+
+
+@query("point_drift")
+def point_drift(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("value"))
+    return st.sequential(o, "o_custkey", "o_orderkey", st.drift_step(20.0), "o_custkey bigint, o_orderkey bigint, value double, accepted boolean")
+
+
+@query("validation_rules", """SELECT 'price' AS rule, 'error' AS severity, count(*) AS checked, count(*) FILTER (WHERE NOT o_totalprice < 400000) AS failed FROM orders
+  UNION ALL SELECT 'status', 'warning', count(*), count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders""")
+def validation_rules(spark, sf):
+    from engram.operators.validation import Rule, Rules
+
+    rules = Rules(Rule("price", F.col("o_totalprice") < 400000), Rule("status", F.col("o_orderstatus") != "P", "warning"), Rule("off", F.lit(False)))
+    rules.enable("off", False)
+    return rules.report(table(spark, sf, "orders"))

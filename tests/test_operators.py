@@ -65,6 +65,7 @@ def test_steps():
     assert run(state.dedup_step(30), at) == [True, False, True, False, True]
     assert run(state.sliding_step(30), at) == [True, False, True, False, False]
     assert run(state.rate_step(2, 50), at) == [True, True, False, True, True]
+    assert run(state.drift_step(10), [{"value": v} for v in (100, 105, 130, 112, 90)]) == [False, False, True, False, True]
     held = [{"ms": m, "holder": h} for m, h in ((0, "a"), (5, "b"), (9, "a"), (20, "b"))]
     assert run(state.lock_step(10), held) == [True, False, True, True]
 
