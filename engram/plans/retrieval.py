@@ -284,12 +284,12 @@ def compress_heuristic(spark, sf):
     return sc.compress(_docs(spark, sf).select("source", F.col("doc_id").alias("memory_id"), F.col("text").alias("value")), "source")
 
 
-@query("junk_filter", r"""WITH v AS (SELECT conv_id, turn, trim(text[1:40]) AS t FROM conversations), w AS (SELECT *, regexp_split_to_array(lower(t), '\s+') AS w FROM v)
+@query("junk_filter", r"""WITH v AS (SELECT conv_id, turn, trim(text) AS t FROM conversations), w AS (SELECT *, regexp_split_to_array(lower(t), '\s+') AS w FROM v)
   SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty content' WHEN length(t) < 10 THEN 'too short (< 10 chars)' WHEN lower(t) IN ('hello world', 'lorem ipsum') THEN 'generic filler'
   WHEN regexp_matches(t, '^https?://\S+$', 'i') THEN 'bare URL without context' WHEN list_max(list_transform(list_distinct(string_split(t, '')), lambda c: len(list_filter(string_split(t, ''), lambda x: x = c)))) / length(t)::DOUBLE > 0.6
   OR (len(w) >= 3 AND list_max(list_transform(list_distinct(w), lambda c: len(list_filter(w, lambda x: x = c)))) / len(w)::DOUBLE > 0.6) THEN 'repetitive content' END AS reason FROM w""")
 def junk_filter(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", sc.junk_reason(F.substring("text", 1, 40)).alias("reason"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", sc.junk_reason(F.col("text")).alias("reason"))
 
 
 @query("redact_secrets", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer\s+[A-Za-z0-9\-._~+/]+=*', '[REDACTED]', 'g'), 'sk-[A-Za-z0-9]{20,}', '[REDACTED]', 'g'),
