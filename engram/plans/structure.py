@@ -220,14 +220,14 @@ def k_hop_neighbours(spark, sf):
     return gr.reach(_lineage(spark, sf), _seeds(spark, sf, "doc_id = 12"), 4, "both")
 
 
-_IMP = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey % 40 AS dst FROM lineitem WHERE l_suppkey <= 6 UNION SELECT DISTINCT 'p' || l_partkey % 40, 't' || l_suppkey % 4 FROM lineitem WHERE l_partkey % 40 < 8)"
+_IMP = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey % 40 AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey % 40, 't' || l_suppkey % 4 FROM lineitem)"
 
 
 def _imports(spark, sf):
     li = table(spark, sf, "lineitem")
     part = F.concat(F.lit("p"), F.col("l_partkey") % 40)
-    a = li.filter("l_suppkey <= 6").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), part.alias("dst"))
-    b = li.filter("l_partkey % 40 < 8").select(part.alias("src"), F.concat(F.lit("t"), F.col("l_suppkey") % 4).alias("dst"))
+    a = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), part.alias("dst"))
+    b = li.select(part.alias("src"), F.concat(F.lit("t"), F.col("l_suppkey") % 4).alias("dst"))
     return a.unionByName(b).distinct()
 
 

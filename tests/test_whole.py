@@ -31,3 +31,16 @@ def test_junk_is_judged_on_whole_values(spark, tmp_path):
         expected.append((1, i, "bare URL without context" if len(words) == 1 else "repetitive content" if heavy else None))
     assert [r[2] for r in expected] == [None, None, "repetitive content", "bare URL without context"]
     assert spark_rows == expected and sql_rows == expected
+
+
+def test_import_graph_has_every_line(spark, tmp_path):
+    lines = [(s, p) for s in (1, 2, 7, 30) for p in (3, 8, 39, 48, 79) if (s + p) % 3]
+    edges = {(f"s{s}", f"p{p % 40}") for s, p in lines} | {(f"p{p % 40}", f"t{s % 4}") for s, p in lines}
+    dst = Counter(a for a, _ in edges)
+    into = lambda n: sorted(a for a, b in edges if b == n)
+    back = sorted([(a, 1, f"t1>{a}") for a in into("t1")] + [(b, 2, f"t1>{a}>{b}") for a in into("t1") for b in into(a)])
+    first = {b for a, b in edges if a == "s2"}
+    ahead = sorted([(n, 1) for n in first] + [(n, 2) for n in {b for a, b in edges if a in first}])
+    for name, expected in (("dependency_map", sorted(dst.items())), ("impact_paths", back), ("blast_radius", ahead)):
+        spark_rows, sql_rows = both(spark, tmp_path / name, name, lineitem=(lines, "l_suppkey bigint, l_partkey bigint"))
+        assert spark_rows == expected and sql_rows == expected
