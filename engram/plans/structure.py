@@ -346,9 +346,9 @@ def timeline_why(spark, sf):
     return c.select("conv_id", "turn", tp.explicit_why(t).alias("why"))
 
 
-@query("file_history_commits", "SELECT l_orderkey, l_linenumber, coalesce(o_orderstatus, '') AS status FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 > 0) ON o_orderkey = l_orderkey WHERE l_partkey < 50")
+@query("file_history_commits", "SELECT l_orderkey, l_linenumber, coalesce(o_orderstatus, '') AS status FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 > 0) ON o_orderkey = l_orderkey")
 def file_history_commits(spark, sf):
-    li, o = table(spark, sf, "lineitem").filter("l_partkey < 50"), table(spark, sf, "orders").filter("o_orderkey % 3 > 0")
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").filter("o_orderkey % 3 > 0")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"], "left").select("l_orderkey", "l_linenumber", F.coalesce("o_orderstatus", F.lit("")).alias("status"))
 
 

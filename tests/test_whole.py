@@ -44,3 +44,12 @@ def test_import_graph_has_every_line(spark, tmp_path):
     for name, expected in (("dependency_map", sorted(dst.items())), ("impact_paths", back), ("blast_radius", ahead)):
         spark_rows, sql_rows = both(spark, tmp_path / name, name, lineitem=(lines, "l_suppkey bigint, l_partkey bigint"))
         assert spark_rows == expected and sql_rows == expected
+
+
+def test_all_files_meet_their_commits(spark, tmp_path):
+    lines = [(o, n, p) for o in (1, 2, 3, 4) for n, p in ((1, 7), (2, 49), (3, 50), (4, 1999))]
+    orders = [(o, "FOP"[o % 3]) for o in (1, 2, 3)]
+    status = {o: s for o, s in orders if o % 3}
+    expected = sorted((o, n, status.get(o, "")) for o, n, _ in lines)
+    spark_rows, sql_rows = both(spark, tmp_path, "file_history_commits", lineitem=(lines, "l_orderkey bigint, l_linenumber bigint, l_partkey bigint"), orders=(orders, "o_orderkey bigint, o_orderstatus string"))
+    assert spark_rows == expected and sql_rows == expected
