@@ -2,8 +2,9 @@
 
 Each source is a queue of its documents' tokens. A round is worth one window: queue s earns a credit of
 c_s = 4096 * w_s / sum(w) tokens, spends the whole part and carries the rest, its deficit, to the next round; so every
-4096 tokens of the stream hold each source's share to within two tokens. When a queue runs dry the others share its
-part. The rounds' outputs follow each other and are cut into windows.
+4096 tokens of the stream hold each source's share to within two tokens; of hundreds of sources, whose parts of tokens
+put rounds out of step with windows, to within its part of a round. When a queue runs dry the others share its part. The
+rounds' outputs follow each other and are cut into windows.
 
 What a queue has spent after k rounds is floor(c_s * k), so a token's place in the stream has a closed form that only
 needs the queues' totals. Partitions therefore place their own tokens and still carry the deficits of all partitions
@@ -29,8 +30,8 @@ from engram.llm.common import arrow_map, kept, slices
 from engram.session import materialize
 
 WINDOW, END_ID = 4096, 2
-#: Sources beyond this number share queues by hash; rows of a table that is broadcast; bits after a credit's point.
-QUEUES, BROADCAST_ROWS, POINT = 512, 200_000, 16
+#: Rows of a table that is broadcast; bits after a credit's point; figures that a layout keeps or makes at a time.
+BROADCAST_ROWS, POINT, FIGURES = 200_000, 16, 1 << 20
 #: Entries of a worker's table after which it becomes the old one, which is still asked, and a new one is begun; bytes of
 #: text that are encoded at a time.
 CHUNKS, SLICE = 250_000, 3 << 20
@@ -187,33 +188,40 @@ def word_tokens(spec: str) -> WordTokens:
 # ---- rounds ---------------------------------------------------------------------------------------------------------
 
 
+def _stretches(totals: list[int], weights: list[float] | None, window: int) -> Iterator[dict]:
+    bits = 20 + len(totals).bit_length()
+    scale = [int(w * (1 << bits)) for w in weights] if weights else list(totals)
+    most = (window << POINT) * max([*scale, 1])
+    # whole numbers of any size where 64 bits don't hold a product
+    scale = np.maximum(np.array(scale, np.int64 if most < 1 << 63 else object), 1)
+    left, pos = np.array(totals, np.int64), 0
+    spent = np.zeros_like(left)
+    while left.any():
+        live = np.flatnonzero(left)
+        scales = scale[live]
+        credit = np.zeros_like(left)
+        credit[live] = np.maximum((window << POINT) * scales // sum(scales.tolist()), 1)
+        rounds = int((-(-(left[live] << POINT) // credit[live])).min())
+        yield {"pos": pos, "start": spent.copy(), "left": left.copy(), "credit": credit, "rounds": rounds}
+        n = np.minimum(credit * rounds >> POINT, left)
+        left, spent, pos = left - n, spent + n, pos + int(n.sum())
+
+
 def phases(totals: list[int], weights: list[float] | None = None, window: int = WINDOW) -> list[dict]:
     """The stretches between which queues run dry: {pos, start, left, credit, rounds}, lists by queue.
 
     pos: where the stretch starts in the stream; start, left: what each queue has spent and still holds then; credit: its
     tokens a round with POINT binary digits, 0 when dry. Without weights the targets are the totals' own proportions.
     """
-    scale = [int(w * (1 << 20)) for w in weights] if weights else list(totals)
-    left, spent, pos, out = list(totals), [0] * len(totals), 0, []
-    while any(left):
-        live = [s for s, n in enumerate(left) if n]
-        scales = {s: max(scale[s], 1) for s in live}
-        whole = sum(scales.values())
-        credit = [max(1, (window << POINT) * scales[s] // whole) if left[s] else 0 for s in range(len(left))]
-        rounds = min(-(-(left[s] << POINT) // credit[s]) for s in live)
-        out.append({"pos": pos, "start": list(spent), "left": list(left), "credit": credit, "rounds": rounds})
-        for s in live:
-            n = min(credit[s] * rounds >> POINT, left[s])
-            left[s], spent[s], pos = left[s] - n, spent[s] + n, pos + n
-    return out
+    return [{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in p.items()} for p in _stretches(totals, weights, window)]
 
 
 class Layout:
     """Places of the queues' tokens in the stream and in the sequences."""
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW):
-        self.window, self.total = window, sum(totals)
-        self.phases = [{k: np.array(v, np.int64) if isinstance(v, list) else v for k, v in p.items()} for p in phases(totals, weights, window)]
+        self.totals, self.weights, self.window, self.total = totals, weights, window, sum(totals)
+        self.kept: list[dict] | None = None
         self.full = self.total // window
         # the last tokens: sequences of falling powers of two
         rest, at, self.tails = self.total % window, self.full * window, []
@@ -222,10 +230,24 @@ class Layout:
                 self.tails.append((at, 1 << bit))
                 at += 1 << bit
 
+    def _phases(self) -> Iterator[dict]:
+        """The phases: kept if they are few figures, else made again, as many queues may have as many phases."""
+        if self.kept is not None:
+            yield from self.kept
+            return
+        kept, size = [], 0
+        for p in _stretches(self.totals, self.weights, self.window):
+            size += len(self.totals)
+            if size <= FIGURES:
+                kept.append(p)
+            yield p
+        if size <= FIGURES:
+            self.kept = kept
+
     def stretches(self, queue: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, queue offset, stream position, length) of the pieces that the rounds make of each [begin, end) of a queue."""
         parts = []
-        for p in self.phases:
+        for p in self._phases():
             first, credit = p["start"][queue], p["credit"][queue]
             upto = np.minimum(p["left"][queue], credit * p["rounds"] >> POINT)
             lo, hi = np.maximum(begin - first, 0), np.minimum(end - first, upto)
@@ -234,15 +256,14 @@ class Layout:
                 continue
             q, lo, hi, c = queue[rows], lo[rows], hi[rows], credit[rows]
             k0 = -(-((lo + 1) << POINT) // c) - 1
-            n = -(-(hi << POINT) // c) - k0
+            # the rounds that a row meets; where a round is worth less than a token, those of its tokens
+            slow = c < 1 << POINT
+            n = np.where(slow, hi - lo, -(-(hi << POINT) // c) - k0)
             at = np.repeat(np.arange(rows.size), n)
-            k = k0[at] + np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
-            head = np.full(at.size, p["pos"], np.int64)
-            own, most = (np.minimum(c[at] * (k + i) >> POINT, p["left"][q[at]]) for i in (0, 1))
-            for s in range(len(p["credit"])):
-                if p["credit"][s]:
-                    before = np.minimum(p["credit"][s] * k >> POINT, p["left"][s])
-                    head += before + np.where(s < q[at], np.minimum(p["credit"][s] * (k + 1) >> POINT, p["left"][s]) - before, 0)
+            i = np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
+            k = np.where(slow[at], -(-((lo[at] + i + 1) << POINT) // c[at]) - 1, k0[at] + i)
+            own, most = (np.minimum(c[at] * (k + j) >> POINT, p["left"][q[at]]) for j in (0, 1))
+            head = p["pos"] + self._heads(p, k, q[at])
             x, y = np.maximum(own, lo[at]), np.minimum(most, hi[at])
             ok = y > x
             parts.append((rows[at][ok], (x + first[rows][at])[ok], (head + x - own)[ok], (y - x)[ok]))
@@ -252,6 +273,25 @@ class Layout:
         order = np.lexsort((x, row))
         return row[order], x[order], at[order], n[order]
 
+    @staticmethod
+    def _heads(p: dict, k: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What all queues have spent in a phase before queue q's turn in its round k."""
+        live = np.flatnonzero(p["credit"])
+        credit, left = p["credit"][live], p["left"][live]
+        turn, out = np.searchsorted(live, q), np.empty(k.size, np.int64)
+        order = np.argsort(k, kind="stable")
+        rounds, first = np.unique(k[order], return_index=True)
+        first, step = np.append(first, k.size), max(1, FIGURES // live.size)
+        for a in range(0, rounds.size, step):
+            part = rounds[a : a + step]
+            before = np.minimum(part[:, None] * credit >> POINT, left)
+            own = np.minimum((part[:, None] + 1) * credit >> POINT, left) - before
+            # turns before one's own have had this round
+            head = before.sum(axis=1)[:, None] + np.cumsum(own, axis=1) - own
+            rows = order[first[a] : first[a + part.size]]
+            out[rows] = head[np.searchsorted(part, k[rows]), turn[rows]]
+        return out
+
     def place(self, queue: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, queue offset, length, sequence, offset) of the pieces of each [begin, end) of a queue, in order."""
         row, x, at, n = self.stretches(queue, begin, end)
@@ -298,16 +338,16 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     A document's tokens are the tokenizer's ids of its whole text and END_ID. A null text is empty and has END_ID only;
     a null source is a queue of its own. Repeated rows and ids are packed as often as they stand. An empty table gives an
     empty one; other columns are ignored. ``targets``: weights of sources, 0 or missing ones going last by a weight of
-    next to nothing; without it the sources' own proportions, which then hold to the end.
+    next to nothing; without it the sources' own proportions, which then hold to the end. Each source has a queue,
+    however many there are, so a window holds the proportions of them all and ``targets`` are those of sources.
 
     Tokens are made once and written to the shared folder with their place in their partition's queues, so that a retry
-    reads the same places. Queue totals (QUEUES at most) are the only figures that reach the driver.
+    reads the same places. Queue totals, one a source, are the only figures that reach the driver and each task; a batch's
+    places take time by sources times the rounds that the batch meets.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_read(tokenizer_path))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    many = docs.select(source.alias("s")).distinct().limit(QUEUES + 1).count() > QUEUES
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string")) if many else source
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +365,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
                 reach[q] = starts[-1] + size
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array([pid] * b.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(narrow, pa.binary())], names=["doc_id", "queue", "pid", "begin", "n", "ids"])
 
-    rows = docs.select("doc_id", "text", queue.alias("queue"))
+    rows = docs.select("doc_id", "text", source.alias("queue"))
     made = materialize(arrow_map(rows, tokens, f"doc_id {kind}, queue string, pid int, begin bigint, n bigint, ids binary"), "tokens")
     sums = made.groupBy("queue", "pid").agg(F.sum("n").alias("sum_n"))
     bases = sums.withColumn("base", F.sum("sum_n").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
