@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import arrow_map, slices
@@ -33,6 +33,8 @@ PLACES, TREES, DEPTH, SMALL, BROADCAST_ROWS = 64, 10, 6, 40, 1_000_000
 NEAR, CENTRAL = 20, 10
 #: Members of a block on either side of a comparison; bits of a member's bitmap of shingles that the pivot lacks.
 INSIDE, OUTSIDE, NEW_BITS = 1024, 256, 256
+#: The first id that stands for a null one, beyond all integers' range, and the type that holds both.
+STAND_IN, WIDE = "1" + "0" * 20, "decimal(38,0)"
 _RNG = np.random.default_rng(20240501)
 _ODD = _RNG.integers(1, 1 << 62, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, PLACES, np.uint64)
@@ -284,6 +286,21 @@ def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(met.select("xs", "ys"), compare, "a bigint, b bigint")
 
 
+def stand_ins(docs: DataFrame) -> DataFrame:
+    """``docs``, or, where ids are null, with ids of their own beyond all others in their place, written to be read again."""
+    missing = docs.filter("doc_id is null")
+    if missing.isEmpty():
+        return docs
+    own = (F.lit(STAND_IN).cast(WIDE) + F.monotonically_increasing_id()).cast(WIDE)
+    made = materialize(missing.withColumn("doc_id", own), "null_ids")
+    return docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast(WIDE)).unionByName(made)
+
+
+def _restored(column: str, kind: str) -> Column:
+    """An id of ``stand_ins`` as it was."""
+    return F.when(F.col(column) < F.lit(STAND_IN).cast(WIDE), F.col(column)).cast(kind).alias(column)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -291,8 +308,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     doc_id that links reach, the row's own included; kept marks the rows that have it for their id. Null and wordless
     texts have no shingles, link with nothing and stand alone. Equal sets are one class whatever its size, so copies
     cost a row each. Rows of the same id each get a row, by their own texts. An empty table gives an empty one; other
-    columns are ignored. doc_id is an integer; null ids link, but never name a component unless all its ids are null.
+    columns are ignored. doc_id is an integer; null ids link, but never name a component unless all its ids are null, of
+    which one row is kept.
     """
+    docs = docs.select("doc_id", "text")
+    named = stand_ins(docs)
+    found = _linked(named, width, percent, trees)
+    if named is docs:
+        return found
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.select(_restored("doc_id", kind), "n_shingles", _restored("component_id", kind), "kept")
+
+
+def _linked(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
+    """``near_duplicates`` of documents whose ids aren't null."""
     threshold, differ = percent / 100, round(PLACES * (1 - percent / 100) / 2 + 5 * np.sqrt(PLACES * (1 + percent / 100) * (1 - percent / 100)) / 2)
     every = materialize(shingled(docs, width), "shingled")
     classes = every.filter("k is not null").groupBy("k").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("k", "r.doc_id", "r.sig")
@@ -350,10 +379,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     label = own.join(label, "k", "left").select("k", F.coalesce("least", "own").alias("component_id"))
     out = every.select("doc_id", "n", "k").join(label, "k", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id, with its own columns."""
-    marks = _broadcast_if_small(materialize(near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct(), "kept"))
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]), "left_semi")
+    named = stand_ins(docs)
+    marks = _broadcast_if_small(materialize(_linked(named, width, percent, TREES).filter("kept").select("doc_id").distinct(), "kept"))
+    kept = named.join(marks, named["doc_id"] == marks["doc_id"], "left_semi")
+    return kept if named is docs else kept.withColumn("doc_id", _restored("doc_id", docs.schema["doc_id"].dataType.simpleString()))

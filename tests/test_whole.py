@@ -105,3 +105,31 @@ def test_layout_of_many_queues_is_that_of_few():
         for j in range(m):
             place[h + j] = (s, a + j)
     assert place == order and len(order) == sum(totals)
+
+
+def test_null_ids_among_copies(spark):
+    from engram.llm import neardup
+
+    base = [f"word{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    copy, apart, lone = " ".join(base), " ".join(f"far{i}" for i in range(60)), " ".join(f"own{i}" for i in range(60))
+    # copies, a near copy without an id, a near copy of a text that has no id at all, and rows of no component
+    rows = [(None, copy), (5, copy), (7, copy), (None, near), (None, apart), (None, apart), (9, " ".join([*apart.split()[:-1], "x"])), (None, lone), (None, lone), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+    sets = [set(map(tuple, zip(*(t.split()[i:] for i in range(5)), strict=False))) if t else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    expected = []
+    for i, (own, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[i]]
+        least = min((x for x in ids if x is not None), default=None)
+        expected.append((own, len(sets[i]), least, own == least if least is not None else group.index(group[i]) == i))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=order)
+    assert [r[2] for r in expected] == [5, 5, 5, 5, 9, 9, 9, None, None, None, 3] and got == sorted(expected, key=order)
+    kept = neardup.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, copy), (9, rows[6][1]), (0, lone), (0, ""), (3, "")])
