@@ -203,9 +203,9 @@ def lineage_timeline(spark, sf):
     return gr.timeline(_lineage(spark, sf), _seeds(spark, sf, "doc_id in (10, 37)"))
 
 
-@query("shortest_path", _walk("src", "dst", 10, "doc_id < 200").replace("0 AS depth FROM", "0 AS depth, CAST(doc_id AS VARCHAR) AS via FROM").replace("depth + 1 FROM r", "depth + 1, via || '>' || e.dst FROM r") + "SELECT seed AS source, node AS target, depth AS hops, via FROM r WHERE node = 1 AND depth > 0")
+@query("shortest_path", _walk("src", "dst", 10, "true").replace("0 AS depth FROM", "0 AS depth, CAST(doc_id AS VARCHAR) AS via FROM").replace("depth + 1 FROM r", "depth + 1, via || '>' || e.dst FROM r") + "SELECT seed AS source, node AS target, depth AS hops, via FROM r WHERE node = 1 AND depth > 0")
 def shortest_path(spark, sf):
-    pairs = _seeds(spark, sf, "doc_id < 200").select(F.col("seed").alias("source"), F.lit(1).cast("bigint").alias("target"))
+    pairs = _seeds(spark, sf, "true").select(F.col("seed").alias("source"), F.lit(1).cast("bigint").alias("target"))
     return gr.shortest_paths(_lineage(spark, sf), pairs).withColumn("via", F.array_join(F.col("via").cast("array<string>"), ">"))
 
 

@@ -133,3 +133,17 @@ def test_null_ids_among_copies(spark):
     kept = neardup.keep_one(docs)
     assert kept.schema == docs.schema
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, copy), (9, rows[6][1]), (0, lone), (0, ""), (3, "")])
+
+
+def test_paths_start_at_all_documents(spark, tmp_path):
+    ids = [0, 1, 2, 3, 6, 13, 27, 54, 109, 199, 218, 437, 875, 1751, 3503]
+    expected = []
+    for n in ids[2:]:
+        via = [n]
+        while via[-1] > 1 and via[-1] in ids and len(via) <= 10:
+            via.append(via[-1] // 2)
+        if via[-1] == 1:
+            expected.append((n, 1, len(via) - 1, ">".join(map(str, via))))
+    assert {875, 1751} <= {r[0] for r in expected} and 3503 not in {r[0] for r in expected}
+    spark_rows, sql_rows = both(spark, tmp_path, "shortest_path", documents=([(i,) for i in ids], "doc_id bigint"))
+    assert spark_rows == sorted(expected) and sql_rows == sorted(expected)
