@@ -34,26 +34,28 @@ WINDOW, END_ID = 4096, 2
 BROADCAST_ROWS, POINT, FIGURES = 200_000, 16, 1 << 20
 #: Entries of a worker's table after which it becomes the old one, which is still asked, and a new one is begun; bytes of
 #: text that are encoded at a time.
-CHUNKS, SLICE = 250_000, 3 << 20
+ENTRIES, SLICE = 400_000, 4 << 20
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
 
 class WordTokens:
-    """Ids of whole texts as the tokenizer file gives them, by way of a table of white-space separated chunks.
+    """Ids of whole texts as the tokenizer file gives them, by way of a table of words.
 
-    It serves files whose normalizer is NFC, white space to one space and lower case, and whose words end in a marked
-    token; so no token crosses white space and the ids of many words can be told apart. Other files, and texts with
-    special strings, are encoded whole.
+    It serves files whose normalizer is NFC, white space to one space and lower case, whose words are what WORDS finds, and
+    whose words end in a marked token; so no token crosses words and the ids of many words can be told apart. Other files,
+    and texts with special strings, are encoded whole.
 
-    Chunks are found and named by 64-bit hashes in array operations over the bytes of many texts; the table is asked once
-    for each distinct chunk, and only new ones reach the tokenizer.
+    Words are found in array operations over the code points of many texts and told apart, byte for byte, by an Arrow
+    dictionary; the table is asked once for each distinct word, only new ones reach the tokenizer, and the ids of all words
+    are gathered by the dictionary's indices.
     """
 
-    #: White space beyond ASCII, and letters whose lower case depends on their place or isn't one letter.
-    ODD = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Fixed value: the words' pattern in the file.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    OTHER, LETTER, NUMBER, SPACE = range(4)
+    #: A letter whose lower case depends on its place.
     SIGMA = "\u03a3"
-    MARKS = frozenset(",.;:!?")
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -64,104 +66,107 @@ class WordTokens:
         norm = [(x["type"], x.get("content")) for x in (j.get("normalizer") or {}).get("normalizers", [])]
         pre = (j.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         suffix = j["model"].get("end_of_word_suffix")
-        self.simple = bool(suffix) and norm == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed"
+        split = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("pattern") == {"Regex": self.WORDS}
+        self.simple = bool(suffix) and norm == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and split
+        size = max([*j["model"]["vocab"].values(), *(x["id"] for x in j.get("added_tokens", []))]) + 1
+        #: The type of ids: 2 bytes if all fit.
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         if self.simple:
-            self.split = regex.compile(pre[0]["pattern"]["Regex"]).findall
             words = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *pre[1:]]}
             self.words = Tokenizer.from_str(json.dumps(j | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []}))
-            size = max(j["model"]["vocab"].values()) + 1
             self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.known: dict[int, bytes] = {}
-        self.old_known: dict[int, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        rng = np.random.default_rng(97)
-        self.names = rng.integers(1, 1 << 63, 256, np.uint64)
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.powers = np.ones(1, np.uint64)
-
-    def _encode_words(self, words: list[str]) -> None:
+            every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+            self.kinds = np.full(0x110000, self.OTHER, np.uint8)
+            for kind, pattern in ((self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+"), (self.SPACE, r"\s+")):
+                for m in regex.finditer(pattern, every):
+                    self.kinds[m.start() : m.end()] = kind
+            self.kinds[0xD800:0xE000] = self.OTHER
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            made = self.words.encode_batch_fast([b" ".join(part).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0]
+            ids = np.array(made.ids, self.type)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if cuts.size != len(part):
                 raise ValueError("the words' ends can't be told from their ids")
-            raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            self.pieces.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends)], strict=True))
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks: of words as they are, of others by way of the words and marks that the pattern finds in them."""
-        if len(self.pieces) > CHUNKS:
-            self.pieces, self.old_pieces = {}, self.pieces
-        pieces, old = self.pieces, self.old_pieces
-        # a word, a word and one mark, or what the pattern finds
-        split, marks = self.split, self.MARKS
-        parts = [(c,) if c.isalpha() else (c[:-1], c[-1]) if c[-1] in marks and c[:-1].isalpha() else split(c) for c in chunks]
-        missing = {p for ps in parts for p in ps if p not in pieces}
-        pieces.update({p: old[p] for p in missing if p in old})
-        self._encode_words([p for p in missing if p not in old])
-        return [pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for ps in parts]
-
-    def _hashes(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A polynomial hash of each chunk, whatever its place: sums of named bytes times powers by place in the chunk."""
-        longest = int((end - first).max())
-        if self.powers.size < longest:
-            grown = np.ones(2 * longest, np.uint64)
-            grown[1:] = np.cumprod(np.full(2 * longest - 1, 0x9E3779B97F4A7C15, np.uint64))
-            self.powers = grown
-        inside = np.flatnonzero(~self.space[data])
-        size = end - first
-        starts = np.cumsum(size) - size
-        place = np.arange(inside.size) - np.repeat(starts, size)
-        h = np.add.reduceat(self.names[data[inside]] * self.powers[place], starts)
-        return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
+            raw, ends = ids.tobytes(), (cuts * ids.itemsize).tolist()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.known) > ENTRIES:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        out = list(map(known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            x = old.get(words[i])
+            if x is None:
+                new.append(words[i])
+            else:
+                known[words[i]] = x
+        self._learn(new)
+        for i in missing:
+            out[i] = known[words[i]]
+        return out
+
+    def _cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the words in code points, in order; they fill all that isn't white space."""
+        kind = self.kinds[codes]
+        new = np.ones(codes.size, bool)
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new |= kind == self.NUMBER
+        at = np.flatnonzero(new)
+        full = kind[at] != self.SPACE
+        first, end = at[full], np.append(at[1:], codes.size)[full]
+        # a mark that is a lone ' takes the letters of a contraction from the word behind it
+        mark = np.flatnonzero((codes[first] == ord("'")) & (end - first == 1) & (end < codes.size))
+        mark = mark[kind[end[mark]] == self.LETTER]
+        if mark.size:
+            x = codes[end[mark]]
+            y = codes[np.minimum(end[mark] + 1, codes.size - 1)]
+            is_in = lambda letters: np.isin(x, [ord(c) for c in letters])
+            two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+            taken = np.where(is_in("stmd"), 1, np.where(two, 2, 0))
+            end[mark] += taken
+            first[mark + 1] += taken
+            full = first < end
+            first, end = first[full], end[full]
+        return first, end
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and the last one's end)."""
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        lengths = np.array([len(r) + 1 for r in raw], np.int64)
-        buffer = b"\n".join(raw) + b"\n"
-        data = np.frombuffer(buffer, np.uint8)
-        gap = self.space[data]
-        step = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if not gap[0]:
-            step = np.concatenate([[0], step])
-        first, end = step[0::2], step[1::2]
+        joined = "\n".join(texts) + "\n"
+        narrow = joined.isascii()
+        codes = np.frombuffer(joined.encode("ascii"), np.uint8) if narrow else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        first, end = self._cut(codes)
         if not first.size:
-            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
-        u, where, inverse = np.unique(self._hashes(data, first, end), return_index=True, return_inverse=True)
-        if len(self.known) > CHUNKS:
-            self.known, self.old_known = {}, self.known
-        names, known, old = u.tolist(), self.known, self.old_known
-        ids = list(map(known.get, names))
-        new = []
-        for i, x in enumerate(ids):
-            if x is None:
-                x = old.get(names[i])
-                if x is None:
-                    new.append(i)
-                else:
-                    ids[i] = known[names[i]] = x
-        if new:
-            a, b = first[where[new]].tolist(), end[where[new]].tolist()
-            made = self._learn([buffer[i:j].decode("utf-8", "surrogatepass") for i, j in zip(a, b, strict=True)])
-            for i, x in zip(new, made, strict=True):
-                ids[i] = known[names[i]] = x
-        size = np.array([len(x) for x in ids], np.int64) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(size) - size
-        each = size[inverse]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        out = flat[np.repeat(begin[inverse] - upto[:-1], each) + np.arange(upto[-1])]
-        texts_at = np.concatenate([[0], np.cumsum(lengths)])
-        return out, upto[np.searchsorted(first, texts_at)]
+            return np.zeros(0, self.type), np.zeros(len(texts) + 1, np.int64)
+        # the words' bytes side by side, and where each begins
+        solid = codes[self.kinds[codes] != self.SPACE].tobytes()
+        upto = np.concatenate([[0], np.cumsum(end - first)])
+        if not narrow:
+            solid = solid.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            starts = np.flatnonzero((np.frombuffer(solid, np.uint8) & 0xC0) != 0x80)
+            upto = np.append(starts, len(solid))[upto]
+        large = len(solid) >= 1 << 31
+        kind, offsets = (pa.large_binary(), upto.astype(np.int64)) if large else (pa.binary(), upto.astype(np.int32))
+        words = pa.Array.from_buffers(kind, first.size, [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        ids = pa.array(self._ids(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        cuts = np.frombuffer(offsets, np.int64, len(ids) + 1, ids.offset * 8) // self.type.itemsize
+        flat = np.frombuffer(data, self.type, int(cuts[-1]))
+        texts_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        return flat, cuts[np.searchsorted(first, texts_at)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        plain, whole, out = [], [], []
+        plain, whole = [], []
         for i, t in enumerate(texts):
             if not self.simple or ("<|" in t and any(s in t for s in self.special)):
                 whole.append(i)
@@ -171,13 +176,11 @@ class WordTokens:
                     t = unicodedata.normalize("NFC", t)
                 if self.SIGMA in t:
                     t = t.replace(self.SIGMA, self.SIGMA.lower())
-                if self.ODD.search(t):
-                    t = self.ODD.sub(" ", t)
             plain.append(t.lower())
-        ids, at = self._plain(plain) if plain else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        ids, at = self._plain(plain) if plain else (np.zeros(0, self.type), np.zeros(1, np.int64))
         out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for i in whole:
-            out.insert(i, np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4"))
+            out.insert(i, np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, self.type))
         return out
 
 
@@ -354,10 +357,9 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
         made, pid, reach = word_tokens(spec.value), TaskContext.get().partitionId(), {}
         for b in slices(batches, limit=SLICE):
             ids = made.encode([t or "" for t in b.column("text").to_pylist()])
-            # 2 bytes an id, or, marked by an odd length, 4
-            small = max((int(x.max()) for x in ids if x.size), default=0) < 65_536
-            end = np.array([END_ID], "<u2" if small else "<u4").tobytes()
-            narrow = [x.astype("<u2").tobytes() + end if small else b"\0" + x.tobytes() + end for x in ids]
+            # ids of 2 bytes, or, marked by an odd length, 4
+            mark, end = b"" if made.type.itemsize == 2 else b"\0", np.array([END_ID], made.type).tobytes()
+            narrow = [mark + x.tobytes() + end for x in ids]
             n = [x.size + 1 for x in ids]
             starts = []
             for q, size in zip(b.column("queue").to_pylist(), n, strict=True):

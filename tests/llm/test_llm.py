@@ -132,6 +132,17 @@ def test_word_ids_equal_library():
     assert [x.tolist() for x in made.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_polynomial_hashes_confuse():
+    """Thue-Morse words collide under any polynomial hash modulo 2^64; and contractions, runs of marks and digits."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    made, tk = packing.WordTokens(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()), library("word_bpe_49k.json")
+    texts = [f"{a} x", f"{b} x", "it'sx don't we'llama 'tis ''s \"'s 5's re've 'RE 'Ll x'", "12\u0660\u00b2\u00bd a\u0301 \u0130 \u2003x\u3000'", "'", "'s", ""]
+    assert [x.tolist() for x in made.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_layout_is_a_deficit_round_robin():
     def simulate(totals, weights, window):
         out, left, spent = [], list(totals), [0] * len(totals)
