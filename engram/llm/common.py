@@ -15,8 +15,8 @@ from engram.session import ship
 
 #: Text that a Python operator handles at a time; larger Arrow batches are cut into slices of about this size.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch at most: texts can be long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 2000
+#: Bytes of rows that are broadcast at most, and rows of one key that a shuffled join may bring to one task.
+BROADCAST_BYTES, HOT = 16 << 20, 100_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,9 +36,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors; a task starts with no other operator's tables in its worker."""
     ship(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
     own = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +48,38 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether all rows of ``df``, a written table, have BROADCAST_BYTES at most."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        wide = f.dataType.simpleString() in ("string", "binary")
+        width += F.coalesce(F.octet_length(f.name), F.lit(0)) + 8 if wide else F.lit(8)
+    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it is small, else as it is, to be shuffled."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def hot_lookup(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, a written one with a row for each key ``on`` and in ``count`` how many rows the key has.
+
+    A small table is broadcast whole. Of others the keys of more than HOT rows are broadcast, as there can't be more than
+    one such key for every HOT rows, and the rest are shuffled; so no task gets more than HOT rows of one key. ``count`` is
+    dropped. how: inner or left; rows with a null key find nothing.
+    """
+    on = [on] if isinstance(on, str) else on
+    named = F.col(on[0]).isNotNull()
+    small = table.drop(count)
+    if is_small(small):
+        return rows.join(F.broadcast(small), on, how)
+    hot, cold = F.broadcast(table.filter(F.col(count) > HOT).drop(count)), table.filter(F.col(count) <= HOT).drop(count)
+    rest = rows.filter(named).join(hot.select(*on), on, "left_anti")
+    out = rows.join(hot, on).unionByName(rest.join(cold, on, how))
+    return out.unionByName(rows.filter(~named), allowMissingColumns=True) if how == "left" else out
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n: it deals the labelled rows into folds."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

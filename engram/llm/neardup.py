@@ -24,15 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import arrow_map, slices
+from engram.llm.common import arrow_map, broadcast_if_small, hot_lookup, slices
 from engram.llm.components import components
 from engram.session import materialize
 
-PLACES, TREES, DEPTH, SMALL, BROADCAST_ROWS = 64, 10, 6, 40, 1_000_000
+PLACES, TREES, DEPTH, SMALL = 64, 10, 6, 40
 #: Bits from the consensus within which a member joins a pivot's group, and within which it branches no further.
 NEAR, CENTRAL = 20, 10
 #: Members of a block on either side of a comparison; bits of a member's bitmap of shingles that the pivot lacks.
 INSIDE, OUTSIDE, NEW_BITS = 1024, 256, 256
+#: Blocks of either side that meet in one task.
+GRID = 8
 #: The first id that stands for a null one, beyond all integers' range, and the type that holds both.
 STAND_IN, WIDE = "1" + "0" * 20, "decimal(38,0)"
 _RNG = np.random.default_rng(20240501)
@@ -69,8 +71,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def set_name(s: np.ndarray) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
+def set_name(s: np.ndarray) -> tuple[int | None, int | None]:
+    """The 128-bit name of a set, as two numbers; an empty set has none."""
+    if not s.size:
+        return None, None
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+
+
+def _names(sets: list[np.ndarray]) -> list[pa.Array]:
+    named = [set_name(s) for s in sets]
+    return [pa.array([x[i] for x in named], pa.int64()) for i in (0, 1)]
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
@@ -107,7 +118,7 @@ def children(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.nd
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, k, sig): size and name of each document's shingle set and, where it isn't empty, its signature."""
+    """(doc_id, n, hi, lo, sig): size and name of each document's shingle set and, where it isn't empty, its signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +126,9 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             full = [s for s in sets if s.size]
             sig = iter([r.tobytes() for r in signature(full)] if full else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_name(s) if s.size else None for s in sets], pa.int64()), pa.array([next(sig) if s.size else None for s in sets], pa.binary())], names=["doc_id", "n", "k", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), *_names(sets), pa.array([next(sig) if s.size else None for s in sets], pa.binary())], names=["doc_id", "n", "hi", "lo", "sig"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n bigint, k bigint, sig binary")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n bigint, hi bigint, lo bigint, sig binary")
 
 
 def branch(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
@@ -170,22 +181,22 @@ def small_pairs(nodes: DataFrame, differ: int) -> DataFrame:
     return arrow_map(nodes.select("members"), run, "a bigint, b bigint, star boolean")
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has BROADCAST_ROWS rows at most, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def full_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(k, names) of the classes in pairs (a, b), from the documents that stand for them, which are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "doc_id"), "k")
-    wanted = _broadcast_if_small(materialize(wanted, "wanted").select("doc_id").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "doc_id", "hi", "lo"), "k")
+    wanted = broadcast_if_small(materialize(wanted, "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [s for s in (shingle_set(t, width) for t in b.column("text").to_pylist()) if s.size]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "names"])
-
-    sets = arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), run, "k bigint, names binary")
+            k, names = [], []
+            for x, t, *name in zip(*(b.column(c).to_pylist() for c in ("k", "text", "hi", "lo")), strict=True):
+                made = shingle_set(t, width)
+                if set_name(made) == tuple(name):  # an id may stand for other texts too
+                    k.append(x)
+                    names.append(made.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(names, pa.binary())], names=["k", "names"])
+
+    sets = arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id").select("k", "text", "hi", "lo"), run, "k bigint, names binary")
     return materialize(sets.groupBy("k").agg(F.min("names").alias("names")), "sets")
 
 
@@ -216,10 +227,12 @@ def consensus(big: DataFrame) -> DataFrame:
     word = F.lit(0).cast("bigint")
     for i in range(PLACES):
         word = word.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    middle = votes.select("node", word.alias("middle"))
-    far = materialize(big.join(middle, "node").select("node", "k", "bits", F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("far")), "far")
-    pivots = far.groupBy("node").agg(F.min(F.struct("far", "k")).alias("p")).select("node", F.col("p.k").alias("pivot"))
-    return far.join(pivots, "node")
+    middle = votes.select("node", "n", word.alias("middle"))
+    middle = materialize(middle, "middle")
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("far")
+    far = materialize(hot_lookup(big, middle, "node", "n").select("node", "k", "bits", far), "far")
+    pivots = far.groupBy("node").agg(F.min(F.struct("far", "k")).alias("p"), F.count("*").alias("n")).select("node", "n", F.col("p.k").alias("pivot"))
+    return hot_lookup(far, materialize(pivots, "pivots"), "node", "n")
 
 
 def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +243,9 @@ def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meet each other, so a group of any size is spread over tasks, and only pairs that pass the bound leave them.
     """
     split = groups.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(F.col("root") != F.col("main")).alias("outside")).filter("outside > 0")
-    rows = groups.join(split, "pivot").join(sets, "k")
-    rows = rows.join(sets.select(F.col("k").alias("pivot"), F.col("names").alias("base")), "pivot")
+    split = materialize(split.withColumn("n", F.col("size")).join(sets.select(F.col("k").alias("pivot"), F.col("names").alias("base")), "pivot"), "split")
+    rows = hot_lookup(groups, split.drop("base"), "pivot", "n").join(sets, "k")
+    rows = hot_lookup(rows, split.select("pivot", "n", "base"), "pivot", "n")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "names"):
@@ -257,9 +271,13 @@ def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def blocks(df: DataFrame, total: str, most: int, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("k", F.lit(name)), F.ceil(F.col(total) / most)).alias("block")
-        return df.groupBy("pivot", block).agg(F.collect_list(item).alias(name)).drop("block")
+        return df.groupBy("pivot", block).agg(F.collect_list(item).alias(name), F.first("size").alias("size"), F.first("outside").alias("outside"))
 
-    met = blocks(coded, "size", INSIDE, "xs").join(blocks(coded.filter("root <> main"), "outside", OUTSIDE, "ys"), "pivot")
+    # the blocks of a group lie on a grid, of which a task gets GRID by GRID
+    across, down = F.ceil(F.col("size") / (INSIDE * GRID)), F.ceil(F.col("outside") / (OUTSIDE * GRID))
+    xs = blocks(coded, "size", INSIDE, "xs").select("pivot", "xs", F.pmod("block", across).alias("x"), F.explode(F.sequence(F.lit(0), down - 1)).alias("y"))
+    ys = blocks(coded.filter("root <> main"), "outside", OUTSIDE, "ys").select("pivot", "ys", F.explode(F.sequence(F.lit(0), across - 1)).alias("x"), F.pmod("block", down).alias("y"))
+    met = xs.join(ys, ["pivot", "x", "y"])
 
     def unpack(part: pa.ListArray) -> tuple:
         rows = part.to_pylist()
@@ -315,26 +333,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     named = stand_ins(docs)
     found = _linked(named, width, percent, trees)
     if named is docs:
-        return found
+        return found.drop("hi", "lo", "root")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return found.select(_restored("doc_id", kind), "n_shingles", _restored("component_id", kind), "kept")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
-    """``near_duplicates`` of documents whose ids aren't null."""
+    """``near_duplicates`` of documents whose ids aren't null, with hi and lo, the name of a row's set, and its component's
+    root, a class; all null without shingles."""
     threshold, differ = percent / 100, round(PLACES * (1 - percent / 100) / 2 + 5 * np.sqrt(PLACES * (1 + percent / 100) * (1 - percent / 100)) / 2)
     every = materialize(shingled(docs, width), "shingled")
-    classes = every.filter("k is not null").groupBy("k").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("k", "r.doc_id", "r.sig")
-    classes = materialize(classes, "classes")
+    # a class is a set, told by 128 bits; k is its number, in the table that is written here
+    classes = every.filter("hi is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "sig")).alias("r"), F.count("*").alias("copies"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("k"), "hi", "lo", "r.doc_id", "r.sig", "copies"), "classes")
 
     small, stars, level = [], [], branch(classes.select("k", "sig"), threshold, trees)
     for depth in range(1, DEPTH + 1):
         level = materialize(level, f"level{depth}")
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = level.join(sizes, "node")
-        members = rows.filter(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("k", "bits")).alias("members"))
+        sizes = materialize(level.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL), "sizes")
+        big = materialize(hot_lookup(level, sizes.withColumn("big", F.lit(True)), "node", "size").select("node", "k", "bits"), "big")
+        # without the large nodes a node's rows are few
+        few = level.join(broadcast_if_small(sizes.select("node")), "node", "left_anti")
+        members = few.groupBy("node").agg(F.collect_list(F.struct("k", "bits")).alias("members")).filter(F.size("members") > 1)
         small.append(materialize(small_pairs(members, differ), "small"))
-        big = materialize(rows.filter(F.col("size") > SMALL).select("node", "k", "bits"), "big")
         if big.isEmpty():
             break
         big = materialize(consensus(big), "middle")
@@ -359,11 +380,12 @@ def _linked(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     first = confirm(pairs.filter("star").select("a", "b").unionByName(spokes).distinct(), sets, percent)
     first = materialize(first, "links")
     found = materialize(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    roots = _broadcast_if_small(found)
+    roots = broadcast_if_small(found)
     root_of = lambda df, key, name: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
     rest = root_of(root_of(pairs.filter("not star"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-    apart = group_pairs(root_of(root_of(groups, "k", "root"), "pivot", "main"), sets, percent)
+    mains = materialize(root_of(groups.groupBy("pivot").agg(F.count("*").alias("n")), "pivot", "main"), "mains")
+    apart = group_pairs(hot_lookup(root_of(groups, "k", "root"), mains, "pivot", "n"), sets, percent)
     second = confirm(materialize(rest.unionByName(apart).distinct(), "rest"), sets, percent)
     # components are joined by the new links alone: an end stands for its root
     joined = root_of(root_of(second, "a", "ra"), "b", "rb").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
@@ -373,18 +395,50 @@ def _linked(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     final = materialize(final.unionByName(alone), "final")
 
     # the least id of each component, by way of the classes
-    named = final.join(classes.select(F.col("k").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    label = final.join(named, "root").select(F.col("node").alias("k"), "least")
-    own = classes.select("k", F.col("doc_id").alias("own"))
-    label = own.join(label, "k", "left").select("k", F.coalesce("least", "own").alias("component_id"))
-    out = every.select("doc_id", "n", "k").join(label, "k", "left")
+    named = final.join(classes.select(F.col("k").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    label = hot_lookup(final, materialize(named, "named"), "root", "n").withColumnRenamed("node", "k")
+    label = classes.select("k", "hi", "lo", "copies", F.col("doc_id").alias("own")).join(label, "k", "left")
+    # a single row that has no links needs no label
+    label = label.filter("copies > 1 or root is not null").select("hi", "lo", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("component_id", "own").alias("component_id"))
+    out = hot_lookup(every.select("doc_id", "n", "hi", "lo"), materialize(label, "label"), ["hi", "lo"], "copies", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "hi", "lo", "root")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id, with its own columns."""
+    """One document of each group of near-duplicates, that of the smallest id, with its own columns.
+
+    Of rows that share the smallest id the one of the least set name stays, of those with the same set the least row by
+    its columns in order (any of them if a column has no order). Null and wordless texts are in no group and all stay,
+    repeated ones too. Null ids go last; a group without other ids keeps one row. An empty table gives an empty one.
+    """
     named = stand_ins(docs)
-    marks = _broadcast_if_small(materialize(_linked(named, width, percent, TREES).filter("kept").select("doc_id").distinct(), "kept"))
-    kept = named.join(marks, named["doc_id"] == marks["doc_id"], "left_semi")
+    rows = materialize(_linked(named, width, percent, TREES), "linked")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("kept").select("doc_id", "n")
+    ids = materialize(ids, "kept_ids")
+    kept = named.join(broadcast_if_small(ids.filter("n = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    many = ids.filter("n > 1").select("doc_id")
+    if not many.isEmpty():
+        kept = kept.unionByName(_one_of_each(named, rows, broadcast_if_small(many), width).select(*docs.columns))
     return kept if named is docs else kept.withColumn("doc_id", _restored("doc_id", docs.schema["doc_id"].dataType.simpleString()))
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame, many: DataFrame, width: int) -> DataFrame:
+    """The documents that stay of those whose ids, ``many``, stand in several rows; ``rows`` as ``_linked`` gives them."""
+    found = rows.filter("kept").join(many, "doc_id", "left_semi")
+    stay = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("r")).select("r.*")
+    # a linked or copied set in this list, and a set that is alone and so has no root
+    stay = stay.unionByName(found.filter("root is null and hi is not null").select("doc_id", "hi", "lo")).withColumn("stays", F.lit(True))
+    copies = docs.join(many, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    kind, row = docs.schema["doc_id"].dataType.simpleString(), copies.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *_names(sets)], names=["row", "doc_id", "hi", "lo"])
+
+    made = arrow_map(copies, run, f"row {row}, doc_id {kind}, hi bigint, lo bigint")
+    least = F.any_value("row") if "map<" in row or "variant" in row else F.min("row")
+    full = made.filter("hi is not null").groupBy("doc_id", "hi", "lo").agg(least.alias("row"))
+    full = full.join(stay, ["doc_id", "hi", "lo"], "left_semi")
+    return made.filter("hi is null").select("row.*").unionByName(full.select("row.*"))

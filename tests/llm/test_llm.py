@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, components, fingerprint, langid, media, neardup, packing, quality, queries, sharding, toxicity, urlrep
+from engram.llm import bpe, common, components, fingerprint, langid, media, neardup, packing, quality, queries, sharding, toxicity, urlrep
 
 EDGE = [(1, None), (2, ""), (3, "a"), (4, "Same text here, twice."), (5, "Same text here, twice."), (6, "é😀 \x1c\t x\n\n日本 <|endoftext|> don't"), (7, "lorem ipsum " * 3000), (8, "...!!! 123")]
 
@@ -295,10 +295,15 @@ def brute_components(docs, width, percent):
     return {k: (len(sets[k]), find(k), find(k) == k) for k in sets}
 
 
-@pytest.mark.parametrize("small", [40, 3])
-def test_near_duplicates(spark, monkeypatch, small):
-    """With small nodes of 3 the groups of copies go the way of large ones."""
+@pytest.mark.parametrize(("small", "limit"), [(40, 1 << 24), (3, 1 << 24), (3, 0)])
+def test_near_duplicates(spark, monkeypatch, small, limit):
+    """With small nodes of 3 the groups of copies go the way of large ones; without broadcasts all joins are shuffled."""
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "HOT", 100_000 if limit else 5)
+    monkeypatch.setattr(neardup, "INSIDE", 1024 if limit else 4)
+    monkeypatch.setattr(neardup, "OUTSIDE", 256 if limit else 2)
+    monkeypatch.setattr(neardup, "GRID", 8 if limit else 2)
     rng = random.Random(small)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
@@ -320,6 +325,35 @@ def test_near_duplicates_edges(spark, edge):
     assert neardup.keep_one(edge).columns == edge.columns and {r.doc_id for r in neardup.keep_one(edge).collect()} == {1, 2, 3, 4, 6, 7, 8}
 
 
+def test_repeated_ids_leave_one_of_each_group(spark, edge):
+    a, b, near = (" ".join(f"{c}{i}" for i in range(40)) for c in "abn")
+    near = a.replace("a39", "x")
+    rows = [(1, a), (1, a), (2, a), (1, b), (3, b), (1, near), (None, None), (None, ""), (None, b), (4, ""), (4, ""), (None, "one of its own"), (5, "one"), (5, "two")]
+    df = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id bigint, text string, root int")
+    got = neardup.keep_one(df).collect()
+    texts = sorted((r.text or "") for r in got)
+    assert sorted({a, near} & set(texts)) != [] and len({a, near} & set(texts)) == 1
+    assert texts == sorted([next(t for t in texts if t in (a, near)), b, "", "", "", "", "one of its own", "one", "two"])
+    assert all(r.doc_id == 1 for r in got if r.text in (a, near, b))
+    assert neardup.keep_one(edge.unionByName(edge)).filter("doc_id in (3, 4, 5, 6, 7, 8)").count() == 5
+
+
+def test_near_duplicate_recall(spark):
+    """Ids divisible by 20 against all rows, by brute force: linked texts are of one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = [(r.doc_id, s) for r in docs.collect() if (s := neardup.shingle_set(r.text, 3)).size]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    size = np.array([s.size for _, s in sets])
+    first, flat = np.cumsum(size) - size, np.concatenate([s for _, s in sets])
+    links = missed = 0
+    for q, own in sets:
+        if q % 20 == 0:
+            both = np.add.reduceat(np.isin(flat, own, kind="sort"), first, dtype=np.int64)
+            for i in np.flatnonzero(100 * both >= 85 * (size + own.size - both)).tolist():
+                links, missed = links + (sets[i][0] != q), missed + (found[sets[i][0]] != found[q])
+    assert links > 50 and missed == 0, (links, missed)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 52), (52, 51), (7, 7), (None, 3)], "u bigint, v bigint")
     got = {r.node: r.root for r in components.components(e).collect()}
