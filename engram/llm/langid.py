@@ -11,21 +11,22 @@ learn how long languages last, and a document's language is learned from its wor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import arrow_map, crc_mod, slices
 
-#: Documents a language that a fit takes at most, languages at most (those of most documents), hashed features.
-SAMPLE, LANGUAGES, SIZE = 200, 64, 1 << 17
+#: Documents a language that a fit takes at most, documents of all languages together (each has one at least),
+#: hashed features.
+SAMPLE, TOTAL, SIZE = 200, 12_800, 1 << 17
 SEQUENCES, LENGTH, RUN, BATCH, EPOCHS, RATE, RIDGE = 3000, 48, 12, 250, 6, 0.15, 1e-6
 SLICE = 5 << 20
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 KINDS = 9
 
 
@@ -221,25 +222,22 @@ class Tagger:
 
 
 def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = SAMPLE) -> dict:
-    """The model from rows with a language and a text outside the held-out fold, ``per_language`` of each at most.
+    """The model from rows with a language and a text outside the held-out fold: all languages, ``per_language`` rows of each
+    at most, fewer where these would be more than TOTAL.
 
     The ids of a language are dealt into as many buckets by hash, and each bucket gives its smallest hash; so the rows
-    are aggregated before any shuffle, however many rows a language has.
+    are aggregated before any shuffle, however many rows a language has. Of an id's rows of a language one counts, that of
+    the least text; rows without an id are left out. An empty table gives a model without languages.
     """
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc_mod("doc_id", folds) != held)
+    languages = rows.select("lang").distinct().count()
+    each = max(1, min(per_language, TOTAL // max(1, languages)))
     h = F.xxhash64("doc_id")
-    ids = rows.groupBy("lang", F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x"), F.count("*").alias("n"))
-    got = ids.select("lang", "x.doc_id", "n").orderBy(F.desc("n"), "lang", "doc_id").limit(per_language * LANGUAGES * 4).collect()
-    total: dict[str, int] = {}
-    for r in got:
-        total[r.lang] = total.get(r.lang, 0) + r.n
-    languages = set(sorted(total, key=lambda x: (-total[x], x))[:LANGUAGES])
-    wanted = sorted({r.doc_id for r in got if r.lang in languages})
-    if not wanted:
-        return fit([])
-    picked = docs.sparkSession.createDataFrame([(i,) for i in wanted], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    return fit([(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang, r.text)) if r.lang in languages])
+    ids = rows.groupBy("lang", F.pmod(h, F.lit(each)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x"))
+    picked = ids.select("lang", "x.doc_id")  # as many rows as languages times ``each``
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["lang", "doc_id"], "left_semi")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return fit([(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang))])
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -263,7 +261,11 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def word_labels(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
-    """(id, words array of (start, end, lang, posterior)): the labels of a text's words, in its lower-case form."""
+    """(id, words array of (start, end, lang, posterior)): the labels of a text's words, in its lower-case form.
+
+    A null text, one without letters, and any text without learned languages have no words. Rows are independent; repeated
+    rows keep their count; an empty table gives an empty one; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +281,11 @@ def word_labels(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFra
 
 
 def keep_identified(docs: DataFrame, least: float = 0.34) -> DataFrame:
-    """The documents whose language is found with a score of ``least`` or more, with their own columns."""
-    names = docs.columns
-    return identify(docs, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    """The documents whose language is found with a score of ``least`` or more, with their own columns.
+
+    Null texts and those without letters go, as they have no language; if no document has a known language to learn from,
+    all go. Repeated rows stay or go together; an empty table gives an empty one; columns named lang_pred or score, which
+    the tagger replaces, come back as they were.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return identify(rows, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -172,12 +172,16 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
 
 
 def sample_of(docs: DataFrame, marks: DataFrame, rows: int) -> tuple[DataFrame, float]:
-    """(doc_id, text, y): at most ``rows`` labelled documents of each class; and the share of class 1 among all."""
+    """(doc_id, text, y): at most ``rows`` labelled documents of each class, and the share of class 1 among all.
+
+    Of an id's rows one counts, that of the least text, so as many rows as ids may reach the driver; null texts are empty.
+    """
     n, ones = marks.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = (ones + 1) / (n + 2)
     picked = bounded_sample(marks.filter("y = 1"), rows, "doc_id").unionByName(bounded_sample(marks.filter("y = 0"), rows, "doc_id"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id"), share  # picked: 2 * rows ids at most
+    texts = texts.join(F.broadcast(picked), "doc_id")  # picked: 2 * rows ids at most
+    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), share
 
 
 def _features() -> Features:
@@ -185,7 +189,10 @@ def _features() -> Features:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = SAMPLE) -> dict:
-    """The model of ``label`` from the labelled rows outside the held-out fold, ``rows`` of each class at most."""
+    """The model of ``label`` from the labelled rows outside the held-out fold, ``rows`` of each class at most.
+
+    Null ids and labels are left out; an id's labels count once, the largest; an empty table gives a model of the prior.
+    """
     sample, share = sample_of(docs, labelled(docs, labels, label, folds, held), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +229,10 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier predicts to be good, with their own columns."""
-    names = docs.columns
-    return classify(docs, train(docs, labels), threshold).filter("predicted = 1").select(*names)
+    """The documents that the classifier predicts to be good, with their own columns.
+
+    A null or empty text is judged by the score of an empty one. Repeated rows stay or go together; an empty table gives an
+    empty one; columns named score or predicted come back as they were.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return classify(rows, train(docs, labels), threshold).filter("predicted = 1").select("row.*")
