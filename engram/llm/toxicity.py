@@ -1,12 +1,15 @@
 """Weighted finite-state pattern grammar for toxic clauses.
 
-Lexical transducers read a word and write a class: I insult (exact words and stems, learned), T threat, G target,
-N negation, R reported speech, or _ for the rest. Grammar transducers read classes: negation remembers for three words
-that it holds, reported speech holds until the clause ends, target marks a clause that addresses somebody. Their
-composition, one deterministic machine, reads a clause's classes and writes what was matched: insults and threats, each
-plain, targeted, negated or reported. A document's score is a logistic function of the weighted matches of its clauses.
-
-Words and stems of insults, with their weights, and the weights of the match kinds are learned from labelled rows.
+Five lexical machines read a word letter by letter and write its class, with a weight on the last arc: I insult (exact
+words and stems, learned), T threat, G target, N negation, R reported speech, or _ for the rest. Their union, one trie, is
+deterministic. Grammar transducers read classes and mark insults and threats: negation holds for some words, target and
+reported speech mark what stands before and behind them in the clause. What depends on both sides of a word is no matter
+for one machine that reads left to right, so the grammar is a bimachine: negation, report and target composed reading the
+clause forwards, then report, target and verdict composed reading its output backwards.
+
+Weights are logarithms: composition adds them, and a document sums its matches of a kind in the log semiring. Its score is a
+logistic function of these sums. Words and stems of insults, with their weights, and the weights of the match kinds are
+learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -50,9 +53,9 @@ FACTORS = {"plain": 1.0, "targeted": 1.3, "negated": 0.5, "reported": 0.6}
 
 
 class Transducer:
-    """States 0..n-1 with a step (state, symbol) -> (state, output); deterministic, start 0."""
+    """States 0..n-1 with arcs (state, symbol) -> (state, output, weight); deterministic, start 0."""
 
-    def __init__(self, states: int, step: Callable[[int, str], tuple[int, str]], symbols: Iterable[str]):
+    def __init__(self, states: int, step: Callable[[int, str], tuple[int, str, float]], symbols: Iterable[str]):
         self.symbols = tuple(symbols)
         self.arcs = {(s, a): step(s, a) for s in range(states) for a in self.symbols}
 
@@ -61,76 +64,125 @@ class Transducer:
         number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
         for s, t in todo:
             for a in self.symbols:
-                s2, mid = self.arcs[s, a]
-                t2, out = after.arcs[t, mid]
+                s2, mid, w = self.arcs[s, a]
+                t2, out, w2 = after.arcs[t, mid]
                 if (s2, t2) not in number:
                     number[s2, t2] = len(number)
                     todo.append((s2, t2))
-                arcs[number[s, t], a] = (number[s2, t2], out)
+                arcs[number[s, t], a] = (number[s2, t2], out, w + w2)
         made = object.__new__(Transducer)
         made.symbols, made.arcs = self.symbols, arcs
         return made
 
-    def run(self, symbols: Iterable[str]) -> list[str]:
+    def run(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
+        """(output, weight) of each symbol."""
         state, out = 0, []
         for a in symbols:
-            state, o = self.arcs[state, a]
-            out.append(o)
+            state, o, w = self.arcs[state, a]
+            out.append((o, w))
         return out
 
 
-def grammar(reach: int = 3) -> Transducer:
-    """Negation, then reported speech, then target; symbols that stand for matches gather marks on the way."""
-    base = ["I", "T", "G", "N", "R", "_"]
+#: Classes of words, and those with marks: n negated, r reported, t targeted.
+CLASSES = ("I", "T", "G", "N", "R", "_")
+MARKED = (*CLASSES, *(c + m for c in "IT" for m in ("n", "r", "t", "nr", "nt", "rt", "nrt")))
+
+
+def negation(reach: int = 6) -> Transducer:
+    """Marks insults and threats among the ``reach`` words behind a negation."""
 
-    def negation(s: int, a: str) -> tuple[int, str]:
+    def step(s: int, a: str) -> tuple[int, str, float]:
         if a == "N":
-            return reach, a
-        return max(0, s - 1), a + "n" if a in "IT" and s else a
+            return reach, a, 0.0
+        return max(0, s - 1), _mark(a, "n") if s else a, 0.0
+
+    return Transducer(reach + 1, step, MARKED)
+
 
-    marked = [*base, "In", "Tn"]
+def _mark(symbol: str, mark: str) -> str:
+    return symbol[0] + "".join(sorted({*symbol[1:], mark})) if symbol[0] in "IT" else symbol
 
-    def reported(s: int, a: str) -> tuple[int, str]:
-        if a == "R":
-            return 1, a
-        return s, a + "r" if a[0] in "IT" and s else a
 
-    quoted = [*marked, "Ir", "Tr", "Inr", "Tnr"]
+def after(word: str, mark: str) -> Transducer:
+    """Marks the insults and threats that the machine reads once it has read a word of a class."""
+    return Transducer(2, lambda s, a: (1, a, 0.0) if a == word else (s, _mark(a, mark) if s else a, 0.0), MARKED)
 
-    def target(s: int, a: str) -> tuple[int, str]:
-        if a == "G":
-            return 1, ""
+
+def verdict() -> Transducer:
+    """Reads marked classes, writes matches with the weight of their kind: negated, else reported, else targeted, else plain."""
+
+    def step(s: int, a: str) -> tuple[int, str, float]:
         if a[0] not in "IT":
-            return s, ""
-        kind = "negated" if "n" in a else "reported" if "r" in a else "targeted" if s else "plain"
-        return s, ("insult " if a[0] == "I" else "threat ") + kind
+            return s, "", 0.0
+        kind = next((k for m, k in (("n", "negated"), ("r", "reported"), ("t", "targeted")) if m in a), "plain")
+        return s, ("insult " if a[0] == "I" else "threat ") + kind, math.log(FACTORS[kind])
+
+    return Transducer(1, step, MARKED)
+
+
+class Grammar:
+    """The bimachine: ``forwards`` reads a clause's classes, ``backwards`` what that wrote, from the clause's end on."""
 
-    return Transducer(reach + 1, negation, base).compose(Transducer(2, reported, marked)).compose(Transducer(2, target, quoted))
+    def __init__(self):
+        self.forwards = negation().compose(after("R", "r")).compose(after("G", "t"))
+        self.backwards = after("R", "r").compose(after("G", "t")).compose(verdict())
+
+    def run(self, classes: list[str]) -> list[tuple[str, float]]:
+        """(match or nothing, weight) of each word."""
+        there = self.forwards.run(classes)
+        back = self.backwards.run([a for a, _ in reversed(there)])
+        return [(o, w + v) for (o, w), (_, v) in zip(reversed(back), there, strict=True)]
+
+
+def grammar() -> Grammar:
+    return Grammar()
 
 
 class Lexicon:
-    """Lexical transducers: words and stems -> class and weight. The scan for insults and threats is one pattern."""
+    """The five lexical machines as one trie of letters; where a word ends the arc writes its class and its weight.
+
+    A stem accepts whatever letters follow, and a longer entry goes first. What a stem weighs goes by how many of the
+    document's matched words have it, so its arc carries a weight for each such number up to REPEATS. The scan for the
+    clauses to read is one pattern of all insults and threats.
+    """
 
     def __init__(self, insults: dict[str, float], stems: dict[str, list[float]]):
-        self.insults, self.stems = insults, stems
-        self.classes = {w: c for c, ws in (("G", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS)) for w in ws}
+        log = lambda w: math.log(w) if w > 0 else -math.inf
+        self.next: list[dict[str, int]] = [{}]
+        #: state -> (class, stem or nothing, weights), for words that end there and for those that go on from there
+        self.whole: dict[int, tuple[str, str, list[float]]] = {}
+        self.onward: dict[int, tuple[str, str, list[float]]] = {}
+        for words, what in ((REPORTS, "R"), (NEGATIONS, "N"), (TARGETS, "G"), (THREATS, "T")):
+            for w in words:
+                self.whole[self._state(w)] = (what, "", [0.0])
+        for stem, ladder in stems.items():
+            self.onward[self._state(stem)] = ("I", stem, [log(w) for w in ladder])
+        for w, weight in insults.items():
+            self.whole[self._state(w)] = ("I", "", [log(weight)])
         words = sorted({*insults, *stems, *THREATS}, key=len, reverse=True)
         self.scan = re.compile("|".join(map(re.escape, words)))
-        self.sizes = sorted({len(s) for s in stems})
 
-    def stem(self, word: str) -> str | None:
-        """The longest stem of a word."""
-        return next((word[:n] for n in reversed(self.sizes) if word[:n] in self.stems), None)
-
-    def read(self, word: str) -> str:
-        """The class of a lower-case word."""
-        return "I" if word in self.insults or self.stem(word) else self.classes.get(word, "_")
-
-    def weights(self, words: list[str]) -> list[float]:
-        """Weights of a document's matched words; that of a stem goes by how many of them have it."""
-        stems = [None if w in self.insults else self.stem(w) for w in words]
-        count = Counter(x for x in stems if x)
-        return [self.stems[x][min(count[x], REPEATS) - 1] if x else self.insults.get(w, 1.0) for w, x in zip(words, stems, strict=True)]
+    def _state(self, word: str) -> int:
+        state = 0
+        for c in word:
+            if c not in self.next[state]:
+                self.next[state][c] = len(self.next)
+                self.next.append({})
+            state = self.next[state][c]
+        return state
+
+    def read(self, word: str) -> tuple[str, str, list[float]]:
+        """(class, stem, weights) that a lower-case word's path writes."""
+        state, found = 0, None
+        for c in word:
+            state = self.next[state].get(c, -1)
+            if state < 0:
+                break
+            found = self.onward.get(state, found)
+        whole = self.whole.get(state)
+        if whole and (whole[0] == "I" or found is None):
+            return whole
+        return found or ("_", "", [0.0])
 
 
 def clauses(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
@@ -148,27 +200,30 @@ def clauses(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def matches(text: str, lexicon: Lexicon, machine: Transducer) -> list[tuple[int, int, str, str, float]]:
-    """(start, end, match, word, weight) of a text's matches, in its lower-case form."""
+def matches(text: str, lexicon: Lexicon, machine: Grammar) -> list[tuple[int, int, str, str, float]]:
+    """(start, end, match, word, log weight) of a text's matches, in its lower-case form."""
     low, out = text.lower(), []
+    stems: Counter = Counter()
     for begin, end in clauses(low, lexicon):
         words = list(WORD.finditer(low, begin, end))
-        for m, what in zip(words, machine.run(lexicon.read(m.group()) for m in words), strict=True):
+        read = [lexicon.read(m.group()) for m in words]
+        for m, (_, stem, weights), (what, weight) in zip(words, read, machine.run([c for c, _, _ in read]), strict=True):
             if what:
-                out.append((m.start(), m.end(), what, m.group()))
-    weights = lexicon.weights([w for *_, w in out])
-    return [(*m, weight) for m, weight in zip(out, weights, strict=True) if weight > 0]
+                stems[stem] += 1
+                out.append((m.start(), m.end(), what, m.group(), weight, stem, weights))
+    found = [(*m, w + weights[min(stems[stem], len(weights)) - 1 if stem else 0]) for *m, w, stem, weights in out]
+    return [m for m in found if m[-1] > -math.inf]
 
 
 def vector(found: list[tuple[int, int, str, str, float]]) -> list[float]:
-    """A document's features: for each kind of match, insults by weight, threats counted, damped by a logarithm."""
+    """A document's features: the weights of each kind of match summed in the log semiring, on top of one."""
     sums = Counter()
     for _, _, what, _, weight in found:
-        sums[what] += weight
+        sums[what] += math.exp(weight)
     return [math.log1p(sums[f"{what} {kind}"]) for what in ("insult", "threat") for kind in KINDS]
 
 
-PRIOR = np.array([8.0 * FACTORS[k] for k in KINDS] + [2.0 * FACTORS[k] for k in KINDS])
+PRIOR = np.array([8.0] * len(KINDS) + [2.0] * len(KINDS))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, share: float, pull: float = 0.02) -> tuple[np.ndarray, float]:
@@ -267,7 +322,10 @@ def distinct_sample(sample: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = SAMPLE) -> dict:
-    """{insults, stems, weights, bias} from labelled rows outside the held-out fold, ``rows`` of each class at most."""
+    """{insults, stems, weights, bias} from labelled rows outside the held-out fold, ``rows`` of each class at most.
+
+    Null ids and labels are left out, an id's labels and texts count once; an empty table gives the general words alone.
+    """
     sample, share = sample_of(docs, labelled(docs, labels, "toxic", folds, held), rows)
     sample = distinct_sample(sample)
 

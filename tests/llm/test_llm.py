@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -229,11 +230,44 @@ def test_language_edges(spark, edge):
     assert [got[i].lang_pred for i in (1, 2, 8)] == ["und"] * 3 and got[1].score == 0 and 0 <= got[4].score <= 1
     assert got[4].lang_pred == got[5].lang_pred and langid.identify(edge.limit(0), model).count() == 0
     assert langid.fit([])["languages"] == [] and {r.lang_pred for r in langid.identify(edge, langid.fit([])).collect()} == {"und"}
+    odd = spark.createDataFrame([(1, "½ ②"), (2, "² 3 _"), (3, "½a")], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(odd, model).orderBy("doc_id").collect()] == [True, True, False]
     tags = [w[2] for w in langid.Tagger(model).words("the dog of the house und die katze von dem haus")]
     assert tags[:4] == ["en"] * 4 and tags[-4:] == ["de"] * 4
     assert langid.word_labels(edge, model).count() == len(EDGE)
 
 
+def test_many_languages_and_repeated_ids(spark):
+    """Languages are never left out, and a row that stands often reaches the fit once for each of its languages."""
+    rows = [(i, f"l{i % 90:02d}", " ".join(f"{chr(97 + i % 90 % 26)}{chr(97 + i % 90 // 26)}{c}" for c in "abcdefgh")) for i in range(360)]
+    docs = spark.createDataFrame(rows + rows[:3] * 20 + [(0, "l01", rows[1][2])], "doc_id bigint, lang string, text string")
+    model = langid.train(docs)
+    assert model["languages"] == [f"l{i:02d}" for i in range(90)]
+    got = langid.identify(docs, model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got > 0.9
+
+
+def test_crf_gradient(spark):
+    """The gradient of the transitions against differences of the log-likelihood, by enumeration."""
+    rng = np.random.default_rng(4)
+    emit, logt, y = rng.random((1, 4, 3)) + 0.1, rng.normal(size=(3, 3)), [0, 2, 2, 1]
+
+    def value(logt):
+        s = lambda path: np.prod([emit[0, i, a] for i, a in enumerate(path)]) * np.exp(sum(logt[a, b] for a, b in itertools.pairwise(path)))
+        return np.log(s(y) / sum(map(s, itertools.product(range(3), repeat=4))))
+
+    post, pairs = langid._train_posteriors(emit, np.exp(logt))
+    seen = np.zeros((3, 3))
+    for a, b in itertools.pairwise(y):
+        seen[a, b] += 1
+    for a in range(3):
+        for b in range(3):
+            step = np.zeros((3, 3))
+            step[a, b] = 1e-6
+            assert (value(logt + step) - value(logt - step)) / 2e-6 == pytest.approx((seen - pairs)[a, b], abs=1e-5)
+    assert np.allclose(post.sum(axis=2), 1)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5))
@@ -260,8 +294,78 @@ def test_grammar():
     what = lambda t: [w for _, _, w, _, _ in toxicity.matches(t, lexicon, machine)]
     assert what("What an idiot.") == ["insult plain"] and what("You idiot!") == ["insult targeted"]
     assert what("He is not an idiot. You idiot") == ["insult negated", "insult targeted"] and what("A man said: fine. He said idiot") == ["insult reported"]
-    assert what("videotidiot") == [] and what("schurken") == ["insult plain"] and what("We will kill you") == ["threat plain"]
-    assert what("no comma here but an idiot") == ["insult plain"]
+    assert what("videotidiot") == [] and what("schurken") == ["insult plain"] and what("We will kill you") == ["threat targeted"]
+    assert what("no comma here but an idiot") == ["insult negated"] and what("no. comma here but an idiot") == ["insult plain"]
+    assert what("I will kill you") == ["threat targeted"] and what("idiot, you are") == ["insult targeted"]
+    assert what("an idiot, he said") == ["insult reported"] and what("not one of you is an idiot") == ["insult negated"]
+    weights = lambda t: [round(math.exp(w), 6) for *_, w in toxicity.matches(t, lexicon, machine)]
+    assert weights("schurk") == [0.5] and weights("schurken schurk") == [1.0, 1.0] and weights("you idiot") == [1.3]
+
+
+def test_composition_is_running_in_turn():
+    """Composed machines against the machines one after another, on all clauses of up to five words; and the bimachine
+    against the definition: what stands before and behind a word in its clause."""
+    one = [toxicity.negation(), toxicity.after("R", "r"), toxicity.after("G", "t")]
+    two = [toxicity.after("R", "r"), toxicity.after("G", "t"), toxicity.verdict()]
+    made = toxicity.grammar()
+
+    def turn(machines, symbols):
+        weight = [0.0] * len(symbols)
+        for m in machines:
+            got = m.run(symbols)
+            symbols, weight = [a for a, _ in got], [w + v for w, (_, v) in zip(weight, got, strict=True)]
+        return list(zip(symbols, weight, strict=True))
+
+    for n in range(6):
+        for clause in itertools.product(toxicity.CLASSES, repeat=n):
+            there = turn(one, list(clause))
+            assert made.forwards.run(clause) == there
+            back = turn(two, [a for a, _ in reversed(there)])
+            assert made.backwards.run([a for a, _ in reversed(there)]) == back
+            for i, ((got, weight), c) in enumerate(zip(made.run(list(clause)), clause, strict=True)):
+                if c not in "IT":
+                    assert got == ""
+                    continue
+                kind = "negated" if "N" in clause[max(0, i - 6) : i] else "reported" if "R" in clause else "targeted" if "G" in clause else "plain"
+                assert got == ("insult " if c == "I" else "threat ") + kind and weight == pytest.approx(math.log(toxicity.FACTORS[kind]))
+
+
+def test_lexical_machine():
+    insults, stems = {"abc": 0.7, "said": 0.2}, {"ab": [0.1, 0.2, 0.3], "abcd": [0.4, 0.5, 0.6]}
+    lexicon = toxicity.Lexicon(insults, stems)
+    words = [*toxicity.THREATS, *toxicity.TARGETS, *toxicity.NEGATIONS, *toxicity.REPORTS, "a", "ab", "abc", "abce", "abcd", "abcde", "x", "sai", "saids"]
+    for w in words:
+        stem = max((s for s in stems if w.startswith(s)), key=len, default=None)
+        if w in insults:
+            want = ("I", "", [math.log(insults[w])])
+        elif stem:
+            want = ("I", stem, [math.log(x) for x in stems[stem]])
+        else:
+            what = next((c for c, ws in (("T", toxicity.THREATS), ("G", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS)) if w in ws), "_")
+            want = (what, "", [0.0])
+        assert lexicon.read(w) == want, w
+
+
+def test_lexicon_is_learned():
+    """Words and stems that mark the toxic documents are found, common words aren't."""
+    docs = [{"grumpf", "the", "day"}] * 5 + [{"the", "glorkin", "glork*1"}, {"the", "glorkel", "glork*1"}, {"the", "glorkus", "glork*1"}] * 2
+    counts = {"grumpf": (5, 0), "the": (11, 500), "day": (5, 200), "glork*1": (6, 0), "glorkin": (2, 0), "glorkel": (2, 0), "glorkus": (2, 0)}
+    words, stems = toxicity.learn_lexicon(counts, docs, 11, 500)
+    assert set(words) == {"grumpf"} and set(stems) == {"glork"} and stems["glork"][0] > 0.5
+
+
+def test_held_out_labels_are_not_read(spark):
+    """Labels and languages of held-out rows say nothing: other ones in their place change no score."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = docs.select("doc_id", "text")
+    for part, folds, held, label in ((quality, 5, 0, "quality"), (toxicity, 4, 2, "toxic")):
+        turned = labels.withColumn(label, F.when(common.crc_mod("doc_id", folds) == held, 1 - F.col(label)).otherwise(F.col(label)))
+        a, b = ({r.doc_id: r.score for r in part.classify(text, part.train(text, x)).collect()} for x in (labels, turned))
+        assert a == b
+    other = docs.withColumn("lang", F.when(common.crc_mod("doc_id", 5) == 0, "xx").otherwise(F.col("lang")))
+    a, b = (langid.train(x) for x in (docs, other))
+    assert a["languages"] == b["languages"] and (a["weights"] == b["weights"]).all()
 
 
 def test_classifier_edges(spark, edge):
@@ -340,7 +444,7 @@ def test_repeated_ids_leave_one_of_each_group(spark, edge):
 
 def test_near_duplicate_recall(spark):
     """Ids divisible by 20 against all rows, by brute force: linked texts are of one component."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     sets = [(r.doc_id, s) for r in docs.collect() if (s := neardup.shingle_set(r.text, 3)).size]
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
     size = np.array([s.size for _, s in sets])
@@ -351,7 +455,7 @@ def test_near_duplicate_recall(spark):
             both = np.add.reduceat(np.isin(flat, own, kind="sort"), first, dtype=np.int64)
             for i in np.flatnonzero(100 * both >= 85 * (size + own.size - both)).tolist():
                 links, missed = links + (sets[i][0] != q), missed + (found[sets[i][0]] != found[q])
-    assert links > 50 and missed == 0, (links, missed)
+    assert links > 4 and missed == 0, (links, missed)
 
 
 def test_components(spark):
