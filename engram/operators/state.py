@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,51 +32,47 @@ def usage_percent(bytes_used, bytes_limit, count, count_limit):
     return F.round(F.least(F.lit(100.0), share), 2)
 
 
-def admit(requests: DataFrame, max_bytes: int, max_count: int) -> DataFrame:
-    """Sequential admission by agent, in order of seq: a request that would pass a limit is refused and takes nothing.
+def admit_step(max_bytes: int, max_count: int):
+    """Admitted unless the agent would pass a limit; a refused request takes nothing. A null size counts as 0."""
 
-    (agent, seq, size, admitted). An agent's requests are ordered by a secondary sort and stream through in batches; the
-    state is two numbers, so an agent of any size needs no memory for its group.
-    """
-    n = max(1, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = requests.select("agent", "seq", "size").repartition(n, "agent").sortWithinPartitions("agent", "seq")
+    def step(state, row):
+        used, count = state or (0, 0)
+        ok = used + (row["size"] or 0) <= max_bytes and count < max_count
+        return ((used + (row["size"] or 0), count + 1) if ok else (used, count)), ok
+
+    return step
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        agent, used, count = None, 0, 0
-        for pdf in batches:
-            out = []
-            for a, size in zip(pdf["agent"], pdf["size"], strict=True):
-                if a != agent:
-                    agent, used, count = a, 0, 0
-                ok = used + size <= max_bytes and count < max_count
-                if ok:
-                    used, count = used + size, count + 1
-                out.append(ok)
-            yield pdf.assign(admitted=out)
 
-    return ordered.mapInPandas(run, "agent bigint, seq bigint, size bigint, admitted boolean")
+def admit(requests: DataFrame, max_bytes: int, max_count: int) -> DataFrame:
+    """(agent, seq, size, admitted): sequential admission by agent, in order of seq."""
+    rows = requests.select("agent", "seq", "size")
+    return sequential(rows, "agent", "seq", admit_step(max_bytes, max_count)).withColumnRenamed("accepted", "admitted")
 
 
-def sequential(rows: DataFrame, key: str, order: str, fn, schema: str) -> DataFrame:
+def sequential(rows: DataFrame, key: str, order: str | list[str], fn, schema: str | None = None) -> DataFrame:
     """Rows of each key in order through a step: fn(state, row dict) -> (state, output); adds ``accepted``.
 
-    Keys stream one after another, as in ``admit``.
+    Keys are ordered by a secondary sort and stream through one after another in Arrow batches; the state is a few numbers,
+    so a key of any size needs no memory for its group, but its rows pass one task in order, as the step asks. Null keys are
+    one key; an empty table gives an empty one; a column named accepted is replaced.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartition(n, key).sortWithinPartitions(key, order)
+    rows = rows.drop("accepted")
+    ordered = rows.repartition(n, key).sortWithinPartitions(key, *([order] if isinstance(order, str) else order))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), None
+        for b in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in b.to_pylist():
                 if row[key] != current:
                     current, state = row[key], None
                 state, y = fn(state, row)
                 out.append(y)
-            yield pdf.assign(accepted=out)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "accepted"])
 
-    return ordered.mapInPandas(run, schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return ordered.mapInArrow(run, schema or f"{kinds}, accepted boolean")
 
 
 def dedup_step(window_ms: int):
@@ -126,6 +122,8 @@ def drift_step(percent: float):
 
     def step(base, row):
         v = row["value"]
+        if v is None:
+            return base, False
         if base is None or base == 0:
             return v, False
         drifts = abs(v - base) / abs(base) * 100 > percent

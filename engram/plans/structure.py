@@ -394,7 +394,21 @@ def quota_usage(spark, sf):
     return e.select("agent", st.usage_percent(F.col("b"), F.lit(20000.0), F.col("n"), F.lit(90.0)).alias("used"))
 
 
-@query("quota_admission")
+def _fold(rows: str, key: str, order: str, columns: list[str], first: dict[str, str], then: dict[str, str], out: str) -> str:
+    """SQL of a fold by key: ``first`` and ``then`` give the state's columns from a row b and, later, the state before, r."""
+    take = ", ".join(f"b.{c}" for c in dict.fromkeys([key, *columns]))
+    head, tail = (", ".join(f"{e} AS {n}" for n, e in part.items()) for part in (first, then))
+    return f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM ({rows})), r AS (SELECT {take}, b.n, {head} FROM b WHERE n = 1
+  UNION ALL SELECT {take}, b.n, {tail} FROM r JOIN b ON b.n = r.n + 1 AND b.{key} IS NOT DISTINCT FROM r.{key}) SELECT {out} FROM r"""
+
+
+_EV = "SELECT user_id AS session_id, event_id, epoch_us(ts) // 1000 AS ms, value, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS key FROM events"
+_FITS = "r.used + b.size <= 400 AND r.cnt < 8"
+
+
+@query("quota_admission", _fold("SELECT user_id AS agent, event_id AS seq, CAST(trunc(value) AS BIGINT) AS size FROM events WHERE event_type = 'purchase'", "agent", "seq", ["seq", "size"],
+    {"used": "CASE WHEN b.size <= 400 THEN b.size ELSE 0 END", "cnt": "CASE WHEN b.size <= 400 THEN 1 ELSE 0 END", "admitted": "b.size <= 400"},
+    {"used": f"CASE WHEN {_FITS} THEN r.used + b.size ELSE r.used END", "cnt": f"CASE WHEN {_FITS} THEN r.cnt + 1 ELSE r.cnt END", "admitted": _FITS}, "agent, seq, size, admitted"))
 def quota_admission(spark, sf):
     e = events(spark, sf).filter("event_type = 'MEMORY_SAVED'")
     return st.admit(e.select(F.col("session_id").alias("agent"), F.col("event_id").alias("seq"), F.col("value").cast("bigint").alias("size")), 400, 8)
@@ -402,10 +416,13 @@ def quota_admission(spark, sf):
 
 def _steps(spark, sf, fn, where="true"):
     e = events(spark, sf).filter(where).select("session_id", "event_id", "ms")
-    return st.sequential(e, "session_id", "event_id", fn, "session_id bigint, event_id bigint, ms bigint, accepted boolean")
+    return st.sequential(e, "session_id", "event_id", fn)
+
+
+_APART = "b.ms - r.last >= 7200000"
 
 
-@query("observation_dedup_exact")
+@query("observation_dedup_exact", _fold(_EV, "session_id", "event_id", ["event_id", "ms"], {"last": "b.ms", "accepted": "true"}, {"last": f"CASE WHEN {_APART} THEN b.ms ELSE r.last END", "accepted": _APART}, "session_id, event_id, ms, accepted"))
 def observation_dedup_exact(spark, sf):
     return _steps(spark, sf, st.dedup_step(7_200_000))
 
@@ -415,15 +432,23 @@ def alert_dedup_sliding(spark, sf):
     return _steps(spark, sf, st.sliding_step(3_600_000), "event_type = 'MEMORY_DELETED'")
 
 
-@query("rate_limit")
+_NEW = "b.ms >= r.opened + 86400000"
+
+
+@query("rate_limit", _fold(_EV, "session_id", "event_id", ["event_id", "ms"], {"opened": "b.ms", "cnt": "1", "accepted": "true"},
+    {"opened": f"CASE WHEN {_NEW} THEN b.ms ELSE r.opened END", "cnt": f"CASE WHEN {_NEW} THEN 1 ELSE r.cnt + 1 END", "accepted": f"{_NEW} OR r.cnt < 3"}, "session_id, event_id, ms, accepted"))
 def rate_limit(spark, sf):
     return _steps(spark, sf, st.rate_step(3, 86_400_000))
 
 
-@query("write_locks")
+_GRANT = "b.ms >= r.until OR b.holder = r.owner"
+
+
+@query("write_locks", _fold(_EV.replace("AS session_id", "AS holder"), "key", "event_id", ["event_id", "ms", "holder"], {"owner": "b.holder", "until": "b.ms + 3600000", "accepted": "true"},
+    {"owner": f"CASE WHEN {_GRANT} THEN b.holder ELSE r.owner END", "until": f"CASE WHEN {_GRANT} THEN b.ms + 3600000 ELSE r.until END", "accepted": _GRANT}, "key, event_id, ms, holder, accepted"))
 def write_locks(spark, sf):
     e = events(spark, sf).select("key", "event_id", "ms", F.col("session_id").alias("holder"))
-    return st.sequential(e, "key", "event_id", st.lock_step(3_600_000), "key bigint, event_id bigint, ms bigint, holder bigint, accepted boolean")
+    return st.sequential(e, "key", "event_id", st.lock_step(3_600_000))
 
 
 _QUEUE = """WITH q AS (SELECT conv_id AS id, min(turn) AS created_ms, 1706000000000 + conv_id * 60000 AS started_ms, ['pending', 'processing', 'completed'][conv_id % 3 + 1] AS status FROM conversations GROUP BY conv_id),
@@ -484,10 +509,14 @@ def transcript_messages(spark, sf):
     return transcripts.prompts(table(spark, sf, "conversations")).withColumn("prompt", F.md5("prompt"))
 
 
-@query("point_drift")
+_DRIFT = "abs(b.value - r.base) / abs(r.base) * 100 > 20"
+
+
+@query("point_drift", _fold("SELECT o_custkey, o_orderkey, o_totalprice AS value FROM orders", "o_custkey", "o_orderkey", ["o_orderkey", "value"], {"base": "b.value", "accepted": "false"},
+    {"base": f"CASE WHEN {_DRIFT} THEN r.base ELSE b.value END", "accepted": _DRIFT}, "o_custkey, o_orderkey, value, accepted"))
 def point_drift(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("value"))
-    return st.sequential(o, "o_custkey", "o_orderkey", st.drift_step(20.0), "o_custkey bigint, o_orderkey bigint, value double, accepted boolean")
+    return st.sequential(o, "o_custkey", "o_orderkey", st.drift_step(20.0))
 
 
 @query("validation_rules", """SELECT 'price' AS rule, 'error' AS severity, count(*) AS checked, count(*) FILTER (WHERE NOT o_totalprice < 400000) AS failed FROM orders
