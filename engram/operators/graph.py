@@ -144,3 +144,124 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     left = nodes.join(gone, "id", "left_anti")
     kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return left, kept
+
+
+# ---- entities, subgraphs, imports -----------------------------------------------------------------------------------
+
+
+def by_type(nodes: DataFrame, kind: str) -> DataFrame:
+    """Entities of a type, newest first."""
+    return nodes.filter(F.col("type") == kind).orderBy(F.desc("created"), "id")
+
+
+def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entities whose ids are asked for, each once."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def update_nodes(nodes: DataFrame, changes: DataFrame, now: int) -> DataFrame:
+    """Nodes with the fields of ``changes`` (id and any of the other columns) that aren't null, and the time of the update.
+
+    Unknown ids change nothing; of several changes of an id the last by the order of its columns counts.
+    """
+    fields = [c for c in changes.columns if c != "id"]
+    last = changes.groupBy("id").agg(F.max(F.struct(*fields)).alias("_c"))
+    out = nodes.join(last, "id", "left")
+    new = {f: F.coalesce(F.col(f"_c.{f}"), F.col(f)) for f in fields}
+    return out.withColumns(new | {"updated": F.when(F.col("_c").isNotNull(), F.lit(now)).otherwise(F.col("updated"))}).drop("_c")
+
+
+def batch_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The nodes after a batch: of the rows of an id the newest by ts stays, batches of any size in one plan."""
+    rest = [c for c in old.columns if c not in ("id", "ts")]
+    rows = old.unionByName(new).groupBy("id").agg(F.max(F.struct("ts", *rest)).alias("r"))
+    return rows.select("id", "r.*")
+
+
+def sweep_orphans(nodes: DataFrame, edges: DataFrame, project: str, value) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, orphans) that a project's deletion leaves: its nodes and their edges go, then nodes at no edge."""
+    gone = nodes.filter(F.col(project) == value).select("id")
+    left, kept = delete_nodes(nodes, edges, gone)
+    alone = orphans(left, kept)
+    return left.join(alone.select("id"), "id", "left_anti"), kept, alone
+
+
+def discoveries(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", types: list[str] | None = None) -> DataFrame:
+    """(seed, node, depth, via, rel): each node that a search finds, and the edge that finds it first, by depth and edge id.
+
+    Edges have rel, src, dst, type. ``via`` is the node on the other end of that edge; rows of depth 1 are the first hop's
+    relationships.
+    """
+    e = edges.filter(F.col("type").isin(types)) if types else edges
+    out = e.select(F.col("src").alias("via"), F.col("dst").alias("node"), "rel")
+    back = e.select(F.col("dst").alias("via"), F.col("src").alias("node"), "rel")
+    step = {"out": out, "in": back}.get(direction)
+    step = out.unionByName(back) if step is None else step
+    plain = step.select(F.col("via").alias("src"), F.col("node").alias("dst"))
+    found = reach(plain, seeds, depth, keep_seeds=True)
+    before = found.select("seed", F.col("node").alias("via"), (F.col("depth") + 1).alias("depth"))
+    met = found.filter("depth > 0").join(step, "node").join(before, ["seed", "via", "depth"])
+    return met.groupBy("seed", "node", "depth").agg(F.min(F.struct("rel", "via")).alias("r")).select("seed", "node", "depth", "r.via", "r.rel")
+
+
+def subgraph(edges: DataFrame, centre: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((seed, node, generation), (seed, src, dst)): lineage around a centre and the edges between its nodes."""
+    nodes = timeline(edges, centre, depth)
+    a, b = (nodes.select("seed", F.col("node").alias(end)) for end in ("src", "dst"))
+    return nodes, edges.select("src", "dst").distinct().join(a, "src").join(b, ["seed", "dst"]).select("seed", "src", "dst")
+
+
+def nearest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """((file, via, depth), (n, truncated)): impact with the least depth of each (file, via path), the first ``limit`` rows."""
+    found = paths(edges, seeds, depth).groupBy(F.col("node").alias("file"), "via").agg(F.min("depth").alias("depth"))
+    rows = found.orderBy("depth", "file", "via").limit(limit + 1)
+    return rows.orderBy("depth", "file", "via").limit(limit), truncated(rows, limit)
+
+
+def truncated(rows: DataFrame, limit: int) -> DataFrame:
+    """(n, truncated): how many of ``limit`` rows there are, and whether the list was cut; ``rows`` may have one row more."""
+    return rows.agg(F.least(F.count("*"), F.lit(limit)).alias("n"), (F.count("*") >= limit).alias("truncated"))
+
+
+def imports(edges: DataFrame, file, side: str = "src", external: bool = True) -> DataFrame:
+    """Imports of a file (side src) or its importers (side dst), in order; edges have src, dst, symbol, line, external."""
+    e = edges.filter(F.col(side) == file)
+    return (e if external else e.filter(~F.col("external"))).orderBy("line", "src", "dst")
+
+
+def type_sets(edges: DataFrame) -> DataFrame:
+    """(node, types, n): the relationship types at each node and the number of its edges."""
+    ends = edges.select(F.col("src").alias("node"), "type").unionByName(edges.select(F.col("dst").alias("node"), "type"))
+    per = ends.groupBy("node", "type").agg(F.count("*").alias("n"))
+    return per.groupBy("node").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sum("n").alias("n"))
+
+
+def quality(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """(measure, n): null counts of node columns, then nodes at no edge."""
+    nulls = nodes.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
+    out = nulls.select(F.explode(F.array(*(F.struct(F.concat(F.lit("null_"), F.lit(c)).alias("measure"), F.col(c).alias("n")) for c in columns))).alias("r")).select("r.*")
+    return out.unionByName(orphans(nodes, edges).agg(F.lit("orphans").alias("measure"), F.count("*").alias("n")))
+
+
+def population_chain(files: DataFrame) -> DataFrame:
+    """(source, target): the declared population's order as edges between neighbours by path.
+
+    Ranges of paths are sorted apart and the range's last file meets the next range's first, so no task sees all files.
+    """
+    from pyspark.sql import Window
+
+    spark = files.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialize(files.select("path").distinct().repartitionByRange(n, "path").withColumn("_part", F.spark_partition_id()), "population")
+    inside = placed.withColumn("target", F.lead("path").over(Window.partitionBy("_part").orderBy("path")))
+    ends = placed.groupBy("_part").agg(F.min("path").alias("first"), F.max("path").alias("last"))
+    # at most as many rows as partitions
+    seams = ends.select(F.col("last").alias("source"), F.lead("first").over(Window.orderBy("first")).alias("target")).filter("target is not null")
+    return inside.filter("target is not null").select(F.col("path").alias("source"), "target").unionByName(seams)
+
+
+def freshness(actual: str | None, expected: str | None, required: bool = True) -> str:
+    """Whether an answer's corpus hash still holds: stale, unavailable if nobody asked, else current."""
+    if expected and expected != actual:
+        return "stale"
+    return "current" if required else "unavailable"

@@ -61,3 +61,69 @@ def islands(rows: DataFrame, partition: str, order: list[str], same: Column) ->
     new = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
     marked = rows.withColumn("_new", new)
     return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def store_version(history: DataFrame, new: DataFrame, entity: str, now: int) -> DataFrame:
+    """The history after new states (entity and its fields): open versions of those entities close now, and the next opens.
+
+    Columns of history: entity, version, valid_from, valid_to and the fields. An entity without a history gets version 1.
+    """
+    fields = [c for c in new.columns if c != entity]
+    last = history.groupBy(entity).agg(F.max("version").alias("_last"))
+    ids = new.select(entity).distinct().withColumn("_new", F.lit(True))
+    closed = history.join(ids, entity, "left")
+    closed = closed.withColumn("valid_to", F.when(F.col("_new") & F.col("valid_to").isNull(), F.lit(now)).otherwise(F.col("valid_to"))).drop("_new")
+    opened = new.join(last, entity, "left").select(entity, (F.coalesce("_last", F.lit(0)) + 1).alias("version"), F.lit(now).alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"), *fields)
+    return closed.unionByName(opened.select(*closed.columns))
+
+
+def invalidate(history: DataFrame, gone: DataFrame, entity: str, now: int) -> DataFrame:
+    """The history with the open versions of some entities closed now; nothing is deleted."""
+    ids = gone.select(entity).distinct().withColumn("_gone", F.lit(True))
+    out = history.join(ids, entity, "left")
+    return out.withColumn("valid_to", F.when(F.col("_gone") & F.col("valid_to").isNull(), F.lit(now)).otherwise(F.col("valid_to"))).drop("_gone")
+
+
+def update_in_place(history: DataFrame, changes: DataFrame, entity: str) -> DataFrame:
+    """The history with fields of the open versions replaced by those of ``changes`` that aren't null; versions stay."""
+    fields = [c for c in changes.columns if c != entity]
+    out = history.join(changes.select(entity, F.struct(*fields).alias("_c")), entity, "left")
+    is_open = F.col("valid_to").isNull() & F.col("_c").isNotNull()
+    return out.withColumns({f: F.when(is_open, F.coalesce(F.col(f"_c.{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}).drop("_c")
+
+
+def as_known(history: DataFrame, entity: str, moment: Column, event_time: str = "event_time") -> DataFrame:
+    """``as_of`` of the versions whose event has happened by then."""
+    return as_of(history.filter(F.col(event_time) <= moment), entity, moment)
+
+
+def version_pairs(history: DataFrame, entity: str, fields: list[str]) -> DataFrame:
+    """Each version beside the one before: columns prev_<field>, null for the first."""
+    w = Window.partitionBy(entity).orderBy("version")
+    return history.withColumns({f"prev_{f}": F.lag(f).over(w) for f in fields})
+
+
+def evolution(history: DataFrame, entity: str, start=None, end=None, kinds: list[str] | None = None, limit: int = 100) -> DataFrame:
+    """The newest changes of entities within a time span and of some kinds."""
+    out = changes(history, entity)
+    if start is not None:
+        out = out.filter(F.col("valid_from") >= start)
+    if end is not None:
+        out = out.filter(F.col("valid_from") <= end)
+    if kinds:
+        out = out.filter(F.col("change").isin(kinds))
+    return out.orderBy(F.desc("valid_from"), entity, F.desc("version")).limit(limit)
+
+
+def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group; only ranks up to n are kept by the sort of each task and of the group."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def compare_evolution(a: DataFrame, b: DataFrame, at: str, band: int) -> DataFrame:
+    """(only_a, only_b, correlated): numbers of changes of two entities that no change of the other is near, and of pairs."""
+    a, b = a.withColumn("_id", F.monotonically_increasing_id()), b.withColumn("_id", F.monotonically_increasing_id())
+    pairs = correlated(a.select("_id", at), b.select("_id", at), at, band).agg(F.count("*").alias("correlated"), F.count_distinct("a__id").alias("_a"), F.count_distinct("b__id").alias("_b"))
+    sizes = a.agg(F.count("*").alias("_na")).crossJoin(b.agg(F.count("*").alias("_nb")))  # one row each
+    return pairs.crossJoin(sizes).select((F.col("_na") - F.col("_a")).alias("only_a"), (F.col("_nb") - F.col("_b")).alias("only_b"), "correlated")
