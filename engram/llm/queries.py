@@ -88,4 +88,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parse_fingerprint": op9_parse_fingerprint,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _level_sql(key: str, rows: str, up: str) -> str:
+    """SQL of a level's posterior: rows (key, n, good, mu), the strength by moments, alpha and beta."""
+    z = f"SELECT greatest(sum(n * (good / n - mu) ** 2) - sum(mu * (1 - mu)), 0) AS b, sum(n * mu * (1 - mu)) AS t FROM c_{key}"
+    return f"""c_{key} AS ({rows.replace("@up", up)}), s_{key} AS (SELECT coalesce(least(greatest(CASE WHEN b > 0 THEN t / b - 1 END, 1.0), 1000.0), 1000.0) AS s FROM ({z})),
+  r_{key} AS (SELECT c_{key}.*, good + s * mu AS a, n - good + s * (1 - mu) AS b, (good + s * mu) / (n + s) AS m FROM c_{key}, s_{key})"""
+
+
+_NAME = r"regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '')"
+_REG = r"regexp_matches('.' || x, '\.(?:ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$')"
+_ADR = r"regexp_matches(x, '^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$')"
+_LAST = "array_to_string(l[greatest(len(l) - {n} + 1, 1):], '.')"
+_DOM = f"CASE WHEN {_ADR} THEN x WHEN {_REG} THEN {_LAST.format(n=3)} ELSE {_LAST.format(n=2)} END"
+_SUF = f"CASE WHEN {_ADR} THEN x WHEN {_REG} THEN {_LAST.format(n=2)} ELSE {_LAST.format(n=1)} END"
+_FIT = "((host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{p}'))"
+_RULES = sorted(urlrep.RULES, key=lambda r: (-len(r[1]), r[1]))
+_CASE = {i: "CASE " + " ".join(f"WHEN {_FIT.format(d=t.partition('/')[0], p=t.partition('/')[2])} THEN '{(w, t)[i]}'" for w, t in _RULES) + " END" for i in (0, 1)}
+_URL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+  v AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+  p0 AS (SELECT page_id, coalesce(translate(raw, '{urlrep.UPPER}', '{urlrep.LOWER}'), '') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM v),
+  p1 AS (SELECT *, {_NAME} AS x, string_split({_NAME}, '.') AS l FROM p0), p AS (SELECT page_id, host, path, {_DOM} AS domain, {_SUF} AS suffix FROM p1),
+  g AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+  o AS (SELECT host, domain, suffix, good FROM p JOIN g ON g.doc_id = TRY_CAST(nullif(regexp_extract(path, '/(\\d{{1,18}})(?:\\D|$)', 1), '') AS BIGINT)),
+  h AS (SELECT host, domain, suffix, count(*) AS n, sum(good)::DOUBLE AS good FROM o GROUP BY ALL), d AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(good) AS good FROM h GROUP BY ALL), f AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+  t AS (SELECT coalesce(sum(good), 0) + 1.0::DOUBLE AS a, coalesce(sum(n), 0) - coalesce(sum(good), 0) + 1.0::DOUBLE AS b FROM f),
+  {_level_sql("suffix", "SELECT f.*, @up AS mu FROM f, t", "a / (a + b)")},
+  {_level_sql("domain", "SELECT d.*, @up AS mu FROM d JOIN r_suffix r USING (suffix)", "r.m")},
+  {_level_sql("host", "SELECT h.*, @up AS mu FROM h JOIN r_domain r USING (domain)", "r.m")},
+  k AS (SELECT p.*, coalesce(h.a, d.a, f.a, t.a) AS ka, coalesce(h.b, d.b, f.b, t.b) AS kb FROM p CROSS JOIN t LEFT JOIN r_host h USING (host) LEFT JOIN r_domain d ON d.domain = p.domain LEFT JOIN r_suffix f ON f.suffix = p.suffix),
+  q AS (SELECT *, greatest(0, ka / (ka + kb) - 1.645 * sqrt(ka * kb / ((ka + kb) * (ka + kb) * (ka + kb + 1)))) AS bound FROM k)
+  SELECT page_id, host, path, {_CASE[1]} AS rule, coalesce({_CASE[0]}, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, round(bound, 9) AS bound FROM q"""
+
+#: The other operators parse media, run tokenizers, learn models, build trees or fill tables in turns; SQL has no form of them.
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _URL}

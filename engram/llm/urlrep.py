@@ -15,6 +15,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: (verdict, rule), a rule being a host and a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 STRENGTH_MIN, STRENGTH_MAX = 1.0, 1000.0
+#: Labels under which a country's registry gives names, as in co.uk; a domain has a label more there.
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
+REGISTRY = rf"\.(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$"
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$"
 
 
 def _rest(url: Column) -> Column:
@@ -42,8 +46,17 @@ def rule_columns(rules=RULES, host: str = "host", path: str = "path") -> tuple[C
 
 
 def domain_columns(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels, the last label; a host of one label is its own domain."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """(registered domain, suffix) of a host without its user and port.
+
+    The suffix is the last label, or the last two of a country's registry such as co.uk; the domain has one label more. A host
+    that is a suffix itself, or a single label, is its own domain, and an address is both.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    address = name.rlike(ADDRESS)
+    two = F.concat(F.lit("."), name).rlike(REGISTRY)
+    domain = F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    suffix = F.when(address, name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
 
 
 def _level(counts: DataFrame, key: str, parent_mean: Column, parent_keys: list[str]) -> DataFrame:
@@ -75,10 +88,13 @@ def host_reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
     # a flat Beta(1, 1) stands above all
     top = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     top = top.select((F.col("good") + 1.0).alias("alpha"), (F.col("n") - F.col("good") + 1.0).alias("beta"), ((F.col("good") + 1.0) / (F.col("n") + 2.0)).alias("mean"))
-    s = _level(suffixes.crossJoin(F.broadcast(top.select(F.col("mean").alias("up")))), "suffix", F.col("up"), [])
+    # each level is read by the one below and by the hosts to judge: written once, and small beside the pages
+    top = materialize(top, "reputation_all")
+    s = materialize(_level(suffixes.crossJoin(F.broadcast(top.select(F.col("mean").alias("up")))), "suffix", F.col("up"), []), "reputation_suffix")
     d = _level(domains.join(s.select("suffix", F.col("mean").alias("up")), "suffix"), "domain", F.col("up"), ["suffix"])
+    d = materialize(d, "reputation_domain")
     h = _level(hosts.join(d.select("domain", F.col("mean").alias("up")), "domain"), "host", F.col("up"), ["domain", "suffix"])
-    return {"host": h, "domain": d, "suffix": s, "all": top}
+    return {"host": materialize(h, "reputation_host"), "domain": d, "suffix": s, "all": top}
 
 
 def posterior_bound(alpha: Column, beta: Column, z: float) -> Column:
@@ -114,7 +130,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rule
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, good): the number in a page's url is the document that it shows; a document is good if its quality is 1
-    and it isn't toxic. Unlabelled pages are left out, several labels of a document count as one, the worst."""
+    and it isn't toxic. Unlabelled pages and pages without a number are left out, several labels of a document count as one,
+    the worst; a page counts as often as it stands; null ids, urls and qualities match nothing; empty tables give no rows."""
     p = split_url(pages.select("url"))
     number = F.regexp_extract("path", r"/(\d{1,18})(?:\D|$)", 1)
     p = p.select("host", F.when(number != "", number.cast("bigint")).alias("doc_id")).filter("doc_id is not null")

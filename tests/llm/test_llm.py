@@ -487,6 +487,25 @@ def test_reputation_shrinks(spark):
     assert up["x.com"] < mean["b.x.com"] < 1 and up["y.com"] < mean["d.y.com"] < mean["a.x.com"] + 0.1 and mean["c.y.com"] < 0.3
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "me@x.org": ("x.org", "org"), "10.0.0.7:80": ("10.0.0.7", "10.0.0.7"), "[::1]": ("[::1]", "[::1]"), "local": ("local", "local"), "": ("", ""), "a.com.example.com": ("example.com", "com")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.d, r.s) for r in rows.select("host", *(c.alias(n) for c, n in zip(urlrep.domain_columns(F.col("host")), "ds", strict=True))).collect()} == hosts
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_reputation_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op6_url_reputation"]).fetchall()
+    got = [tuple(r) for r in queries.op6_url_reputation(spark, sf).collect()]
+    assert sorted(str(r[:5]) for r in got) == sorted(str(r[:5]) for r in want)
+    assert {r[0]: r[5] for r in got} == pytest.approx({r[0]: r[5] for r in want}, abs=1e-8)
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     t = sharding.lookup_table(names, 1009)
