@@ -142,7 +142,11 @@ def to_hex(sketch: np.ndarray) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels: int = LEVEL) -> DataFrame:
-    """(id, n_chars, fingerprint, n_phrases) of every whole text; null counts as empty, which has no phrases."""
+    """(id, n_chars, fingerprint, n_phrases) of every whole text; null counts as empty, which has no phrases.
+
+    Rows are independent: equal texts have equal fingerprints, repeated rows and ids keep their count, an empty table gives
+    an empty one, and other columns are ignored whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=SLICE):

@@ -115,36 +115,70 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + n + (n & 1)
 
 
+def _stored(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The frames of a movi list's chunks, and of the record lists in it, in order."""
+    for k, a, e in _walk(data, at, end):
+        if k == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _stored(data, a + 4, e)
+        elif k[2:] in (b"dc", b"db"):
+            yield data[a:e]
+
+
+def _standard_index(data: bytes, at: int, end: int) -> list[bytes]:
+    """The frames of an OpenDML ix## chunk: 32-bit offsets from a base, sizes whose top bit marks no key frame."""
+    each, _, kind, n, name, base = struct.unpack_from("<HBBI4sQ", data, at)
+    if kind != 1 or each != 2 or name[2:] not in (b"dc", b"db"):
+        return []
+    entries = np.frombuffer(data, "<u4", 2 * min(n, (end - at - 24) // 8), at + 24).reshape(-1, 2).tolist()
+    return [data[base + o : base + o + (size & 0x7FFFFFFF)] for o, size in entries]
+
+
 def read_avi(data: bytes) -> dict:
-    """{width, height, frame_s, frames}: the frames that idx1 lists or, without an index, the movi chunks in order."""
+    """{width, height, frame_s, frames}: the frames of all segments of a file, AVI and AVIX, in order.
+
+    A segment's frames are those of its indexes: ix## chunks in its movi list, else idx1 in the first segment; without one
+    they are the movi list's chunks, records included.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     out: dict = {"width": 0, "height": 0, "frame_s": 1 / FPS, "frames": []}
-    movi, index = None, None
-    for kind, at, end in _walk(data, 12, len(data)):
-        form = data[at : at + 4] if kind == b"LIST" else b""
-        if form == b"hdrl":
-            for k, a, e in _walk(data, at + 4, end):
-                if k == b"avih":
-                    out["frame_s"] = struct.unpack_from("<I", data, a)[0] / 1e6
-                    out["width"], out["height"] = struct.unpack_from("<II", data, a + 32)
-                elif k == b"LIST" and data[a : a + 4] == b"strl":
-                    for k2, a2, _ in _walk(data, a + 4, e):
-                        if k2 == b"strh" and data[a2 : a2 + 4] == b"vids":
-                            scale, rate = struct.unpack_from("<II", data, a2 + 20)
-                            out["frame_s"] = scale / rate if rate else out["frame_s"]
-        elif form == b"movi":
-            movi = (at, end)
-        elif kind == b"idx1":
-            index = [struct.unpack_from("<4sIII", data, a) for a in range(at, end - 15, 16)]
-    if movi and index is not None:
-        base = movi[0] if not index or data[movi[0] + index[0][2] : movi[0] + index[0][2] + 4] == index[0][0] else 0
-        out["frames"] = [data[base + o + 8 : base + o + 8 + n] for k, _, o, n in index if k[2:] in (b"dc", b"db")]
-    elif movi:
-        out["frames"] = [data[a:e] for k, a, e in _walk(data, movi[0] + 4, movi[1]) if k[2:] in (b"dc", b"db")]
+    for riff, start, stop in _walk(data, 0, len(data)):
+        if riff != b"RIFF" or data[start : start + 4] not in (b"AVI ", b"AVIX"):
+            break
+        movi, index = None, None
+        for kind, at, end in _walk(data, start + 4, stop):
+            form = data[at : at + 4] if kind == b"LIST" else b""
+            if form == b"hdrl":
+                _header(data, at + 4, end, out)
+            elif form == b"movi":
+                movi = (at, end)
+            elif kind == b"idx1":
+                index = [struct.unpack_from("<4sIII", data, a) for a in range(at, end - 15, 16)]
+        if not movi:
+            continue
+        standard = [(a, e) for k, a, e in _walk(data, movi[0] + 4, movi[1]) if k[:2] == b"ix"]
+        if standard:
+            out["frames"] += [f for a, e in standard for f in _standard_index(data, a, e)]
+        elif index is not None:
+            base = movi[0] if not index or data[movi[0] + index[0][2] : movi[0] + index[0][2] + 4] == index[0][0] else 0
+            out["frames"] += [data[base + o + 8 : base + o + 8 + n] for k, _, o, n in index if k[2:] in (b"dc", b"db")]
+        else:
+            out["frames"] += _stored(data, movi[0] + 4, movi[1])
     return out
 
 
+def _header(data: bytes, at: int, end: int, out: dict) -> None:
+    for k, a, e in _walk(data, at, end):
+        if k == b"avih":
+            out["frame_s"] = struct.unpack_from("<I", data, a)[0] / 1e6
+            out["width"], out["height"] = struct.unpack_from("<II", data, a + 32)
+        elif k == b"LIST" and data[a : a + 4] == b"strl":
+            for k2, a2, _ in _walk(data, a + 4, e):
+                if k2 == b"strh" and data[a2 : a2 + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, a2 + 20)
+                    out["frame_s"] = scale / rate if rate else out["frame_s"]
+
+
 # ---- JPEG -----------------------------------------------------------------------------------------------------------
 
 
@@ -164,6 +198,22 @@ def _huffman(body: bytes) -> dict[tuple[int, int], dict[tuple[int, int], int]]:
     return out
 
 
+def _usual(bits: str, head: str) -> bytes:
+    """A table's body: code counts by length, then symbols, the irregular first ones and the rest in ascending order."""
+    first = bytes.fromhex(head)
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return bytes.fromhex(bits) + first + bytes(sorted(set(every) - set(first)))
+
+
+#: The usual tables, which motion-JPEG frames may leave out: (class, id) -> counts and symbols.
+USUAL = {
+    0x00: bytes.fromhex("00010501010101010100000000000000") + bytes(range(12)),
+    0x01: bytes.fromhex("00030101010101010101010000000000") + bytes(range(12)),
+    0x10: _usual("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    0x11: _usual("00020102040403040705040400010277", "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f1"),
+}
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.data = data.replace(b"\xff\x00", b"\xff")
@@ -191,7 +241,7 @@ class _Bits:
 
 
 def _parse(data: bytes) -> dict:
-    out: dict = {"huff": {}, "raw": b"", "quant": {}, "restart": 0}
+    out: dict = {"huff": _huffman(b"".join(bytes([k]) + body for k, body in USUAL.items())), "raw": b"", "quant": {}, "restart": 0}
     at = 2
     while at + 4 <= len(data):
         marker, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
@@ -211,6 +261,8 @@ def _parse(data: bytes) -> dict:
         elif marker in (0xC0, 0xC1, 0xC3):
             out["kind"], out["lines"], out["width"] = marker, *struct.unpack_from(">HH", body, 1)
             out["comps"] = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            if not (out["lines"] and out["width"] and out["comps"]) or not all(1 <= f <= 4 for c in out["comps"] for f in c[1:3]):
+                raise ValueError("a frame without samples")
         elif marker == 0xDA:
             out["tables"] = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
             out["predictor"] = body[1 + 2 * body[0]]

@@ -60,6 +60,97 @@ def test_baseline_frame_and_shots():
     assert [(c["first_frame"], c["end_frame"]) for c in got] == [(0, 6), (6, 11)] and got[1]["start_s"] == pytest.approx(0.6)
 
 
+def jpeg(planes, quant, factors, restart=0, usual=False):
+    """A baseline frame of quantised 8x8 blocks by hand: planes {component: [(mcu, coefficients in zigzag order)]}."""
+    ac = bytes([0x10, *[0] * 7, 255, *[0] * 8]) + bytes(range(255))
+    dc = bytes([0x00, 0, 0, 0, 12, *[0] * 12]) + bytes(range(12))
+    codes = {}
+    for key, body in ((0, media.USUAL[0]), (1, media.USUAL[0x10])) if usual else ((0, dc[1:]), (1, ac[1:])):
+        codes[key] = {sym: f"{code:0{n}b}" for (_, _), t in media._huffman(bytes([0]) + body).items() for (n, code), sym in t.items()}
+    value = lambda v: "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
+    out, bits, last = [], "", dict.fromkeys(planes, 0)
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return (int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b"").replace(b"\xff", b"\xff\x00")
+
+    mcus = max(m for blocks in planes.values() for m, _ in blocks) + 1
+    for m in range(mcus):
+        if restart and m and m % restart == 0:
+            out += [flush(bits), bytes([0xFF, 0xD0 + (m // restart - 1) % 8])]
+            bits, last = "", dict.fromkeys(planes, 0)
+        for c, blocks in planes.items():
+            for _, coef in (b for b in blocks if b[0] == m):
+                d = int(coef[0]) - last[c]
+                last[c] = int(coef[0])
+                bits += codes[0][abs(d).bit_length()] + value(d)
+                run, tail = 0, max((k for k in range(1, 64) if coef[k]), default=0)
+                for k in range(1, tail + 1):
+                    if not coef[k]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + codes[1][0xF0], run - 16
+                    bits += codes[1][run << 4 | abs(int(coef[k])).bit_length()] + value(int(coef[k]))
+                    run = 0
+                bits += codes[1][0] if tail < 63 else ""
+    out.append(flush(bits))
+    seg, side = media._segment, max(f for f, _ in factors.values()) * 8
+    sof = struct.pack(">BHHB", 8, side, side * mcus, len(planes)) + b"".join(bytes([c, h << 4 | v, 0]) for c, (h, v) in factors.items())
+    tables = b"" if usual else seg(0xC4, dc) + seg(0xC4, ac)
+    dri = seg(0xDD, struct.pack(">H", restart)) if restart else b""
+    sos = bytes([len(planes)]) + b"".join(bytes([c, 0]) for c in planes) + bytes([0, 63, 0])
+    return b"\xff\xd8" + seg(0xDB, bytes([0, *quant])) + tables + dri + seg(0xC0, sof) + seg(0xDA, sos) + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("factors", "restart", "usual"), [({1: (1, 1)}, 0, False), ({1: (1, 1)}, 2, True), ({1: (2, 2), 2: (1, 1), 3: (1, 1)}, 0, True), ({1: (2, 2), 2: (1, 1), 3: (1, 1)}, 1, False)])
+def test_baseline_frames_by_direct_transform(factors, restart, usual):
+    """AC runs, chroma, subsampling and restarts against the sum of cosines."""
+    rng = np.random.default_rng(7)
+    quant, mcus, side = rng.integers(1, 9, 64), 5, max(f for f, _ in factors.values())
+    planes = {}
+    for c, (h, v) in factors.items():
+        blocks = []
+        for m in range(mcus):
+            for _ in range(h * v):
+                coef = np.where(rng.random(64) < 0.08, rng.integers(-20, 21, 64), 0)
+                coef[0], coef[63 if m == 2 else 40] = rng.integers(-60, 60), 1
+                blocks.append((m, coef))
+        planes[c] = blocks
+    got = media.decode_jpeg(jpeg(planes, quant.tolist(), factors, restart, usual))
+    want = np.zeros((side * 8, side * 8 * mcus))
+    place = {}
+    for m, coef in planes[1]:
+        i = place[m] = place.get(m, -1) + 1
+        grid = np.zeros(64)
+        grid[media.ZIGZAG] = coef * quant
+        grid, block = grid.reshape(8, 8), np.zeros((8, 8))
+        for y, x in itertools.product(range(8), repeat=2):
+            block[y, x] = sum((0.25 * (0.5**0.5 if not u else 1) * (0.5**0.5 if not w else 1) * grid[u, w] * math.cos((2 * y + 1) * u * math.pi / 16) * math.cos((2 * x + 1) * w * math.pi / 16)) for u in range(8) for w in range(8))
+        want[i // side * 8 : i // side * 8 + 8, (m * side + i % side) * 8 : (m * side + i % side) * 8 + 8] = block + 128
+    assert np.abs(got - np.clip(want, 0, 255)).max() <= 1
+
+
+def test_segments_records_and_indexes():
+    """OpenDML files: a second segment, record lists, ix## chunks; and frames that aren't frames."""
+    one = media.store_payload(media.pad(bytes(range(100))))
+    frames = media.read_avi(one)["frames"]
+    chunk = media._chunk
+    more = chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"LIST", b"rec " + b"".join(chunk(b"00dc", f) for f in frames))))
+    assert media.read_avi(one + more)["frames"] == frames * 2
+    head = b"AVIX" + struct.pack("<4sI4s", b"LIST", 0, b"movi")
+    body, entries = b"", []
+    for f in frames:
+        entries.append((len(body) + 8, len(f)))
+        body += chunk(b"00dc", f)
+    ix = struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"00dc", len(one) + 8 + len(head), 0) + b"".join(struct.pack("<II", o, n | 1 << 31) for o, n in entries)
+    third = chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + body + chunk(b"ix00", ix)))
+    assert media.read_avi(one + third)["frames"] == frames * 2
+    sof = struct.pack(">BHHB", 8, 8, 8, 1) + bytes([1, 0x00, 0])
+    with pytest.raises(ValueError, match="without samples"):
+        media.decode_jpeg(b"\xff\xd8" + media._segment(0xC0, sof))
+
+
 def test_media_operator(spark, edge):
     got = {r.doc_id: r for r in media.text_media(edge).collect()}
     for i, t in EDGE:
