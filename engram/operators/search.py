@@ -154,6 +154,26 @@ def recall_overlap(memories: DataFrame, query: str, text: Column, id_col: str, f
     return top(memories.select(id_col, overlap_score(text, query).alias("score")).filter(F.col("score") >= floor), limit, id_col)
 
 
+def misses(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id) of the passages that no document holds whole.
+
+    What stands between a passage's first and last space-parted word stands so in a document that holds it; so passages meet
+    documents by a run of ``width`` words in their middle, and only documents that have it are compared. Passages of fewer
+    words, a few rows, are compared with all. A null passage is in no document, an empty one in all that aren't null.
+    """
+    words = F.split(text_col, " ", -1)
+    runs = F.transform(F.sequence(F.lit(0), F.size("_w") - width), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, width), " ")))
+    mine = passages.select(id_col, F.col(text_col).alias("_passage"), words.alias("_w"))
+    long = mine.filter(F.size("_w") >= width + 2)
+    at = F.floor((F.size("_w") - width) / 2).cast("int")
+    keyed = long.select(id_col, "_passage", F.xxhash64(F.array_join(F.slice("_w", at + 1, width), " ")).alias("_run"))
+    theirs = docs.select(text_col, words.alias("_w")).filter(F.size("_w") >= width).select(text_col, F.explode(F.array_distinct(runs)).alias("_run"))
+    found = theirs.join(keyed, "_run").filter(F.col(text_col).contains(F.col("_passage"))).select(id_col)
+    short = mine.filter(F.size("_w") < width + 2).select(id_col, "_passage")
+    found = found.unionByName(docs.select(text_col).join(F.broadcast(short), F.col(text_col).contains(F.col("_passage"))).select(id_col))
+    return passages.select(id_col).join(found.distinct(), id_col, "left_anti")
+
+
 def lexical_terms(query: str) -> list[str]:
     words = re.sub(r"[^A-Za-z0-9_]+", " ", query).lower().split()
     return [w for w in words if w not in ("and", "or", "not", "near")]

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
+from engram.operators import index as ix
 from engram.operators import scoring as sc
 from engram.operators import search as se
 from engram.operators import vector as ve
@@ -31,25 +32,31 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def _index(spark, sf, fields=None, least=1, stemmed=False):
+    """The documents' stored index; the first query of a session builds it."""
+    return ix.of_table(spark, f"{sf}/documents.parquet", "doc_id", fields or {"text": 1.0}, least, stemmed)
+
+
 @query("bm25_topk", _bm25_sql({"the": 1, "thing": 1, "idiot": 1}) + "SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf):
-    return se.top(se.bm25(_docs(spark, sf), "the thing idiot"), 20).select("doc_id", F.round("score", 6).alias("score"))
+    return se.top(ix.bm25(spark, _index(spark, sf), "the thing idiot"), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_norm", _bm25_sql({"licensed": 1, "under": 1}) + "SELECT doc_id, round(score / (score + 1), 6) AS score FROM bm")
 def bm25_norm(spark, sf):
-    return se.bm25(_docs(spark, sf), "licensed under").select("doc_id", F.round(F.col("score") / (F.col("score") + 1), 6).alias("score"))
+    return ix.bm25(spark, _index(spark, sf), "licensed under").select("doc_id", F.round(F.col("score") / (F.col("score") + 1), 6).alias("score"))
 
 
 @query("bm25_session_filtered", _bm25_sql({"the": 2, "and": 1}, 2, "source = 'src3'") + "SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_session_filtered(spark, sf):
-    found = se.bm25(_docs(spark, sf), "the and the a", least=2, multiset=True, where=F.col("source") == "src3")
+    own = _docs(spark, sf).filter("source = 'src3'").select("doc_id")
+    found = ix.bm25(spark, _index(spark, sf, least=2), "the and the a", multiset=True).join(own, "doc_id", "left_semi")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_restricted_ids", _bm25_sql({"thing": 1}) + "SELECT doc_id, round(score, 6) AS score FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def bm25_restricted_ids(spark, sf):
-    found = se.bm25(_docs(spark, sf), "thing").join(table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    found = ix.bm25(spark, _index(spark, sf), "thing").join(table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -86,15 +93,45 @@ def keywords_c(spark, sf):
   SELECT doc_id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a)) + ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)), 6) AS score
   FROM c, g WHERE f0 > 0 AND f1 > 0""")
 def fts_and_search(spark, sf):
-    found = se.and_search(_docs(spark, sf), "the src4", {"text": 1.0, "source": 2.0}, "doc_id")
+    found = ix.and_search(spark, _index(spark, sf, {"text": 1.0, "source": 2.0}), "the src4")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("knowledge_or_search_tags", _bm25_sql({"thing": 1, "licensed": 1, "under": 1}, 1, "lang = 'en'") + """SELECT bm.doc_id, round(score, 6) AS score FROM bm JOIN t USING (doc_id)
   WHERE list_contains(w, 'thing') OR contains(' ' || array_to_string(w, ' ') || ' ', ' licensed under ')""")
 def knowledge_or_search_tags(spark, sf):
-    d = _docs(spark, sf).withColumn("tags", F.array("lang", "source"))
-    return se.or_search(d, '"licensed under" thing', "text", tags_col="tags", tags=["en"]).select("doc_id", F.round("score", 6).alias("score"))
+    d = _docs(spark, sf)
+    tagged = d.filter(F.array_contains(F.array("lang", "source"), "en")).select("doc_id")
+    found = ix.or_search(spark, _index(spark, sf), d, '"licensed under" thing', F.col("text"))
+    return found.join(tagged, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fts_stemmed")
+def fts_stemmed(spark, sf):
+    """Stemmed code search with the literal check behind it; SQL has no stemmer, tests hold it against a loop."""
+    index = _index(spark, sf, {"text": 1.0, "source": 2.0}, stemmed=True)
+    found = ix.and_search(spark, index, "things under").join(_docs(spark, sf), "doc_id")
+    return found.filter(ix.evidence(F.col("source"), F.col("text"), "things under")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_FIVE = _bm25_sql({"thing": 1, "en": 1}).replace("documents)", "(SELECT doc_id, lang, source, concat_ws(' ', text, lang, source, doc_id, n_chars) AS text FROM documents))")
+
+
+@query("knowledge_five_columns", _FIVE + "SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+def knowledge_five_columns(spark, sf):
+    d = _docs(spark, sf).withColumns({"id_text": F.col("doc_id").cast("string"), "size_text": F.col("n_chars").cast("string")})
+    index = ix.build(d, "doc_id", {"text": 1.0, "lang": 1.0, "source": 1.0, "id_text": 1.0, "size_text": 1.0})
+    return se.top(ix.or_search(spark, index, d, "thing OR en", F.col("text")), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("index_update", f"SELECT term, count(*) AS df, CAST(sum(tf) AS DOUBLE) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(n=1)}) AS term FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new words here' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)) GROUP BY 1, 2) GROUP BY term")
+def index_update(spark, sf):
+    """The index after some documents change and some go, without the rest being read again."""
+    d = _docs(spark, sf)
+    changed = d.filter("doc_id % 5 = 0 and doc_id % 7 <> 0").withColumn("text", F.lit("new words here"))
+    gone = d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    made = ix.reindex(_index(spark, sf), changed, {"text": 1.0}, gone)
+    return made.postings(spark).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("keyword_overlap_recall", "SELECT doc_id, score FROM (SELECT doc_id, (contains(lower(text), 'licensed')::INT + contains(lower(text), 'thing')::INT + contains(lower(text), 'idiot')::INT) / 3.0::DOUBLE AS score FROM documents) WHERE score >= 0.2 ORDER BY score DESC, doc_id LIMIT 50")
@@ -160,7 +197,7 @@ _VEC = f", dense AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DES
 
 
 def _lists(spark, sf):
-    kw = se.top(se.bm25(_docs(spark, sf), "thing the"), 40)
+    kw = se.top(ix.bm25(spark, _index(spark, sf), "thing the"), 40)
     dense = ve.search(table(spark, sf, "embeddings"), _Q, 40).withColumnRenamed("vec_id", "doc_id")
     return kw, dense
 
@@ -263,11 +300,8 @@ def search_blend_relevance(spark, sf):
 
 @query("auto_recall_miss", "SELECT b.item_id, count(d.doc_id) AS hits FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id HAVING count(d.doc_id) = 0")
 def auto_recall_miss(spark, sf):
-    """Benchmark passages (a bounded list) that no document holds whole: recall misses."""
-    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").orderBy("item_id").collect()]
-    d = _docs(spark, sf).select(F.array_compact(F.array(*(F.when(F.col("text").contains(t), i) for i, t in items))).alias("hit"))
-    hits = d.select(F.explode("hit").alias("item_id")).distinct()
-    return table(spark, sf, "benchmark").select("item_id").join(hits, "item_id", "left_anti").withColumn("hits", F.lit(0).cast("bigint"))
+    """Benchmark passages that no document holds whole: recall misses."""
+    return se.misses(_docs(spark, sf), table(spark, sf, "benchmark"), "item_id").withColumn("hits", F.lit(0).cast("bigint"))
 
 
 @query("consolidate_digests", """WITH d AS (SELECT lang, source, doc_id, text, CAST(floor((row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) / 20) AS INTEGER) AS part FROM documents)

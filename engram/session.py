@@ -43,7 +43,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where it is unset, a temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set a local master takes a temporary folder; on a cluster, whose machines don't share those, it raises.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -51,15 +54,32 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return os.path.dirname(current.get())
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"file://{tempfile.gettempdir()}/engram-shared"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs no recomputation of what lies above, and several readers share it.
+    It cuts the lineage: a lost executor costs no recomputation of what lies above, and several readers share it. What is
+    written stays until ``release``, as results may be read at any later time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has written for this application, once its results are no longer read; how many."""
+    sc = spark.sparkContext
+    paths = _WRITTEN.pop(sc.applicationId, [])
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

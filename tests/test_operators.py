@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
-from engram.operators import code, graph, memory, scoring, search, state
+from engram.functions.stem import porter
+from engram.operators import code, graph, hooks, index, lifecycle, memory, projects, scoring, search, state, temporal
 from engram.sources import files, transcripts
 
 
@@ -92,3 +93,128 @@ def test_sources(spark, tmp_path):
     assert [r.path.split("/")[-1] for r in files.scan(spark, str(tmp_path)).collect()] == ["a.py"]
     (tmp_path / "t.jsonl").write_text('{"role":"user","content":"hi"}\n{"role":"assistant","content":"no"}\nbroken\n{"type":"human","message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}\n')
     assert sorted(r.text for r in transcripts.read(spark, str(tmp_path / "t.jsonl")).collect()) == ["a\nb", "hi"]
+
+
+@pytest.mark.parametrize(
+    ("word", "stem"),
+    [("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("troubled", "troubl"),
+     ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"),
+     ("predication", "predic"), ("sensibiliti", "sensibl"), ("triplicate", "triplic"), ("electricity", "electr"), ("hopeful", "hope"), ("goodness", "good"), ("revival", "reviv"), ("adjustment", "adjust"), ("adoption", "adopt"), ("communism", "commun"),
+     ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"), ("is", "is"), ("x86s", "x86s")],
+)
+def test_porter(word, stem):
+    assert porter(word) == stem
+
+
+def test_index(spark):
+    """The stored index against the scan, null and empty texts, clashing columns, updates, stems and phrases."""
+    rows = [(1, "The cats sat", "a"), (2, None, "cats"), (3, "", None), (4, "a cat, the cat and a dog", "b"), (5, "nothing here", "c"), (6, "the dog sat on the cat", "tf")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, term string").withColumn("len", F.lit(7))
+    made = index.build(d, "doc_id", {"text": 1.0})
+    for q in ("cat", "the cat dog", "zebra", "", "sat sat the"):
+        got = {r.doc_id: r.score for r in index.bm25(spark, made, q, multiset=True).collect()}
+        want = {r.doc_id: r.score for r in search.bm25(d.fillna({"text": ""}), q, multiset=True).collect()}
+        assert got == pytest.approx(want)
+    assert {r.doc_id for r in index.and_search(spark, made, "dog cat").collect()} == {4, 6}
+    assert {r.doc_id for r in index.or_search(spark, made, d, '"dog sat" nothing', F.col("text")).collect()} == {5, 6}
+    assert {r.doc_id for r in index.or_search(spark, made, d, '"sat dog"', F.col("text")).collect()} == set()
+    stems = index.build(d, "doc_id", {"text": 1.0, "term": 2.0}, stemmed=True)
+    assert {r.doc_id for r in index.bm25(spark, stems, "cats").collect()} == {1, 2, 4, 6}
+    again = index.reindex(made, d.filter("doc_id = 5").withColumn("text", F.lit("cat")), {"text": 1.0}, spark.createDataFrame([(6,)], "id bigint"))
+    assert {r.doc_id for r in index.bm25(spark, again, "cat").collect()} == {4, 5} and again.figures(spark)[0] == 5
+    nothing = index.build(d.limit(0), "doc_id", {"text": 1.0})
+    assert index.bm25(spark, nothing, "cat").count() == 0
+    said = d.filter(index.evidence(F.col("term"), F.col("text"), "dog cat")).select("doc_id")
+    assert {r.doc_id for r in said.collect()} == {4, 6}
+
+
+def test_stemmed_search_by_a_loop(spark, sf):
+    from engram.plans import retrieval
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    stems = lambda t: {porter(w) for w in search.words_of(t or "")}
+    for q in ("things under", "the and"):
+        found = index.and_search(spark, retrieval._index(spark, sf, {"text": 1.0, "source": 2.0}, stemmed=True), q)
+        assert {r.doc_id for r in found.collect()} == {r.doc_id for r in docs if stems(q) <= stems(r.text) | stems(r.source)}
+
+
+def test_misses(spark):
+    docs = spark.createDataFrame([("aa one two three four five six bb",), ("xx one two three  four five six yy",), (None,), ("short text",)], "text string")
+    items = spark.createDataFrame([(1, "a one two three four five six b"), (2, "one two three five four six seven"), (3, "ort te"), (4, "none"), (5, None), (6, ""), (7, "x one two three  four five six y")], "item_id int, text string")
+    assert {r.item_id for r in search.misses(docs, items, "item_id").collect()} == {2, 4, 5}
+    assert search.misses(docs.limit(0), items, "item_id").count() == 7 and search.misses(docs, items.limit(0), "item_id").count() == 0
+
+
+def test_sequential_with_null_keys(spark):
+    """A null key is one key: a lock of it isn't given twice; big numbers stay whole."""
+    big = 2**53 + 1
+    rows = [(None, 1, 0, big), (None, 2, 10, big + 1), (7, 3, 0, big), (None, 4, 3_600_000, big + 1), (7, 5, 5, big)]
+    d = spark.createDataFrame(rows, "key bigint, event_id bigint, ms bigint, holder bigint")
+    got = {r.event_id: (r.accepted, r.holder) for r in state.sequential(d, "key", "event_id", state.lock_step(3_600_000)).collect()}
+    assert got == {1: (True, big), 2: (False, big + 1), 3: (True, big), 4: (True, big + 1), 5: (True, big)}
+    assert state.sequential(d.limit(0), "key", "event_id", state.lock_step(1)).count() == 0
+    a = spark.createDataFrame([("x", 1, 5), ("x", 2, None), ("x", 3, 6), (None, 1, 9)], "agent string, seq int, size int")
+    assert sorted((str(r.agent), r.seq, r.admitted) for r in state.admit(a, 10, 2).collect()) == [("None", 1, True), ("x", 1, True), ("x", 2, True), ("x", 3, False)]
+
+
+def test_hydrate_partial_edges(spark):
+    rows = [(1, "s", "k", "MEMORY_SAVED", "a", {"x": "1", "y": "1"}), (2, "s", "k", "MEMORY_UPDATED", None, {"y": "2"}), (3, "s", "k", "MEMORY_UPDATED", "b", None), (4, "s", "gone", "MEMORY_SAVED", "z", None), (5, "s", "gone", "MEMORY_DELETED", None, None),
+            (6, "s", "again", "MEMORY_DELETED", None, None), (7, "s", "again", "MEMORY_SAVED", None, None), (8, "s", "never", "MEMORY_UPDATED", "u", None)]
+    d = spark.createDataFrame(rows, "event_id int, session_id string, key string, event_type string, v string, metadata map<string, string>")
+    got = {r.key: (r.v, r.metadata, r.last_event_id) for r in lifecycle.hydrate_partial(d, ["v"]).collect()}
+    assert got == {"k": ("b", {"x": "1", "y": "2"}, 3), "again": (None, None, 7)}
+    assert lifecycle.hydrate_partial(d.limit(0), ["v"]).count() == 0
+
+
+def test_inventory_allows_known_columns(spark):
+    p = spark.createDataFrame([("r1", "b", 1), ("r2", "a", 2)], "root string, name string, files int")
+    assert [r.name for r in projects.inventory(p, "name").collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="can't sort"):
+        projects.inventory(p, "files; drop")
+
+
+def test_hooks_without_a_service(spark):
+    d = spark.createDataFrame([(1, "aa", 0.5), (2, "b", 0.9), (3, None, 0.1)], "doc_id int, text string, score double")
+    assert [r.doc_id for r in hooks.reranked(d, "q").orderBy("rank").collect()] == [2, 1, 3]
+    assert [r.doc_id for r in hooks.reranked(d, "q", lambda q, ts: None).orderBy("rank").collect()] == [2, 1, 3]
+    assert [r.doc_id for r in hooks.reranked(d, "q", lambda q, ts: [float(len(t)) for t in ts]).orderBy("rank").collect()] == [1, 2, 3]
+    rows, cache = hooks.embedded(d, lambda ts: [[1.0] for _ in ts])
+    assert rows.filter("embedding is not null").count() == 2 and hooks.embedded(d, lambda ts: 1 / 0, cache)[0].count() == 3
+    with pytest.raises(Exception, match="one result for each"):
+        hooks.map_texts(d, lambda ts: [], "string").collect()
+
+
+def test_alerts_escalate():
+    step, state_, out = lifecycle.escalate_step(100), None, []
+    for ms, severity in ((0, "warning"), (10, "warning"), (20, "critical"), (30, "critical"), (40, "warning"), (139, "warning"), (140, "warning")):
+        state_, ok = step(state_, {"ms": ms, "severity": severity})
+        out.append(ok)
+    assert out == [True, False, True, False, True, False, True]
+
+
+def test_versions_close_and_open(spark):
+    h = spark.createDataFrame([("a", 1, 5, 9, "x"), ("a", 2, 9, None, "y"), ("b", 1, 3, None, "z")], "e string, version int, valid_from bigint, valid_to bigint, v string")
+    new = spark.createDataFrame([("a", "n"), ("c", "m")], "e string, v string")
+    got = sorted(tuple(r) for r in temporal.store_version(h, new, "e", 20).select("e", "version", "valid_from", F.coalesce("valid_to", F.lit(-1)), "v").collect())
+    assert got == [("a", 1, 5, 9, "x"), ("a", 2, 9, 20, "y"), ("a", 3, 20, -1, "n"), ("b", 1, 3, -1, "z"), ("c", 1, 20, -1, "m")]
+    assert temporal.invalidate(h, new.limit(0), "e", 20).exceptAll(h).count() == 0
+
+
+def test_shared_folder_is_told_on_a_cluster(spark, monkeypatch):
+    from engram import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_dir(Session())
