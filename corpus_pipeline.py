@@ -15,18 +15,22 @@ from engram.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts, those without letters and those whose language is unsure go; an empty table stays empty."""
     return langid.keep_identified(docs)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be bad go; null and empty texts by the score of an empty one; repeated rows alike."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group stays, also where rows share an id or have none; null and wordless texts all stay."""
     return neardup.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents' tokens; a null text has the end token alone; repeated rows are packed as they stand."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
