@@ -22,26 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as AVI and read back; null texts are empty, repeated rows keep their count."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op2_packing_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, packed by source; null texts have the end token alone, null sources are a queue."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every text, learned outside the held-out fold; null ids are in no fold; no letters: ``und``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document by words of three; null, empty texts stand alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, width=3, percent=85)
 
 
 def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text, learned outside the held-out fold; null and empty texts have the bias's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.classify(docs, model)
@@ -49,12 +54,14 @@ def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by rules and host reputation; null urls have empty hosts and the prior of all."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = urlrep.page_outcomes(pages, table(spark, sf_dir, "labels"))
     return urlrep.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 9).alias("bound"))
 
 
 def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every text, learned outside the held-out fold; null texts are scored as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
@@ -64,14 +71,17 @@ SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
 
 def op8_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard for every document by its id; null ids share one slot, repeated ids theirs."""
     return sharding.place_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
 def op9_parse_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; null texts are empty, null ids come last."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded; null texts are empty and have no ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(bpe.bpe_codec(docs, tokenizer_path("byte_bpe_50k.json")))
 
