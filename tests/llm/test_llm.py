@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -206,6 +207,43 @@ def test_small_automaton_by_brute_force():
             assert [auto.text[x] for x in auto.encode(bytes(w))] == parts
 
 
+def test_compiled_arcs_equal_unwound_gadgets():
+    rng = random.Random(3)
+    for _ in range(40):
+        texts, merges = [b"a", b"b", b"c"], []
+        while len(merges) < 25:
+            m = (rng.choice(texts), rng.choice(texts))
+            if m[0] + m[1] not in texts:
+                merges.append(m)
+                texts.append(m[0] + m[1])
+        auto = bpe.MergeAutomaton(merges)
+        live = [i for i in (97, 98, 99, *range(256, len(auto.text))) if auto.live[i]]
+        for x, y in itertools.product(live, repeat=2):
+            assert auto.arc(x, y) == auto.unwound(x, y, len(auto.text)), (merges, x, y)
+        for n in range(1, 7):
+            for w in itertools.product(b"abc", repeat=n):
+                assert b"".join(auto.text[x] for x in auto.encode(bytes(w))) == bytes(w)
+
+
+def test_transition_table_begins_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "STEP_ENTRIES", 7)
+    monkeypatch.setattr(bpe, "WORD_ENTRIES", 2)
+    codec, tk = bpe.ByteBpe.from_json(open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read()), library("byte_bpe_50k.json")
+    for t in odd_texts()[:60]:
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_raise():
+    spec = json.loads(open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for odd in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bpe.ByteBpe(spec | odd)
+    with pytest.raises(ValueError):
+        bpe.ByteBpe(spec | {"model": spec["model"] | {"byte_fallback": True}})
+    with pytest.raises(ValueError):
+        bpe.MergeAutomaton([(b"a", b"b"), (b"ab", b"zz")])
+
+
 def test_bpe_operator(edge):
     got = {r.doc_id: r for r in bpe.digest(bpe.bpe_codec(edge, queries.tokenizer_path("byte_bpe_50k.json"))).collect()}
     tk = library("byte_bpe_50k.json")
