@@ -34,7 +34,7 @@ WINDOW, END_ID = 4096, 2
 BROADCAST_ROWS, POINT, FIGURES = 200_000, 16, 1 << 20
 #: Entries of a worker's table after which it becomes the old one, which is still asked, and a new one is begun; bytes of
 #: text that are encoded at a time.
-ENTRIES, SLICE = 400_000, 4 << 20
+ENTRIES, SLICE = 200_000, 1 << 20
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
