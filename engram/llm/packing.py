@@ -17,6 +17,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class WordTokens:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(spec)
+        self.spec = spec
         j = json.loads(spec)
         self.special = [x["content"] for x in j.get("added_tokens", [])]
         norm = [(x["type"], x.get("content")) for x in (j.get("normalizer") or {}).get("normalizers", [])]
@@ -85,6 +86,13 @@ class WordTokens:
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The file's own tokenizer, made when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
