@@ -2,21 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of entities, by type; the first group that matched is the name.
-PATTERNS = {
-    "PERSON": [r"\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Professor)\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)'s\b", r"@([A-Za-z][A-Za-z0-9_-]+)"],
-    "ORGANIZATION": [r"\b(Google|Microsoft|Apple|Amazon|Meta|Facebook|Netflix|Anthropic|OpenAI|GitHub|GitLab|Vercel|Cloudflare|AWS|Azure|IBM|Oracle|Salesforce)\b", r"(?i)\bthe\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)\s+(?:team|group|company|organization)\b"],
-    "CODE_FILE": [r"\b([a-zA-Z0-9_\-./]+\.(?:ts|tsx|js|jsx|py|rb|go|rs|java|kt|swift|c|cpp|h|hpp|cs|php|vue|svelte|astro|md|json|yaml|yml|toml|xml|html|css|scss|sass|less))\b"],
-    "CODE_FUNCTION": [r"\b([a-z][a-zA-Z0-9_]*)\s*\([^)]*\)", r"\bfunction\s+([a-zA-Z_][a-zA-Z0-9_]*)", r"\b(use[A-Z][a-zA-Z0-9]*)\b"],
-    "DECISION": [r"(?i)\b(?:decided|chosen|selected|opted)\s+(?:to\s+)?([^.!?\n]+)", r"(?i)\bgoing\s+(?:with|for)\s+([^.!?\n]+)"],
-    "TASK": [r"\b(?:TODO|FIXME|HACK|XXX|BUG|NOTE):\s*([^\n]+)", r"(?i)\bneed\s+to\s+([^.!?\n]+)"],
-    "ERROR": [r"\b(?:Error|error|ERROR):\s*([^\n]+)", r"\b([A-Z][a-zA-Z]*(?:Error|Exception|Fault))\b", r"(?i)\bfailed\s+to\s+([^.!?\n]+)"],
-    "CONCEPT": [r"(?i)\bthe\s+concept\s+of\s+([^.!?\n]+)"],
-    "CODE_CLASS": [r"\bclass\s+([A-Z][a-zA-Z0-9_]*)", r"\binterface\s+([A-Z][a-zA-Z0-9_]*)", r"\b(?:extends|implements)\s+([A-Z][a-zA-Z0-9_]*)"],
+#: Patterns of entities, by type; the first group is the name. A pair (lead, tail) finds words of two letters or
+#: more, side by side, between a lead and the last tail: a pattern's group of any number of words would overflow the stack.
+PATTERNS: dict[str, list[str | tuple[str, str]]] = {
+    "PERSON": [
+        r"\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Professor)\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)",
+        r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)(?:\s+([A-Z][a-z]+))?\b(?=\s+(?:said|wrote|created|developed|implemented|designed|built|reported|mentioned|suggested|recommended|asked|answered|fixed|reviewed))",
+        r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)++)'s\b",
+        r"@([A-Za-z][A-Za-z0-9_-]+)",
+    ],
+    "ORGANIZATION": [
+        r"(?i)\b([A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,2})\s+(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co|GmbH|AG|SA|Pty|PLC)\b\.?",
+        ("at|by|from|with|for", "team|company|organization|group|department"),
+        r"\b(Google|Microsoft|Apple|Amazon|Meta|Facebook|Netflix|Anthropic|OpenAI|GitHub|GitLab|Vercel|Cloudflare|AWS|Azure|IBM|Oracle|Salesforce)\b",
+        ("the", r"(?:team|group|company|organization)\b"),
+    ],
+    "CODE_FILE": [
+        r"\b([a-zA-Z0-9_\-./]+\.(?:ts|tsx|js|jsx|py|rb|go|rs|java|kt|swift|c|cpp|h|hpp|cs|php|vue|svelte|astro|md|json|yaml|yml|toml|xml|html|css|scss|sass|less))\b",
+        r"\b((?:src|lib|packages|apps|modules|components|utils|helpers|services|hooks|stores|types|interfaces|models|controllers|views|routes|api|tests?|__tests__|spec)\/[a-zA-Z0-9_\-./]+)\b",
+        r"\b(\.\.?\/[a-zA-Z0-9_\-./]+(?:\.[a-zA-Z]+)?)\b",
+        r"\b(index\.(?:ts|tsx|js|jsx))\b",
+    ],
+    "CODE_FUNCTION": [
+        r"\b([a-z][a-zA-Z0-9_]*)\s*\([^)]*\)",
+        r"\basync\s+function\s+([a-zA-Z_][a-zA-Z0-9_]*)",
+        r"\bfunction\s+([a-zA-Z_][a-zA-Z0-9_]*)",
+        r"\b(const|let|var)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>",
+        r"\.([a-z][a-zA-Z0-9_]*)\s*\(",
+        r"\b(use[A-Z][a-zA-Z0-9]*)\b",
+    ],
+    "DECISION": [
+        r"(?i)\b(?:decided|chosen|selected|opted)\s+(?:to\s+)?([^.!?\n]+)",
+        r"(?i)\b(?:the\s+)?decision\s+(?:to|was|is)\s+([^.!?\n]+)",
+        r"(?i)\b(?:we|they|i)\s+(?:will|should|must|shall)\s+([^.!?\n]+)",
+        r"(?i)\bgoing\s+(?:with|for)\s+([^.!?\n]+)",
+        r"(?i)\bchose\s+([^.!?\n]+?)\s+over\b",
+    ],
+    "TASK": [
+        r"\b(?:TODO|FIXME|HACK|XXX|BUG|NOTE):\s*([^\n]+)",
+        r"(?i)\bneed\s+to\s+([^.!?\n]+)",
+        r"(?i)\b(?:implement|add|create|build|fix|update|refactor|remove|delete)\s+([^.!?\n]+)",
+        r"(?im)^[-*]\s*\[[ x]?\]\s*(.+)$",
+        r"(?i)\bshould\s+(?:be\s+)?([^.!?\n]+)",
+    ],
+    "ERROR": [
+        r"\b(?:Error|error|ERROR):\s*([^\n]+)",
+        r"\b([A-Z][a-zA-Z]*(?:Error|Exception|Fault))\b",
+        r"(?i)\bfailed\s+to\s+([^.!?\n]+)",
+        r"\bat\s+([a-zA-Z0-9_<>$.]+)\s*\(([^)]+):(\d+):(\d+)\)",
+        r"(?i)\bthrew\s+(?:an?\s+)?([A-Z][a-zA-Z]*(?:Error|Exception)?)",
+        r"(?i)\b(?:cannot|could\s+not|couldn't)\s+([^.!?\n]+)",
+    ],
+    "CONCEPT": [
+        r"(?i)\bthe\s+concept\s+of\s+([^.!?\n]+)",
+        ("", r"(?:pattern|principle|approach|methodology|architecture|paradigm)\b"),
+    ],
+    "CODE_CLASS": [
+        r"\bclass\s+([A-Z][a-zA-Z0-9_]*)",
+        r"\binterface\s+([A-Z][a-zA-Z0-9_]*)",
+        r"\btype\s+([A-Z][a-zA-Z0-9_]*)\s*=",
+        r"\b(?:extends|implements)\s+([A-Z][a-zA-Z0-9_]*)",
+        r"\b([A-Z][a-zA-Z0-9]*(?:Type|Interface|Class|Props|State|Config|Options))\b",
+    ],
+}
+#: Words that are no names of any type, and names that are no functions, compared in lower case.
+COMMON = """the a an is are was were be been being have has had do does did will would could should may might must shall can this that these
+those it its of in on at to for with by from as or and but if then else when up out no not all any some such new get set add run put""".split()
+COMMON_FUNCTIONS = """if for while switch case return throw catch try new typeof instanceof import export from as default log warn error info
+debug map filter reduce forEach find some every push pop shift slice splice join split trim replace match test exec toString valueOf parse
+stringify""".split()
+#: Parts of a key, and of a category, that make a type likelier.
+KEY_HINTS = {
+    "PERSON": "author|user|name",
+    "ORGANIZATION": "company|org|team",
+    "CODE_FILE": "file|path|source",
+    "CODE_FUNCTION": "function|method|api",
+    "DECISION": "decision|choice|selected",
+    "TASK": "task|todo|action",
+    "ERROR": "error|exception|bug",
 }
+CATEGORY_HINTS = {t: "code|technical" for t in ("CODE_FILE", "CODE_FUNCTION", "CODE_CLASS")}
 #: Technologies and design patterns that count as mentions.
 TECHNOLOGIES = """TypeScript JavaScript Python Rust Go Java Ruby Swift Kotlin React Vue Angular Svelte Nuxt Remix Astro Deno Bun Hono Fastify NestJS
 PostgreSQL MySQL SQLite MongoDB Redis Qdrant Neo4j Supabase Docker Kubernetes AWS GCP Azure Vercel Cloudflare GraphQL REST gRPC WebSocket SSE MCP
@@ -24,12 +94,58 @@ OAuth JWT CORS CSRF TLS mTLS""".split()
 DESIGNS = [r"singleton|factory|observer|strategy|adapter|proxy|facade|decorator|builder", r"circuit.?breaker|retry|backoff|rate.?limit|throttl|cache|queue|pub.?sub", r"blue.?green|canary|rolling.?update|feature.?flag", r"event.?sourc|CQRS|saga|outbox|dead.?letter"]
 
 
-def extract(docs: DataFrame, id_col: str, text: str, patterns: dict[str, list[str]] = PATTERNS, common: tuple[str, ...] = ()) -> DataFrame:
-    """(id, type, name) once for each type and lower-case name; names under two characters and common words are left out."""
-    found = F.array(*(F.struct(F.lit(t).alias("type"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("names")) for t, ps in patterns.items() for p in ps))
-    rows = docs.select(id_col, F.explode(found).alias("x")).select(id_col, "x.type", F.explode("x.names").alias("name"))
-    rows = rows.withColumn("name", F.trim("name")).filter((F.length("name") >= 2) & ~F.lower("name").isin(list(common)))
-    return rows.groupBy(id_col, "type", F.lower("name").alias("key")).agg(F.min("name").alias("name")).select(id_col, "type", "name")
+#: Words of two letters or more, side by side, and a sign that would go on with the last one.
+RUN = r"\b[A-Za-z]{2,}+(?:\s++[A-Za-z]{2,}+)*+[0-9_]?"
+
+
+def _found(text: Column, pattern: str | tuple[str, str]) -> Column:
+    """Array of (a: first group, b: whole match), in order."""
+    if isinstance(pattern, str):
+        return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("b"))
+    lead, tail = pattern
+    names = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda run: F.regexp_extract(run, rf"(?is)^(.+)\s+(?:{tail})", 1))
+    if lead:
+        names = F.transform(names, lambda head: F.regexp_extract(head, rf"(?is)^(?:.*?\s)?(?:{lead})\s+(\S.*)$", 1))
+    return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(n.alias("a"), n.alias("b")))
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def extract(docs: DataFrame, id_col: str, text: str, patterns: Mapping[str, Sequence[str | tuple[str, str]]] = PATTERNS, common: Sequence[str] = COMMON, key: Column | None = None, category: Column | None = None, min_confidence: float = 0.5) -> DataFrame:
+    """(id, type, name, confidence) once for each type and lower-case name of a row, as the first pattern wrote it.
+
+    A name is a match's first group, or all of it if that is blank, without white space around and marks behind; names
+    under two characters (persons and organizations: three) and common words are left out. A type's confidence falls with
+    the number of its patterns; what ``key`` and ``category`` hint at counts for a fifth more. Null and empty texts have no
+    entities. Rows of one id are one text's; null ids are one id.
+    """
+    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(i).alias("rank"), F.lit(max(0.3, min(1.0, 1 / len(ps) + 0.5))).alias("confidence"),
+                               _found(F.col(text), p).alias("names"))
+                      for t, ps in patterns.items() for i, p in enumerate(ps)))
+    rows = docs.select(F.col(id_col), F.explode(found).alias("x"), *(c.alias(n) for n, c in (("__key", key), ("__category", category)) if c is not None))
+    hints = F.lit(False)
+    for n, c, table in (("__key", key, KEY_HINTS), ("__category", category, CATEGORY_HINTS)):
+        for t, words in table.items() if c is not None else ():
+            hints = hints | ((F.col("x.type") == t) & F.coalesce(F.lower(n).rlike(words), F.lit(False)))
+    rows = rows.select(id_col, "x.type", "x.rank", boosted(F.col("x.confidence"), hints).alias("confidence"), F.posexplode("x.names").alias("at", "m"))
+    own = _bare(F.col("m.a"))
+    rows = rows.withColumn("name", F.when(own == "", _bare(F.col("m.b"))).otherwise(own)).withColumn("low", F.lower("name"))
+    short = F.when(F.col("type").isin("PERSON", "ORGANIZATION"), 3).otherwise(2)
+    rows = rows.filter((F.length("name") >= short) & ~F.col("low").isin(list(common)) & ~((F.col("type") == "CODE_FUNCTION") & F.col("low").isin(COMMON_FUNCTIONS)))
+    name = F.when(F.col("type") == "CODE_FILE", F.col("name")).otherwise(F.regexp_replace("name", r"[.,;:!?]+$", ""))
+    name = F.when(F.col("type") == "ORGANIZATION", F.regexp_replace(name, r"(?i)^(?:The|A|An)\s+", "")).otherwise(name)
+    rows = rows.withColumn("name", name).filter(F.col("confidence") >= min_confidence)
+    best = rows.groupBy(id_col, "type", F.lower("name").alias("low")).agg(F.min(F.struct("rank", "at", "name", "confidence")).alias("x"))
+    return best.select(id_col, "type", "x.name", "x.confidence")
+
+
+def overall_confidence(entities: Column, length: Column) -> Column:
+    """Confidence in a text's entities by how many it has for every hundred characters; 0 without text or entities."""
+    ratio = entities / F.greatest(F.lit(1.0), length / 100)
+    some = F.when(ratio < 0.5, ratio * 0.8).when(ratio > 3, F.greatest(F.lit(0.5), 1 - (ratio - 3) * 0.1)).otherwise(F.least(F.lit(0.95), 0.6 + ratio * 0.15))
+    return F.when((F.coalesce(length, F.lit(0)) == 0) | (F.coalesce(entities, F.lit(0)) == 0), 0.0).otherwise(some)
 
 
 def boosted(confidence: Column, prioritized: Column) -> Column:

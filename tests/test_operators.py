@@ -1,8 +1,11 @@
 """Fixtures with known results for operators whose order or state SQL expresses badly."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from engram.functions import entities as en
 from engram.functions import text as tx
 from engram.functions.stem import porter
 from engram.operators import code, graph, hooks, index, lifecycle, memory, projects, scoring, search, state, temporal
@@ -218,3 +221,46 @@ def test_shared_folder_is_told_on_a_cluster(spark, monkeypatch):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(RuntimeError, match="checkpoint"):
             session.shared_dir(Session())
+
+
+#: The word-run patterns as single expressions, which overflow the JVM's stack on long texts.
+RUNS = {
+    "ORGANIZATION": [
+        r"(?i)\b(?:at|by|from|with|for)\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)\b(?=\s+(?:team|company|organization|group|department))",
+        r"(?i)\bthe\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)\s+(?:team|group|company|organization)\b",
+    ],
+    "CONCEPT": [r"(?i)\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+(?:pattern|principle|approach|methodology|architecture|paradigm)\b"],
+}
+
+
+def test_entity_runs_equal_plain_patterns(spark):
+    texts = [
+        "from Core Data team and the Search Group, with x team", "by Blue Company1 and the team", "the the team group", "for Acme  team teams, at Zed department",
+        "a layered pattern and hexagonal pattern_x; clean architecture approach", "Event pattern2 Saga Pattern", "the a pattern", "pattern", "", "x1foo bar paradigm",
+    ]
+    own = {"ORGANIZATION": [en.PATTERNS["ORGANIZATION"][1], en.PATTERNS["ORGANIZATION"][3]], "CONCEPT": [en.PATTERNS["CONCEPT"][1]]}
+    got = en.extract(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", own).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        for kind, patterns in RUNS.items():
+            for m in (m for p in patterns for m in re.finditer(p, text, re.ASCII)):
+                name = m.group(1).strip()
+                if len(name) >= (3 if kind == "ORGANIZATION" else 2) and name.lower() not in en.COMMON:
+                    want.add((i, kind, re.sub(r"(?i)^(?:the|a|an)\s+", "", name).lower() if kind == "ORGANIZATION" else name.lower()))
+    assert {(r.id, r.type, r.name.lower()) for r in got} == want and len(want) > 8
+
+
+def test_entity_names_and_confidence(spark):
+    long = "plain words of a very long text " * 20_000
+    rows = [(1, "Dr. Jane Doe fixed IoError; decided to use Redis."), (2, None), (3, ""), (4, long + "the repository pattern"), (5, "const f = (x) => x"), (1, "@al and @Al and @bo")]
+    d = spark.createDataFrame(rows, "id int, t string")
+    got = {(r.id, r.type, r.name): round(r.confidence, 4) for r in en.extract(d, "id", "t").collect()}
+    assert got[1, "PERSON", "Jane Doe"] == 0.75 and got[1, "ERROR", "IoError"] == 0.6667 and got[1, "DECISION", "use Redis"] == 0.7
+    # a name of two letters is no person; the first group of an arrow function is its keyword
+    assert not any(n in ("al", "Al", "bo") for _, _, n in got) and (5, "CODE_FUNCTION", "const") in got
+    assert not any(i in (2, 3) for i, _, _ in got) and sum(i == 4 and t == "CONCEPT" for i, t, _ in got) == 1
+    up = {(r.type, r.name): r.confidence for r in en.extract(d, "id", "t", key=F.lit("Error log"), category=F.lit("Technical")).collect()}
+    assert up["ERROR", "IoError"] == pytest.approx(0.8) and up["PERSON", "Jane Doe"] == 0.75 and up["CODE_FUNCTION", "const"] == pytest.approx(0.8)
+    over = spark.createDataFrame([(0, 10), (1, 1000), (2, 100), (50, 100), (1, None)], "n int, length int").select(en.overall_confidence(F.col("n"), F.col("length")).alias("c"))
+    assert [round(r.c, 4) for r in over.collect()] == [0.0, 0.08, 0.9, 0.5, 0.0]
+    assert en.extract(d.filter("id > 9"), "id", "t").count() == 0
