@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import audit, bpe, fingerprint, langid, media, neardup, oracles, packing, quality, sharding, toxicity, urlrep
+from engram.llm import audit, bpe, fingerprint, langid, media, neardup, oracles, packing, quality, risk, sharding, toxicity, urlrep
 from engram.llm.common import crc_mod
 
 
@@ -86,6 +86,14 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.bpe_codec(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op11_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base and verdict of every text, cutoffs by labelled documents of each language; null texts have no words,
+    null ids and repeated rows stay rows of their own, null languages are a stratum, a ratio at its cutoff is kept, very
+    long texts count whole; an empty table gives no rows, without labels only the base rejects."""
+    judged = risk.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders for every part; null texts are empty, null sources the part '', repeated rows count
     each, rows without id are no copies and have no labels, very long texts count whole; an empty table gives no rows."""
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_lookup": op8_shard_lookup,
     "op9_parse_fingerprint": op9_parse_fingerprint,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_risk_rules": op11_risk_rules,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -139,4 +148,4 @@ _URL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN subst
   SELECT page_id, host, path, {_CASE[1]} AS rule, coalesce({_CASE[0]}, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, round(bound, 9) AS bound FROM q"""
 
 #: The other operators parse media, run tokenizers, learn models, build trees or fill tables in turns; SQL has no form of them.
-ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _URL, "op13_filter_audit": oracles.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _URL, "op11_risk_rules": oracles.risk_rules(), "op13_filter_audit": oracles.FILTER_AUDIT}
