@@ -22,6 +22,16 @@ FILTER_AUDIT = rf"""WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coal
       sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
   SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM e"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every document's score for every item by its terms.
+RANKED_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents), c AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+  u AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d), p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM u GROUP BY ALL), w AS (SELECT t, floor(1000 * ln((2 * c.n + 2.0::DOUBLE) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, c.n),
+  i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ts FROM benchmark), a AS (SELECT DISTINCT q, item_id, unnest(ts) AS t FROM i),
+  s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * p.n * c.n) // c.l))))::BIGINT AS score FROM a JOIN w USING (t) JOIN p USING (t) CROSS JOIN c GROUP BY ALL)
+  SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
 
 def risk_rules(rules: tuple[risk.Rule, ...] = risk.RULES, delta: float = risk.DELTA) -> str:
     """Counts of each text, labelled documents by the place of each rule's grid that rejects them first, the exact binomial

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import audit, bpe, fingerprint, langid, media, neardup, oracles, packing, quality, risk, sharding, toxicity, urlrep
+from engram.llm import audit, bpe, fingerprint, langid, lexical, media, neardup, oracles, packing, quality, risk, sharding, toxicity, urlrep
 from engram.llm.common import crc_mod
 
 
@@ -94,6 +94,12 @@ def op11_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten documents of the highest score; null texts have no terms, null items find nothing, equal
+    scores go by id and null ids come last, repeated rows are ranked each, very long texts whole; no documents, no rows."""
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders for every part; null texts are empty, null sources the part '', repeated rows count
     each, rows without id are no copies and have no labels, very long texts count whole; an empty table gives no rows."""
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parse_fingerprint": op9_parse_fingerprint,
     "op10_bpe_automaton": op10_bpe_automaton,
     "op11_risk_rules": op11_risk_rules,
+    "op12_wavelet_search": op12_wavelet_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -148,4 +155,4 @@ _URL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN subst
   SELECT page_id, host, path, {_CASE[1]} AS rule, coalesce({_CASE[0]}, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, round(bound, 9) AS bound FROM q"""
 
 #: The other operators parse media, run tokenizers, learn models, build trees or fill tables in turns; SQL has no form of them.
-ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _URL, "op11_risk_rules": oracles.risk_rules(), "op13_filter_audit": oracles.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _URL, "op11_risk_rules": oracles.risk_rules(), "op12_wavelet_search": oracles.RANKED_SEARCH, "op13_filter_audit": oracles.FILTER_AUDIT}
