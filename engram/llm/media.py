@@ -136,12 +136,12 @@ def _standard_index(data: bytes, at: int, end: int) -> list[bytes]:
 def read_avi(data: bytes) -> dict:
     """{width, height, frame_s, frames}: the frames of all segments of a file, AVI and AVIX, in order.
 
-    A segment's frames are those of its indexes: ix## chunks in its movi list, else idx1 in the first segment; without one
-    they are the movi list's chunks, records included.
+    A segment's frames are those of its indexes: ix## chunks in its movi list, looked for where the header names them or
+    there is no idx1, else idx1 in the first segment; without one they are the movi list's chunks, records included.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    out: dict = {"width": 0, "height": 0, "frame_s": 1 / FPS, "frames": []}
+    out: dict = {"width": 0, "height": 0, "frame_s": 1 / FPS, "frames": [], "indexed": False}
     for riff, start, stop in _walk(data, 0, len(data)):
         if riff != b"RIFF" or data[start : start + 4] not in (b"AVI ", b"AVIX"):
             break
@@ -156,7 +156,8 @@ def read_avi(data: bytes) -> dict:
                 index = [struct.unpack_from("<4sIII", data, a) for a in range(at, end - 15, 16)]
         if not movi:
             continue
-        standard = [(a, e) for k, a, e in _walk(data, movi[0] + 4, movi[1]) if k[:2] == b"ix"]
+        look = index is None or out["indexed"]
+        standard = [(a, e) for k, a, e in _walk(data, movi[0] + 4, movi[1]) if k[:2] == b"ix"] if look else []
         if standard:
             out["frames"] += [f for a, e in standard for f in _standard_index(data, a, e)]
         elif index is not None:
@@ -174,6 +175,7 @@ def _header(data: bytes, at: int, end: int, out: dict) -> None:
             out["width"], out["height"] = struct.unpack_from("<II", data, a + 32)
         elif k == b"LIST" and data[a : a + 4] == b"strl":
             for k2, a2, _ in _walk(data, a + 4, e):
+                out["indexed"] |= k2 == b"indx"
                 if k2 == b"strh" and data[a2 : a2 + 4] == b"vids":
                     scale, rate = struct.unpack_from("<II", data, a2 + 20)
                     out["frame_s"] = scale / rate if rate else out["frame_s"]
@@ -222,6 +224,8 @@ class _Bits:
     def take(self, n: int) -> int:
         if not n:
             return 0
+        if self.at + n > 8 * len(self.data) + 64:  # past the end, where decoders read ones for a while
+            raise ValueError("a scan that ends early")
         first, last = self.at >> 3, (self.at + n + 7) >> 3
         word = int.from_bytes(self.data[first:last].ljust(last - first, b"\xff"), "big")
         self.at += n
@@ -236,6 +240,8 @@ class _Bits:
         raise ValueError("no such code")
 
     def signed(self, size: int) -> int:
+        if size > 16:
+            raise ValueError("no such difference")
         v = self.take(size)
         return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
@@ -275,6 +281,10 @@ def _parse(data: bytes) -> dict:
 def _lossless(p: dict) -> np.ndarray:
     if p["raw"] == _TABLE and p["predictor"] == 1 and not p["restart"] and p["width"] % 8 == 0:
         return _samples([p["scan"]], p["width"], p["lines"])[0]
+    if not p["tables"] or p["predictor"] > 7:
+        raise ValueError("a scan without tables")
+    if p["lines"] * p["width"] > 8 * len(p["scan"]) + 64:  # a sample takes a bit or more
+        raise ValueError("a scan that ends early")
     bits, out = _Bits(p["scan"]), np.zeros((p["lines"], p["width"]), np.int64)
     table = p["huff"][0, next(iter(p["tables"].values()))[0]]
     for y in range(p["lines"]):
@@ -287,7 +297,7 @@ def _lossless(p: dict) -> np.ndarray:
             else:
                 guess = (0, a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[p["predictor"]]
             size = bits.symbol(table)
-            out[y, x] = (guess + (32768 if size == 16 else bits.signed(size))) & 255
+            out[y, x] = (int(guess) + (32768 if size == 16 else bits.signed(size))) & 255
     return out.astype(np.uint8)
 
 
@@ -302,6 +312,8 @@ def _baseline(p: dict) -> np.ndarray:
         hmax = vmax = 1
     wide, high = -(-p["width"] // (8 * hmax)), -(-p["lines"] // (8 * vmax))
     lum = p["comps"][0]
+    if wide * high > 8 * len(p["scan"]) + 64:  # a block takes a bit or more
+        raise ValueError("a scan that ends early")
     plane = np.zeros((high * lum[2] * 8, wide * lum[1] * 8))
     parts = [p["scan"]]
     if p["restart"]:

@@ -347,7 +347,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source) of all documents' tokens.
 
     A document's tokens are the tokenizer's ids of its whole text and END_ID. A null text is empty and has END_ID only;
-    a null source is a queue of its own. Repeated rows and ids are packed as often as they stand. An empty table gives an
+    a null source is a queue of its own, the key None of ``targets``. Repeated rows and ids are packed as often as they stand. An empty table gives an
     empty one; other columns are ignored. ``targets``: weights of sources, 0 or missing ones going last by a weight of
     next to nothing; without it the sources' own proportions, which then hold to the end. Each source has a queue,
     however many there are, so a window holds the proportions of them all and ``targets`` are those of sources.
@@ -358,7 +358,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_read(tokenizer_path))
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # '' is the null source's
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +382,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
     bases = bases.select("queue", "pid", F.coalesce("base", F.lit(0)).alias("base"))
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("sum_n").alias("n")).collect()}
     names = sorted(totals)
-    weights = [targets.get(q, 0.0) for q in names] if targets else None
+    weights = [targets.get(q[1:] if q else None, 0.0) for q in names] if targets else None
     layout = spark.sparkContext.broadcast((names, [totals[q] for q in names], weights, window))
     if bases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
@@ -401,7 +401,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
             raw = [np.frombuffer(v, "<u2").astype("<u4").tobytes() if len(v) == 2 * m else v[1:] for v, m in zip(ids.to_pylist(), size.tolist(), strict=True)]
             crc = [zlib.crc32(raw[i][4 * s : 4 * e]) for i, s, e in zip(row.tolist(), x.tolist(), (x + length).tolist(), strict=True)]
             pick = pa.array(row)
-            source = pa.array([None if v == "\0" else v for v in names], pa.string()).take(pa.array(queue[row]))
+            source = pa.array([v[1:] if v else None for v in names], pa.string()).take(pa.array(queue[row]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), pa.array(x), pa.array(length), pa.array(crc, pa.int64()), n.take(pick), pa.array(seq), pa.array(off), source], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     out = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"

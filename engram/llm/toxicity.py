@@ -341,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, row
     n1, n0 = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     odds = F.ln((F.col("ones") + 0.5) / (n1 + 1)) - F.ln((F.col("zeros") + 0.5) / (n0 + 1))
     telling = totals.filter(F.col("ones") >= MIN_DOCS[0]).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
-    top = telling.orderBy(F.desc(F.col("ones") * F.col("odds")), "term").limit(CANDIDATES).collect()
+    top = telling.orderBy(F.desc(F.col("ones") * F.col("odds")), "term").collect()  # terms of the sample's toxic documents
     counts = {r.term: (r.ones, r.zeros) for r in top}
     names = set(counts)
 
