@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from engram.plans import lifecycle, log, network, retrieval, structure, text  # noqa: F401
+    from engram.plans import lifecycle, log, network, retrieval, stores, structure, text  # noqa: F401
