@@ -51,6 +51,12 @@ class Index:
         r = spark.read.parquet(f"{self.path}/figures").first()
         return r.documents, r.avg_len
 
+    def rows(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        """(term, id, tf, len) of the terms, a bounded list: only their buckets' files are read."""
+        buckets = spark.createDataFrame([(t,) for t in names], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect() if names else []
+        own = sorted(r.b for r in buckets)
+        return self.postings(spark).filter(F.col("bucket").isin(own) & F.col("term").isin(names)).drop("bucket")
+
     def terms(self, query: str) -> Counter:
         words = words_of(query, self.least)
         return Counter(porter(w) if self.stemmed else w for w in words)
@@ -66,6 +72,15 @@ def _rows(docs: DataFrame, id_col: str, fields: dict[str, float], least: int) ->
     return docs.select(F.col(id_col).alias("id"), F.concat(*words).alias("words"))
 
 
+def posted(rows: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(id, len, term, tf) of ``_rows``: words are counted within a task before anything is shuffled."""
+    posts = rows.select("id", F.size("words").cast("bigint").alias("len"), F.explode("words").alias("x")).groupBy("id", "len", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    if stemmed:
+        stems = hk.map_texts(posts, lambda ts: [porter(t) for t in ts], "string", "term", "stem").withColumnRenamed("text", "term")
+        posts = posts.join(stems, "term").groupBy("id", "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return posts
+
+
 def build(docs: DataFrame, id_col: str, fields: dict[str, float], least: int = 1, stemmed: bool = False, path: str | None = None) -> Index:
     """Write the index of documents by unique id; ``fields``: columns with their weights.
 
@@ -79,11 +94,7 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, float], least: int = 1
     lengths.write.mode("overwrite").parquet(f"{index.path}/lengths")
     lengths = index.lengths(spark)
     lengths.agg(F.count("*").alias("documents"), F.avg("len").alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/figures")
-    posts = rows.select("id", F.size("words").cast("bigint").alias("len"), F.explode("words").alias("x")).groupBy("id", "len", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
-    if stemmed:
-        stems = hk.map_texts(posts, lambda ts: [porter(t) for t in ts], "string", "term", "stem").withColumnRenamed("text", "term")
-        posts = posts.join(stems, "term").groupBy("id", "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    _write(posts, index)
+    _write(posted(rows, stemmed), index)
     return index
 
 
@@ -108,11 +119,8 @@ def reindex(index: Index, changed: DataFrame, fields: dict[str, float], gone: Da
 
 
 def hits(spark: SparkSession, index: Index, terms: list[str]) -> DataFrame:
-    """(term, id, tf, len) of the terms, a bounded list: only their buckets' files are read."""
-    names = sorted(set(terms))
-    buckets = spark.createDataFrame([(t,) for t in names], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect() if names else []
-    own = sorted(r.b for r in buckets)
-    return index.postings(spark).filter(F.col("bucket").isin(own) & F.col("term").isin(names)).drop("bucket")
+    """(term, id, tf, len) of the terms, a bounded list."""
+    return index.rows(spark, sorted(set(terms)))
 
 
 def bm25(spark: SparkSession, index: Index, query: str, multiset: bool = False, every: bool = False, k1: float = K1, b: float = B) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from engram.functions import text as tx
 from engram.operators import index as ix
 from engram.operators import scoring as sc
 from engram.operators import search as se
+from engram.operators import segments as sg
 from engram.operators import vector as ve
 from engram.registry import query
+from engram.session import shared_dir
+from engram.sources.store import Store
 from engram.sources.tables import events, millis, table
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= {n})"
@@ -126,12 +131,11 @@ def knowledge_five_columns(spark, sf):
 
 @query("index_update", f"SELECT term, count(*) AS df, CAST(sum(tf) AS DOUBLE) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(n=1)}) AS term FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new words here' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)) GROUP BY 1, 2) GROUP BY term")
 def index_update(spark, sf):
-    """The index after some documents change and some go, without the rest being read again."""
-    d = _docs(spark, sf)
+    """The index after some documents change and some go: one more segment, of the changes alone."""
+    d = _docs(spark, sf).select("doc_id", "text")
     changed = d.filter("doc_id % 5 = 0 and doc_id % 7 <> 0").withColumn("text", F.lit("new words here"))
-    gone = d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
-    made = ix.reindex(_index(spark, sf), changed, {"text": 1.0}, gone)
-    return made.postings(spark).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    index = sg.create(Store(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), d, "doc_id")
+    return sg.frequencies(index.update(changed, d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))))
 
 
 @query("keyword_overlap_recall", "SELECT doc_id, score FROM (SELECT doc_id, (contains(lower(text), 'licensed')::INT + contains(lower(text), 'thing')::INT + contains(lower(text), 'idiot')::INT) / 3.0::DOUBLE AS score FROM documents) WHERE score >= 0.2 ORDER BY score DESC, doc_id LIMIT 50")

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from engram.operators import commits as cm
+from engram.operators import index as ix
 from engram.operators import scoring as sc
+from engram.operators import search as se
+from engram.operators import segments as sg
 from engram.plans.log import _LOG, NOW_MS
 from engram.plans.network import _findings, _runs
-from engram.plans.retrieval import _CASE, _CATS
+from engram.plans.retrieval import _CASE, _CATS, _TOK, _bm25_sql
 from engram.plans.structure import _FIND
 from engram.registry import query
 from engram.session import shared_dir
@@ -106,3 +109,28 @@ def maintenance_commit(spark, sf):
     rows = now.table("cycles").select(F.col("step").alias("part"), "n", F.lit(0.0).alias("x"))
     rows = rows.unionByName(now.table("events").agg(F.lit("events").alias("part"), F.count("*").alias("n"), F.lit(0.0).alias("x")))
     return rows.unionByName(now.table("relevance").agg(F.lit("relevance").alias("part"), F.count("*").alias("n"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 4).alias("x")))
+
+
+# ---- segments -------------------------------------------------------------------------------------------------------
+
+_CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'thing again' WHEN doc_id % 5 = 0 THEN 'new words here thing' ELSE text END AS text, lang, source FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 11 = 3)"""
+
+
+def _segmented(spark, sf) -> sg.Segments:
+    """Documents, then updates that change some, take some out and bring some of these back, merged on the way."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    index = sg.create(_store(spark), d.filter("doc_id % 3 < 2"), "doc_id").update(d.filter("doc_id % 3 = 2"))
+    index.update(d.filter("doc_id % 5 = 0").withColumn("text", F.lit("new words here thing")))
+    index.update(gone=d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))).merge()
+    return index.update(d.filter("doc_id % 11 = 3").withColumn("text", F.lit("thing again"))).merge(2)
+
+
+@query("index_segments", f"SELECT term, count(*) AS df, CAST(sum(tf) AS DOUBLE) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(n=1)}) AS term FROM {_CHANGED}) GROUP BY 1, 2) GROUP BY term")
+def index_segments(spark, sf):
+    """Frequencies of an index that was made in five segments and merged, as of one made at once."""
+    return sg.frequencies(_segmented(spark, sf))
+
+
+@query("segments_bm25", _bm25_sql({"thing": 1, "the": 1}).replace("FROM documents)", f"FROM {_CHANGED})") + "SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
+def segments_bm25(spark, sf):
+    return se.top(ix.bm25(spark, _segmented(spark, sf), "thing the"), 50).select("doc_id", F.round("score", 6).alias("score"))

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -83,3 +84,16 @@ def release(spark: SparkSession) -> int:
         path = sc._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths)
+
+
+#: Bytes of rows that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if its rows have BROADCAST_BYTES at most, else as it is, to be shuffled."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        wide = f.dataType.simpleString() in ("string", "binary")
+        width += F.coalesce(F.octet_length(f.name), F.lit(0)) + 8 if wide else F.lit(8)
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
