@@ -63,16 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", block: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs no recomputation of what lies above, and several readers share it. What is
-    written stays until ``release``, as results may be read at any later time.
+    written stays until ``release``, as results may be read at any later time. ``block``: bytes of a row group, which a writing
+    task holds, where rows are wide.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", block) if block else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
