@@ -15,6 +15,7 @@ The fingerprint is a one-permutation min-hash (64 bins of 16 bits) of the set of
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,27 +164,38 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def chain(docs: DataFrame) -> DataFrame:
     """(bucket, id, text, ghost): rows dealt into ranges of falling id, each with the row that follows its last one.
 
-    The edges are quantiles of the ids, a few numbers whatever the data. The row that follows a range, the first of the
-    next range that has rows (after the last: of the first), is one row and comes along as a ghost. Rows of the same id
-    stand by falling text; null ids come last, null texts count as empty.
+    The edges are quantiles of the ids, a few numbers whatever the data. Rows of the same id stand by falling hash of the
+    text; an id that is several quantiles, and the null ids, which come last, are split into ranges of this hash. The row that
+    follows a range, the first of the next range that has rows (after the last: of the first), is one row and comes along as
+    a ghost. Null texts count as empty.
     """
     spark = docs.sparkSession
     count = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = docs.select(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000).alias("e")).first().e
-    edges = sorted(set(edges or []), reverse=True)
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    found = docs.select(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000).alias("e")).first().e
+    times = Counter(found or [])
+    edges = sorted(times, reverse=True)
     ladder = F.array(*(F.lit(e) for e in edges)).cast("array<bigint>")
-    rows = docs.select(F.when(F.col("id").isNull(), len(edges) + 1).otherwise(F.size(F.filter(ladder, lambda e: F.col("id") < e))).alias("bucket"), "id", "text")
+    # an id stands at its range's end, as the ranges' lower edges are ids; of s parts a row has the one of its hash
+    parts = F.lit(0)
+    for e in edges:
+        parts = F.when(F.col("id") == e, 2 * times[e]).otherwise(parts) if times[e] > 1 else parts
+    parts = F.when(F.col("id").isNull(), count).otherwise(parts)
+    place = F.when(F.col("id").isNull(), len(edges) + 1).otherwise(F.size(F.filter(ladder, lambda e: F.col("id") < e)))
+    split = F.floor((32767 - F.shiftright("hash", 48)) * parts / 65536)
+    bucket = place * (2 * count + 1) + F.when(parts > 0, split + 1).otherwise(0)
+    rows = docs.select(bucket.cast("int").alias("bucket"), "id", "hash", "text")
     # the first row of each range: its id first, so that only the rows of that id compare texts
-    tops = {r.bucket: r.id for r in rows.groupBy("bucket").agg(F.max("id").alias("id")).collect()}  # at most count + 1 rows
+    tops = {r.bucket: r.id for r in rows.groupBy("bucket").agg(F.max("id").alias("id")).collect()}  # at most four rows a quantile
     order = sorted(tops)
     if not order:
         return rows.withColumn("ghost", F.lit(False))
     ahead = {b: order[i - 1] for i, b in enumerate(order)}  # the range to which b's first row goes as a ghost
     keys = spark.createDataFrame([(b, tops[b], ahead[b]) for b in order], "b int, top bigint, ahead int")
     ghosts = rows.join(F.broadcast(keys), (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("top")))
-    ghosts = ghosts.groupBy(F.col("ahead").alias("bucket"), "id").agg(F.max("text").alias("text")).withColumn("ghost", F.lit(True))
+    ghosts = ghosts.groupBy(F.col("ahead").alias("bucket"), "id").agg(F.max(F.struct("hash", "text")).alias("r")).select("bucket", "id", "r.*", F.lit(True).alias("ghost"))
     both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-    return both.repartitionByRange(len(order), "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), F.desc("text"))
+    return both.repartitionByRange(len(order), "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), F.desc("hash"), F.desc("text"))
 
 
 def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels: int = LEVEL) -> DataFrame:
@@ -192,7 +204,7 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     The edited text: the last half of the code points gives way to the first as many of the next document, by falling
     id (after the last: the first; a single document follows itself). (id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next); likeness as ``likeness`` has it. A null text counts as empty; rows of
-    the same id stand by falling text; an empty table gives an empty one; other columns are ignored.
+    the same id stand by falling hash of the text; an empty table gives an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -376,7 +376,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: Mapping[str, float] | No
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array([pid] * b.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(narrow, pa.binary())], names=["doc_id", "queue", "pid", "begin", "n", "ids"])
 
     rows = docs.select("doc_id", "text", source.alias("queue"))
-    made = materialize(arrow_map(rows, tokens, f"doc_id {kind}, queue string, pid int, begin bigint, n bigint, ids binary"), "tokens")
+    made = materialize(arrow_map(rows, tokens, f"doc_id {kind}, queue string, pid int, begin bigint, n bigint, ids binary"), "tokens", 8 << 20)
     sums = made.groupBy("queue", "pid").agg(F.sum("n").alias("sum_n"))
     bases = sums.withColumn("base", F.sum("sum_n").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
     bases = bases.select("queue", "pid", F.coalesce("base", F.lit(0)).alias("base"))

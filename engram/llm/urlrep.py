@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.common import hot_lookup
 from engram.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,15 +118,15 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rule
     p = split_url(pages.drop(*[c for c in ("rule", "bound", "verdict") if c != url_col]), url_col)
     domain, suffix = domain_columns(F.col("host"))
     # the priors of a host's domain and suffix join the distinct hosts, not the pages
-    known = p.select("host").distinct().withColumns({"_domain": domain, "_suffix": suffix})
+    known = p.groupBy("host").agg(F.count("*").alias("_rows")).withColumns({"_domain": domain, "_suffix": suffix})
     known = known.join(alone("host"), F.col("host") == F.col("_host"), "left").join(alone("domain"), "_domain", "left").join(alone("suffix"), "_suffix", "left")
     known = known.crossJoin(F.broadcast(rep["all"].select(F.col("alpha").alias("_a_all"), F.col("beta").alias("_b_all"))))
     order = ("host", "domain", "suffix", "all")
     alpha, beta = (F.coalesce(*(F.col(f"_{x}_{k}") for k in order)) for x in "ab")
-    known = known.select("host", posterior_bound(alpha, beta, z).alias("bound"))
+    known = materialize(known.select("host", posterior_bound(alpha, beta, z).alias("bound"), "_rows"), "hosts")
     rule, said = rule_columns(rules)
     own = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
-    return p.join(known, "host", "left").withColumns({"rule": rule, "verdict": F.coalesce(said, own)})
+    return hot_lookup(p, known, "host", "_rows", "left").withColumns({"rule": rule, "verdict": F.coalesce(said, own)})
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
