@@ -242,8 +242,9 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, every: bool = False)
     few = [r.term for r in names.collect()] if is_small(asked) else None
     shards = materialize(postings(docs, few), "lexical-postings")
     documents, length = shards.agg(F.sum("docs"), F.sum("length")).first()
-    counted = asked.join(document_counts(shards), "term")
-    weight = F.floor(1000 * F.log((2.0 * F.lit(documents or 0) + 2) / (2 * F.col("df") + 1)))
+    # a term that no document holds adds nothing, but none has all terms of its items
+    counted = asked.join(document_counts(shards), "term", "left" if every else "inner")
+    weight = F.floor(1000 * F.log((2.0 * F.lit(documents or 0) + 2) / (2 * F.coalesce("df", F.lit(0)) + 1)))
     asked = materialize(counted.select("item", "item_id", "term", weight.alias("w")), "lexical-weights")
     trees = materialize(index(shards, documents or 0, length or 0), "lexical-index")
     return find(trees, asked, k, every).drop("item")
