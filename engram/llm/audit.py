@@ -35,18 +35,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return t.select("*", F.coalesce("doc_id", "k").alias("g"))
 
 
-def word_totals(rows: DataFrame) -> DataFrame:
-    """(g, w, n_words, n_distinct) of rows (g, w, text), documents being told by g and w, by (document, word), then by document.
+def word_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_words, n_distinct) of rows (keys, text), documents being told by ``keys``, by (document, word), then by document.
 
     A blank before the text gives every row one empty word: documents without words have a row, and repeated rows are
     told by the number of their empty words.
     """
     blanks = F.lit(" \t\n\x0b\f\r")
     words = F.split(F.rtrim(F.concat(F.lit(" "), "text"), blanks), r"[\x20\x09-\x0D]+")
-    counts = rows.select("g", "w", F.explode(words).alias("word")).groupBy("g", "w", "word").agg(F.count("*").alias("c"))
+    counts = rows.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("c"))
     real = F.col("word") != ""
-    sums = counts.groupBy("g", "w").agg(F.sum(F.when(real, F.col("c")).otherwise(0)).alias("all"), F.sum(F.when(real, 1).otherwise(0)).alias("n_distinct"), F.sum(F.when(~real, F.col("c"))).alias("copies"))
-    return sums.select("g", "w", F.expr("all div copies").alias("n_words"), "n_distinct")
+    sums = counts.groupBy(*keys).agg(F.sum(F.when(real, F.col("c")).otherwise(0)).alias("all"), F.sum(F.when(real, 1).otherwise(0)).alias("n_distinct"), F.sum(F.when(~real, F.col("c"))).alias("copies"))
+    return sums.select(*keys, F.expr("all div copies").alias("n_words"), "n_distinct")
 
 
 def filter_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -62,13 +62,12 @@ def filter_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = materialize(own.groupBy(*own.columns).agg(F.count("*").alias("n")), "audit-rows")
     first = own.groupBy("h", "k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).filter("rows > 1")
     own = hot_lookup(own, materialize(first, "audit-copies"), ["h", "k"], "rows", "left")
-    # what tells an id's texts apart goes with every word: 32 bits of the hash, unless two texts of an id share these
-    short = F.col("h").bitwiseAND(0xFFFFFFFF)
-    clash = own.groupBy("g", short.alias("w")).agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").limit(1).count()
-    w = (F.col("h") if clash else short).alias("w")
+    # every word carries what tells its document: g alone, unless different texts share one
+    shared = own.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").limit(1).count()
+    keys = ["g", "h"] if shared else ["g"]
     one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("g")).agg(one("quality").alias("q"), one("toxic").alias("t"))
-    out = own.select("*", w).join(word_totals(rows.select("g", w, "text")), ["g", "w"], "left").join(marks, "g", "left")
+    out = own.join(word_totals(rows.select(*keys, "text"), keys), keys, "left").join(marks, "g", "left")
     words = F.coalesce("n_words", F.lit(0))
     fails = {"A": words < 200, "B": 100 * F.coalesce("n_distinct", F.lit(0)) < 50 * words, "C": F.col("C"), "D": F.col("D"), "E": F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))}
     marked = lambda c: F.col("doc_id").isNotNull() & F.coalesce(F.col(c), F.lit(False))
