@@ -1,17 +1,21 @@
 """Graph operators over edges (src, dst, ...): neighbours, k-hop search, lineage, causes, impact, maps, quality.
 
 Reachability runs level by level, each level a join of the frontier and an anti-join of what was visited, at most ten
-levels; where paths themselves are the answer, they are carried along.
+levels; where paths themselves are the answer, they are carried along as trails, which use no edge twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.session import materialize
 
 DEEPEST = 10
+#: Levels that a search compares with one by one before they become one table.
+MERGED = 4
 
 
 def _depth(n: int) -> int:
@@ -35,39 +39,86 @@ def filtered(edges: DataFrame, direction: str, node, types: list[str] | None = N
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", keep_seeds: bool = False) -> DataFrame:
-    """(seed, node, depth): least hops from each seed (column ``seed``) to the nodes that it reaches."""
+    """(seed, node, depth): least hops from each seed (column ``seed``) to the nodes that it reaches.
+
+    Along directed edges a seed is among its own nodes if a cycle leads back to it, with the hops of its shortest cycle;
+    against no direction it isn't, as an edge isn't used twice. With ``keep_seeds`` a seed has depth 0 instead. Null ends
+    lead nowhere.
+    """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
     if direction == "in":
         step = edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))
     elif direction == "both":
         step = step.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")))
-    step = step.distinct()
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
+    step = step.filter("node is not null and to is not null").distinct()
+    start = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).filter("seed is not null").distinct()
+    front, levels = start, [start] if keep_seeds or direction == "both" else []
     for d in range(1, _depth(depth) + 1):
         new = front.join(step, "node").select("seed", F.col("to").alias("node")).distinct()
-        new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
-        # a level is read by the next join and by the union; written, it is made once
-        front = materialize(new, "frontier")
+        for part in levels:
+            new = new.join(part.select("seed", "node"), ["seed", "node"], "left_anti")
+        # a level is read by the next join and by the result; written, it is made once
+        front = materialize(new.withColumn("depth", F.lit(d)), "frontier")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        levels.append(front)
+        if len(levels) == MERGED:  # few tables to compare with, whatever the depth
+            levels = [materialize(reduce(DataFrame.unionByName, levels), "seen")]
+    seen = reduce(DataFrame.unionByName, levels) if levels else start.limit(0)
     return seen if keep_seeds else seen.filter("depth > 0")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth, via): one row for each path that revisits no node; ``via`` lists its nodes.
+def trails(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(seed, node, depth, via): trails of 1 to ``depth`` edges from each seed, no edge twice; ``via`` lists their nodes.
 
-    Paths multiply with depth on dense graphs; callers bound ``depth``.
+    Nodes may come again, the seed too; edges between the same nodes are one. ``limit``: of each seed the first so many by
+    depth, node, via; a seed with so many shorter trails isn't followed further, and a level is cut to the limit before it
+    meets, so at most ``limit`` trails of a seed are carried on, whatever the degree of their nodes. ``targets`` (node): only
+    trails that end there; what is farther from all of them than the hops that are left isn't followed.
     """
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
-    front = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("via"))
-    out = None
-    for d in range(1, _depth(depth) + 1):
-        front = front.join(step, "node").filter(~F.array_contains("via", F.col("to")))
-        front = front.select("seed", F.col("to").alias("node"), F.lit(d).alias("depth"), F.array_append("via", F.col("to")).alias("via"))
-        out = front if out is None else out.unionByName(front)
-    return out
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).filter("node is not null and to is not null").distinct()
+    depth = _depth(depth)
+    ends = None
+    if targets is not None:
+        goals = targets.select(F.col("node").alias("seed")).distinct()
+        near = reach(edges, goals, depth, "in", keep_seeds=True).groupBy("node").agg(F.min("depth").alias("left"))
+        ends = materialize(near.select(F.col("node").alias("to"), "left"), "left")
+    pair = F.struct(F.col("node").alias("a"), F.col("to").alias("b"))
+    kind = edges.schema["src"].dataType.simpleString()
+    start = seeds.select("seed").filter("seed is not null").distinct()
+    front = start.select("seed", F.col("seed").alias("node"), F.array("seed").alias("via"), F.array().cast(f"array<struct<a: {kind}, b: {kind}>>").alias("used"))
+    found = None
+    order = Window.partitionBy("seed").orderBy("node", "via")
+    for d in range(1, depth + 1):
+        new = front.join(step, "node").filter(~F.array_contains("used", pair))
+        if ends is not None:
+            new = new.join(ends, "to").filter(F.col("left") <= depth - d)
+        new = new.select("seed", F.col("to").alias("node"), F.array_append("via", F.col("to")).alias("via"), F.array_append("used", pair).alias("used"), *(["left"] if ends is not None else []))
+        hit = F.col("left") == 0 if ends is not None else F.lit(True)
+        new = new.withColumn("hit", hit)
+        if limit is not None and ends is None:
+            # the whole level of a seed that goes on is among its first ``limit``
+            new = new.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+        level = materialize(new, "trails")
+        if level.isEmpty():
+            break
+        out = level.filter("hit").select("seed", "node", F.lit(d).alias("depth"), "via")
+        found = out if found is None else found.unionByName(out)
+        front = level.select("seed", "node", "via", "used")
+        if limit is not None:
+            full = found.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
+            front = front.join(full, "seed", "left_anti")
+    if found is None:
+        return start.select("seed", F.col("seed").alias("node"), F.lit(1).alias("depth"), F.array("seed").alias("via")).limit(0)
+    if limit is None:
+        return found
+    first = Window.partitionBy("seed").orderBy("depth", "node", "via")
+    return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n")
+
+
+def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, depth, via): all trails; on dense graphs they multiply with depth, which ``trails`` can limit."""
+    return trails(edges, seeds, depth)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = DEEPEST) -> DataFrame:
@@ -212,9 +263,8 @@ def subgraph(edges: DataFrame, centre: DataFrame, depth: int = 3) -> tuple[DataF
 
 
 def nearest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """((file, via, depth), (n, truncated)): impact with the least depth of each (file, via path), the first ``limit`` rows."""
-    found = paths(edges, seeds, depth).groupBy(F.col("node").alias("file"), "via").agg(F.min("depth").alias("depth"))
-    rows = found.orderBy("depth", "file", "via").limit(limit + 1)
+    """((file, via, depth), (n, truncated)): impact along trails, the first ``limit`` of each seed by depth, file and path."""
+    rows = trails(edges, seeds, depth, limit + 1).select(F.col("node").alias("file"), "via", "depth")
     return rows.orderBy("depth", "file", "via").limit(limit), truncated(rows, limit)
 
 
@@ -248,8 +298,6 @@ def population_chain(files: DataFrame) -> DataFrame:
 
     Ranges of paths are sorted apart and the range's last file meets the next range's first, so no task sees all files.
     """
-    from pyspark.sql import Window
-
     spark = files.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = materialize(files.select("path").distinct().repartitionByRange(n, "path").withColumn("_part", F.spark_partition_id()), "population")
