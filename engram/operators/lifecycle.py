@@ -222,6 +222,27 @@ def escalate_step(window_ms: int = 900_000):
     return step
 
 
+def alert_map_step(window_ms: int = 900_000, most: int = 200):
+    """A monitor's alerts by name: as ``escalate_step`` for each, of rows (alert, severity, ms); a severity of null clears
+    the alert, so that it may fire again at once, and beyond ``most`` alerts the one that fired longest ago goes alike."""
+    own = escalate_step(window_ms)
+
+    def step(state, row):
+        held = dict(state or {})
+        if row["severity"] is None:
+            held.pop(row["alert"], None)
+            return held, False
+        new, fires = own(held.get(row["alert"]), row)
+        if fires:
+            held.pop(row["alert"], None)
+            held[row["alert"]] = new  # last fired last
+            if len(held) > most:
+                del held[next(iter(held))]
+        return held, fires
+
+    return step
+
+
 def tripped(deliveries: DataFrame, who: str, order: str, failed: Column, most: int = 5) -> DataFrame:
     """(who, at): the first row at which a subscriber has failed ``most`` times in a row."""
     w = Window.partitionBy(who).orderBy(order)
