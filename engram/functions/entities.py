@@ -160,6 +160,31 @@ def mentions(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, F.explode(F.array(*both)).alias("x")).select(id_col, "x.kind", F.explode("x.names").alias("name"))
 
 
+def dictionary_mentions(docs: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
+    """(id, name): the names (name) of a table of any size that a text holds between borders of words, whatever the case.
+
+    A text's distinct words meet the names' first words in a join; a name of more than one word is then looked for in the
+    texts that hold its first one. Null and wordless texts and names meet nothing; names are told apart in lower case.
+    """
+    word = r"[a-z0-9_]+"
+    known = names.select(F.lower("name").alias("name")).filter("name is not null").distinct()
+    known = known.withColumn("word", F.regexp_extract("name", word, 0)).filter("word <> ''")
+    words = docs.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))).alias("word"))
+    met = words.join(known, "word").select(id_col, "name", (F.col("name") == F.col("word")).alias("whole"))
+    longer = met.filter("not whole").join(docs.select(id_col, F.lower(text).alias("_t")), id_col)
+    pattern = F.concat(F.lit("(?<![a-z0-9_])"), F.regexp_replace("name", r"([^a-z0-9_ ])", r"\\$1"), F.lit("(?![a-z0-9_])"))
+    longer = longer.filter(F.regexp_like("_t", pattern))
+    return met.filter("whole").select(id_col, "name").unionByName(longer.select(id_col, "name")).distinct()
+
+
+def relations(mentioned: DataFrame, project: str) -> DataFrame:
+    """(project, target, type, n) of rows (project, kind, name): a project uses technologies, implements patterns and is
+    related to other projects; n counts the rows."""
+    kind = F.when(F.col("kind") == "technology", "uses").when(F.col("kind") == "pattern", "implements").when((F.col("kind") == "project") & (F.col("name") != F.col(project)), "related_to")
+    rows = mentioned.select(F.col(project).alias("project"), F.col("name").alias("target"), kind.alias("type")).filter("type is not null and project is not null")
+    return rows.groupBy("project", "target", "type").agg(F.count("*").alias("n"))
+
+
 def cross_project(entries: DataFrame, project: str, score: Column, limit: int = 5) -> DataFrame:
     """Best entries of other projects."""
     return entries.filter(F.col("project") != project).withColumn("score", score).filter("score >= 0.5").orderBy(F.desc("score"), "id").limit(limit)

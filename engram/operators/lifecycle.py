@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.operators import events as ev
 from engram.operators import memory as mem
+from engram.operators import scoring as sc
 
 
 def hydrate_partial(changes: DataFrame, fields: list[str], metadata: str = "metadata", keys: tuple[str, ...] = ("session_id", "key")) -> DataFrame:
@@ -175,6 +176,18 @@ def track_access(tracked: DataFrame, accesses: DataFrame) -> DataFrame:
     return both.select("memory_id", count.cast("bigint").alias("access_count"), F.greatest("last_ms", "_ms").alias("last_ms"))
 
 
+def access_scores(tracked: DataFrame, accesses: DataFrame, traits: DataFrame, now_ms: int) -> DataFrame:
+    """(memory_id, access_count, last_ms, score) after a batch of accesses: the score of an accessed memory is made anew from
+    its counts and the days since it was read, by ``traits`` (memory_id, priority, category); others keep theirs. A memory
+    without traits is a note of normal priority."""
+    after = track_access(tracked.select("memory_id", "access_count", "last_ms"), accesses)
+    read = accesses.select("memory_id").distinct().withColumn("_read", F.lit(True))
+    rows = after.join(read, "memory_id", "left").join(traits, "memory_id", "left").join(tracked.select("memory_id", F.col("score").alias("_old")), "memory_id", "left")
+    days = (F.lit(now_ms) - F.col("last_ms")) / 86_400_000
+    score = sc.relevance(F.coalesce("priority", F.lit("normal")), F.coalesce("category", F.lit("note")), F.col("access_count"), days)
+    return rows.select("memory_id", "access_count", "last_ms", F.when(F.col("_read"), score).otherwise(F.col("_old")).alias("score"))
+
+
 def relevant(scores: DataFrame, saves: DataFrame, least: float = 0.7, limit: int = 100) -> DataFrame:
     """The best scored memories (memory_id, score) with their saves, by the id in each save's JSON payload."""
     own = saves.withColumn("memory_id", F.get_json_object("payload", "$.memoryId").cast(scores.schema["memory_id"].dataType)).drop("payload")

@@ -90,6 +90,14 @@ def compress(memories: DataFrame, group: str, order: str = "memory_id") -> DataF
     return first.groupBy(group).agg(F.count("*").alias("facts"), F.sum("n").alias("sources")).withColumn("ratio", F.round(F.col("facts") / F.col("sources"), 6))
 
 
+def facts(memories: DataFrame, group: str, order: str = "memory_id") -> DataFrame:
+    """(group, order, fact, sources): the facts that ``compress`` counts, each as its first memory wrote it but for white
+    space at its ends, with the number of memories that say it."""
+    norm = F.lower(tx.collapse(F.col("value")))
+    first = memories.groupBy(group, norm.alias("norm")).agg(F.min_by(F.struct(order, F.trim("value").alias("fact")), order).alias("r"), F.count("*").alias("sources"))
+    return first.select(group, "r.*", "sources")
+
+
 def junk_reason(value: Column) -> Column:
     """The first rule that a value breaks, or null: empty, short, filler, bare URL, one character or one word > 60 %."""
     t = F.trim(value)
@@ -123,6 +131,15 @@ def missing_evidence(category: Column, present: Column) -> Column:
     return F.array_except(F.coalesce(F.try_element_at(table, category), none), F.coalesce(present, none))
 
 
+def evidence_verdict(category: Column, present: Column, bypass: Column | None = None, block: tuple[str, ...] = ()) -> Column:
+    """struct(passed, warning): a gate with missing fields warns, for the categories in ``block`` it fails; ``bypass`` (an
+    admin) skips it, and so does a category without a gate. The warning is null where there is none."""
+    missing = missing_evidence(category, present)
+    open_ = (F.size(missing) == 0) | (F.coalesce(bypass, F.lit(False)) if bypass is not None else F.lit(False))
+    text = F.concat(F.lit('Evidence gate for "'), category, F.lit('": missing required metadata fields: '), F.array_join(missing, ", "))
+    return F.struct((open_ | ~F.coalesce(category.isin(*block), F.lit(False))).alias("passed"), F.when(~open_, text).alias("warning"))
+
+
 def wants_extraction(category: Column, size: Column, explicit: Column) -> Column:
     return F.coalesce(explicit, F.lit(False)) | F.coalesce(category.isin("decision", "error", "fact", "knowledge_entry"), F.lit(False)) | (size > 500)
 

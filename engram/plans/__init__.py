@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from engram.plans import lifecycle, log, network, retrieval, runs, stores, structure, text, vectors  # noqa: F401
+    from engram.plans import lifecycle, log, network, retrieval, runs, stores, structure, text, upkeep, vectors  # noqa: F401

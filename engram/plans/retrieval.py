@@ -186,14 +186,14 @@ def vector_stats(spark, sf):
     return ve.label_stats(ve.checked(table(spark, sf, "embeddings"), 64))
 
 
-@query("hash_vectorizer_sparse", f"""WITH w AS (SELECT doc_id, {_TOK.format(n=1)} AS w FROM documents WHERE lang = 'es'),
+@query("hash_vectorizer_sparse", f"""WITH w AS (SELECT doc_id, {_TOK.format(n=1)} AS w FROM documents),
   g AS (SELECT doc_id, unnest(w) AS g FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM w UNION ALL
   SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2])) FROM w),
   h AS (SELECT doc_id, CAST('0x' || sha256(g)[1:8] AS BIGINT) AS h FROM g), s AS (SELECT doc_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM h),
   v AS (SELECT doc_id, abs(h) % 768 AS idx, sum(CASE WHEN h >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS s FROM s GROUP BY 1, 2)
   SELECT doc_id, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 6) AS weight FROM v WHERE s <> 0""")
 def hash_vectorizer_sparse(spark, sf):
-    return ve.hashed(_docs(spark, sf).filter("lang = 'es'"), "doc_id", "text").select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    return ve.hashed(_docs(spark, sf), "doc_id", "text").select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
 
 _KW = _bm25_sql({"thing": 1, "the": 1}) + ", kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 40))"
@@ -287,13 +287,6 @@ def stale_memories(spark, sf):
     return sc.stale(_scored(spark, sf), 0.6, 30, 40).select("memory_id", F.round("score", 6).alias("score"))
 
 
-@query("prune_candidates", _MEM_SQL + "SELECT memory_id, accesses FROM r WHERE score < 0.9 AND accesses - accesses = 0 AND days > 29 ORDER BY memory_id LIMIT 500")
-def prune_candidates(spark, sf):
-    s = _scored(spark, sf)
-    kept = sc.prunable(s.withColumns({"reads": F.col("accesses"), "accesses": F.lit(0)}), 0.9, 29)
-    return kept.select("memory_id", F.col("reads").alias("accesses"))
-
-
 @query("search_blend_relevance", _MEM_SQL + """, s AS (SELECT memory_id, contains(lower(text), 'thing')::INT::DOUBLE AS k FROM (SELECT doc_id AS memory_id, text FROM documents))
   SELECT s.memory_id, round(0.7 * k + 0.3 * coalesce(score, 1.0), 6) AS score FROM s LEFT JOIN r USING (memory_id) WHERE k > 0""")
 def search_blend_relevance(spark, sf):
@@ -341,9 +334,9 @@ def normalize_text(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(tx.collapse(F.col("text"))).alias("digest"), tx.slashes(F.concat("source", F.lit("\\a"))).alias("path"))
 
 
-@query("compact_projection", "SELECT doc_id, lang, substring(text, 1, 80) AS head FROM documents WHERE n_chars > 3000")
+@query("compact_projection", "SELECT doc_id, lang, substring(text, 1, 80) AS head FROM documents")
 def compact_projection(spark, sf):
-    return _docs(spark, sf).filter("n_chars > 3000").select("doc_id", "lang", tx.compact(F.col("text")).alias("head"))
+    return _docs(spark, sf).select("doc_id", "lang", tx.compact(F.col("text")).alias("head"))
 
 
 @query("evidence_gate", """SELECT doc_id, coalesce(array_to_string(list_filter(CASE c WHEN 'decision' THEN ['rationale'] WHEN 'error' THEN ['source'] WHEN 'fact' THEN ['source'] ELSE [] END, lambda x: NOT list_contains(CASE WHEN doc_id % 2 = 0 THEN ['source'] ELSE [] END, x)), ','), '') AS missing

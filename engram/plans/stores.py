@@ -72,10 +72,10 @@ def _pick(xs, n):
 
 
 def _relevance(spark, sf):
-    """A row for each save: read as often as its key was recalled."""
+    """A row for each save: read as often as its key was recalled in its session."""
     log = events(spark, sf)
-    reads = log.filter("event_type = 'MEMORY_RECALLED'").groupBy("key").agg(F.count("*").alias("reads"), F.max("ms").alias("last_read"))
-    m = log.filter("event_type = 'MEMORY_SAVED'").select(F.col("event_id").alias("memory_id"), "key", "ms").join(reads, "key", "left")
+    reads = log.filter("event_type = 'MEMORY_RECALLED'").groupBy("session_id", "key").agg(F.count("*").alias("reads"), F.max("ms").alias("last_read"))
+    m = log.filter("event_type = 'MEMORY_SAVED'").select(F.col("event_id").alias("memory_id"), "session_id", "key", "ms").join(reads, ["session_id", "key"], "left")
     m = m.withColumns({"priority": _pick(["high", "normal", "low"], 3), "category": _pick(_CATS, len(_CATS)), "accesses": F.coalesce("reads", F.lit(0)), "last_ms": F.greatest("ms", "last_read")})
     score = sc.relevance(F.col("priority"), F.col("category"), F.col("accesses"), (F.lit(NOW_MS) - F.col("last_ms")) / cm.DAY_MS)
     return m.select("memory_id", "priority", "category", "accesses", "last_ms", score.alias("score"))
@@ -85,9 +85,9 @@ _SCORE = f"""{_CASE(sc.PRIORITY, "priority", 1)} * {_CASE(sc.CATEGORY, "category
   * pow(1 + (19.0::DOUBLE / 81) * days / {_CASE(sc.STABILITY_DAYS, "category", 30)}, -0.5) * (1 + 0.3 * ln(1.0 + accesses) * exp(-days * 24 / 168))"""
 _CYCLE = (
     _LOG
-    + f""", reads AS (SELECT key, count(*) AS reads, max(ms) AS last_read FROM log WHERE event_type = 'MEMORY_RECALLED' GROUP BY 1),
+    + f""", reads AS (SELECT session_id, key, count(*) AS reads, max(ms) AS last_read FROM log WHERE event_type = 'MEMORY_RECALLED' GROUP BY 1, 2),
   m AS (SELECT event_id AS memory_id, log.key, ['high', 'normal', 'low'][event_id % 3 + 1] AS priority, [{", ".join(f"'{c}'" for c in _CATS)}][event_id % {len(_CATS)} + 1] AS category, coalesce(reads, 0) AS accesses,
-    ({NOW_MS + 20 * cm.DAY_MS} - greatest(ms, last_read)) / 86400000.0::DOUBLE AS days, ({NOW_MS} - greatest(ms, last_read)) / 86400000.0::DOUBLE AS days0 FROM log LEFT JOIN reads ON reads.key = log.key WHERE event_type = 'MEMORY_SAVED'),
+    ({NOW_MS + 20 * cm.DAY_MS} - greatest(ms, last_read)) / 86400000.0::DOUBLE AS days, ({NOW_MS} - greatest(ms, last_read)) / 86400000.0::DOUBLE AS days0 FROM log LEFT JOIN reads ON reads.key = log.key AND reads.session_id = log.session_id WHERE event_type = 'MEMORY_SAVED'),
   s0 AS (SELECT *, {_SCORE.replace("days", "days0")} AS score0, {_SCORE} AS score FROM m), dd AS (SELECT memory_id FROM (SELECT memory_id, key, max(memory_id) OVER (PARTITION BY key) AS newest FROM m WHERE key IS NOT NULL) WHERE memory_id < newest),
   l AS (SELECT * FROM s0 WHERE memory_id NOT IN (FROM dd)), st AS (SELECT memory_id, category FROM l WHERE score0 < 0.6 AND days >= 25 ORDER BY score0, memory_id LIMIT 1000),
   pr AS (SELECT memory_id FROM l WHERE score0 < 1.0 AND accesses = 0 AND days > 22 AND memory_id NOT IN (SELECT memory_id FROM st) ORDER BY memory_id LIMIT 500), rs AS (SELECT * FROM l WHERE memory_id NOT IN (SELECT memory_id FROM st) AND memory_id NOT IN (FROM pr)),
@@ -111,6 +111,13 @@ def maintenance_commit(spark, sf):
     return rows.unionByName(now.table("relevance").agg(F.lit("relevance").alias("part"), F.count("*").alias("n"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 4).alias("x")))
 
 
+@query("prune_candidates", _CYCLE[: _CYCLE.index(", dd AS")] + " SELECT memory_id, accesses FROM s0 WHERE score0 < 0.9 AND accesses = 0 AND days > 29 ORDER BY memory_id LIMIT 500")
+def prune_candidates(spark, sf):
+    """Saves whose key was never read, of a low score and old; the first 500."""
+    rel = _relevance(spark, sf).withColumn("days", (F.lit(NOW_MS + 20 * cm.DAY_MS) - F.col("last_ms")) / cm.DAY_MS)
+    return sc.prunable(rel, 0.9, 29).select("memory_id", "accesses")
+
+
 # ---- segments -------------------------------------------------------------------------------------------------------
 
 _CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'thing again' WHEN doc_id % 5 = 0 THEN 'new words here thing' ELSE text END AS text, lang, source FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 11 = 3)"""

@@ -197,10 +197,10 @@ def lineage_roots(spark, sf):
     return gr.roots(_lineage(spark, sf), _seeds(spark, sf))
 
 
-@query("lineage_timeline", _walk("src", "dst", 10, "doc_id IN (10, 37)").replace("r AS", "up AS").replace("FROM r", "FROM up").replace("r.node", "up.node") + """, dn AS (SELECT doc_id AS seed, doc_id AS node, 0 AS depth FROM documents WHERE doc_id IN (10, 37)
+@query("lineage_timeline", _walk("src", "dst", 10, "doc_id % 20 = 0").replace("r AS", "up AS").replace("FROM r", "FROM up").replace("r.node", "up.node") + """, dn AS (SELECT doc_id AS seed, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 20 = 0
   UNION ALL SELECT seed, e.src, depth + 1 FROM dn JOIN e ON e.dst = dn.node WHERE depth < 10) SELECT seed, node, CAST(min(g) AS INTEGER) AS generation FROM (SELECT seed, node, -depth AS g FROM up UNION ALL SELECT seed, node, depth FROM dn) GROUP BY seed, node""")
 def lineage_timeline(spark, sf):
-    return gr.timeline(_lineage(spark, sf), _seeds(spark, sf, "doc_id in (10, 37)"))
+    return gr.timeline(_lineage(spark, sf), _seeds(spark, sf, "doc_id % 20 = 0"))
 
 
 @query("shortest_path", _walk("src", "dst", 10, "true").replace("0 AS depth FROM", "0 AS depth, CAST(doc_id AS VARCHAR) AS via FROM").replace("depth + 1 FROM r", "depth + 1, via || '>' || e.dst FROM r") + "SELECT seed AS source, node AS target, depth AS hops, via FROM r WHERE node = 1 AND depth > 0")
@@ -214,10 +214,10 @@ def neighbours(spark, sf):
     return gr.neighbours(_lineage(spark, sf), 12)
 
 
-@query("k_hop_neighbours", f"""WITH RECURSIVE {_LINE}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT 12::BIGINT AS node, 0 AS depth
-  UNION ALL SELECT u.b, depth + 1 FROM r JOIN u ON u.a = r.node WHERE depth < 4) SELECT 12::BIGINT AS seed, node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) > 0""")
+@query("k_hop_neighbours", f"""WITH RECURSIVE {_LINE}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT doc_id AS seed, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 20 = 0
+  UNION SELECT seed, u.b, depth + 1 FROM r JOIN u ON u.a = r.node WHERE depth < 4) SELECT seed, node, min(depth) AS depth FROM r GROUP BY seed, node HAVING min(depth) > 0""")
 def k_hop_neighbours(spark, sf):
-    return gr.reach(_lineage(spark, sf), _seeds(spark, sf, "doc_id = 12"), 4, "both")
+    return gr.reach(_lineage(spark, sf), _seeds(spark, sf), 4, "both")
 
 
 _IMP = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey % 40 AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey % 40, 't' || l_suppkey % 4 FROM lineitem)"
