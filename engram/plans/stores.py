@@ -92,7 +92,7 @@ _CYCLE = (
   l AS (SELECT * FROM s0 WHERE memory_id NOT IN (FROM dd)), st AS (SELECT memory_id, category FROM l WHERE score0 < 0.6 AND days >= 25 ORDER BY score0, memory_id LIMIT 1000),
   pr AS (SELECT memory_id FROM l WHERE score0 < 1.0 AND accesses = 0 AND days > 22 AND memory_id NOT IN (SELECT memory_id FROM st) ORDER BY memory_id LIMIT 500), rs AS (SELECT * FROM l WHERE memory_id NOT IN (SELECT memory_id FROM st) AND memory_id NOT IN (FROM pr)),
   ex AS (SELECT count(*) AS n FROM log WHERE ms < {NOW_MS + 20 * cm.DAY_MS} - CASE WHEN event_type = 'MEMORY_RECALLED' THEN 10 ELSE 40 END * 86400000::BIGINT)
-  SELECT 'dedup' AS part, (SELECT count(*) FROM dd) AS n, 0.0::DOUBLE AS x UNION ALL SELECT 'consolidate', (SELECT count(*) FROM st), 0.0 UNION ALL SELECT 'digests', (SELECT coalesce(sum(-(-c // 20)), 0)::BIGINT FROM (SELECT count(*) AS c FROM st GROUP BY category)), 0.0
+  SELECT 'dedup' AS part, (SELECT count(*) FROM dd) AS n, 0.0::DOUBLE AS x UNION ALL SELECT 'consolidate', (SELECT count(*) FROM st), 0.0 UNION ALL SELECT 'digests', (SELECT coalesce(sum((c + 19) // 20), 0)::BIGINT FROM (SELECT count(*) AS c FROM st GROUP BY category)), 0.0
   UNION ALL SELECT 'prune', (SELECT count(*) FROM pr), 0.0 UNION ALL SELECT 'retention', (SELECT n FROM ex), 0.0 UNION ALL SELECT 'rescore', (SELECT count(*) FROM rs), 0.0
   UNION ALL SELECT 'events', (SELECT count(*) FROM log) - (SELECT n FROM ex) + (SELECT count(*) FROM dd) + (SELECT count(*) FROM st) + (SELECT count(*) FROM pr), 0.0 UNION ALL SELECT 'relevance', (SELECT count(*) FROM rs), (SELECT round(coalesce(sum(score), 0), 4) FROM rs)"""
 )
