@@ -67,7 +67,7 @@ def hot_lookup(rows: DataFrame, table: DataFrame, on: str | list[str], count: st
 
     A small table is broadcast whole. Of others the keys of more than HOT rows are broadcast, as there can't be more than
     one such key for every HOT rows, and the rest are shuffled; so no task gets more than HOT rows of one key. ``count`` is
-    dropped. how: inner or left; rows with a null key find nothing.
+    dropped. how: inner, left or left_semi; rows with a null key find nothing.
     """
     on = [on] if isinstance(on, str) else on
     named = F.col(on[0]).isNotNull()
@@ -76,7 +76,7 @@ def hot_lookup(rows: DataFrame, table: DataFrame, on: str | list[str], count: st
         return rows.join(F.broadcast(small), on, how)
     hot, cold = F.broadcast(table.filter(F.col(count) > HOT).drop(count)), table.filter(F.col(count) <= HOT).drop(count)
     rest = rows.filter(named).join(hot.select(*on), on, "left_anti")
-    out = rows.join(hot, on).unionByName(rest.join(cold, on, how))
+    out = rows.join(hot, on, "left_semi" if how == "left_semi" else "inner").unionByName(rest.join(cold, on, how))
     return out.unionByName(rows.filter(~named), allowMissingColumns=True) if how == "left" else out
 
 

@@ -220,8 +220,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
-def consensus(big: DataFrame) -> DataFrame:
-    """(node, k, bits, far, pivot): members of large nodes with their distance from the consensus and the pivot."""
+def consensus(big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, k, bits, far), (node, n, pivot)): members of large nodes with their distance from the consensus, and each node's
+    size and pivot, the member that is nearest to it."""
     ones = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1")).alias(f"b{i}") for i in range(PLACES)]
     votes = big.groupBy("node").agg(F.count("*").alias("n"), *ones)
     word = F.lit(0).cast("bigint")
@@ -232,7 +233,7 @@ def consensus(big: DataFrame) -> DataFrame:
     far = F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("far")
     far = materialize(hot_lookup(big, middle, "node", "n").select("node", "k", "bits", far), "far")
     pivots = far.groupBy("node").agg(F.min(F.struct("far", "k")).alias("p"), F.count("*").alias("n")).select("node", "n", F.col("p.k").alias("pivot"))
-    return hot_lookup(far, materialize(pivots, "pivots"), "node", "n")
+    return far, materialize(pivots, "pivots")
 
 
 def group_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,18 +352,19 @@ def _linked(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         level = materialize(level, f"level{depth}")
         sizes = materialize(level.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL), "sizes")
-        big = materialize(hot_lookup(level, sizes.withColumn("big", F.lit(True)), "node", "size").select("node", "k", "bits"), "big")
+        big = materialize(hot_lookup(level, sizes, "node", "size", "left_semi").select("node", "k", "bits"), "big")
         # without the large nodes a node's rows are few
         few = level.join(broadcast_if_small(sizes.select("node")), "node", "left_anti")
         members = few.groupBy("node").agg(F.collect_list(F.struct("k", "bits")).alias("members")).filter(F.size("members") > 1)
         small.append(materialize(small_pairs(members, differ), "small"))
         if big.isEmpty():
             break
-        big = materialize(consensus(big), "middle")
+        far, pivots = consensus(big)
         # at the last level all members are compared, however far they are from each other
-        stars.append(big.filter(F.col("far") <= (NEAR if depth < DEPTH else PLACES)).select("pivot", "k").distinct())
+        near = far.filter(F.col("far") <= (NEAR if depth < DEPTH else PLACES)).select("node", "k")
+        stars.append(hot_lookup(near, pivots, "node", "n").select("pivot", "k").distinct())
         if depth < DEPTH:
-            on = big.filter(F.col("far") > CENTRAL).select("node", "k")
+            on = far.filter(F.col("far") > CENTRAL).select("node", "k")
             level = branch(on.join(classes.select("k", "sig"), "k").select("node", "k", "sig"), threshold)
 
     def union(parts: list[DataFrame]) -> DataFrame:
