@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
+from engram.operators.digests import ordered_sha256
 from engram.operators.memory import latest_per
 
 KEY = ["file_path", "start_line", "start_col", "end_line", "end_col", "rule_id", "severity", "message", "fingerprint"]
@@ -25,10 +26,8 @@ def normalized(findings: DataFrame) -> DataFrame:
 
 
 def digest(findings: DataFrame, group: str = "analysis_id") -> DataFrame:
-    """SHA-256 over a run's ordered lines. A run is one row of the result, so its lines meet in one task: runs are bounded
-    by a tool's output, unlike the table."""
-    lines = F.array_join(F.array_sort(F.collect_list("sort_key")), "\n")
-    return findings.groupBy(group).agg(F.sha2(F.concat(lines, F.lit("\n")), 256).alias("digest"))
+    """SHA-256 over a run's ordered lines, which stream through the hash."""
+    return ordered_sha256(findings, group, "sort_key", "\n")
 
 
 def analysis_id(project: Column, tree: Column, tool: Column, version: Column, config: Column, findings: Column) -> Column:
@@ -102,9 +101,9 @@ def attribute(findings: DataFrame, symbols: DataFrame, finding_id: str = "findin
 
 
 def tree_hash(files: DataFrame, group: str) -> DataFrame:
-    """SHA-256 over a project's ordered path and content hash lines."""
+    """SHA-256 over a project's ordered path and content hash lines, which stream through the hash."""
     line = F.concat(F.col("path"), F.lit("\n"), F.col("sha256"), F.lit("\n"))
-    return files.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("tree_hash"))
+    return ordered_sha256(files.select(group, line.alias("line")), group, "line", "", "tree_hash")
 
 
 def top_files(findings: DataFrame, k: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from engram.operators import commits as cm
+from engram.operators import digests as dg
 from engram.operators import index as ix
 from engram.operators import scoring as sc
 from engram.operators import search as se
@@ -67,6 +68,15 @@ def manifest_versions(spark, sf):
     return cm.load_manifest(store.at(), "a").select("path", "bytes", "sha256")
 
 
+@query("corpus_hashes", "SELECT source, sha256(string_agg(x, '' ORDER BY x)) AS corpus_hash, max(doc_id) > 150 AS stale FROM (SELECT source, doc_id, 'd' || doc_id || chr(9) || sha256(text) || chr(10) AS x FROM documents) GROUP BY source")
+def corpus_hashes(spark, sf):
+    """Each source's corpus hash, and whether an answer from its first 150 documents is stale."""
+    files = table(spark, sf, "documents").select("source", F.concat(F.lit("d"), "doc_id").alias("path"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), "doc_id")
+    then = dg.corpus_hash(files.filter("doc_id <= 150"), "source").withColumnRenamed("corpus_hash", "then")
+    now = dg.corpus_hash(files, "source").join(then, "source", "left")
+    return now.select("source", "corpus_hash", (~F.col("corpus_hash").eqNullSafe(F.col("then"))).alias("stale"))
+
+
 def _pick(xs, n):
     return F.element_at(F.array(*map(F.lit, xs)), (F.col("memory_id") % n + 1).cast("int"))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructType
 
+from engram.session import ship
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -104,6 +106,7 @@ def run(events: DataFrame, key: str, step: Callable, late: str = "10 minutes", t
     a null key or time are left out; a repeated id takes the first one's place while it waits.
     """
     spark = events.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rest = [c for c in events.columns if c not in (key, "event_id", "ts", "ms", "accepted")]
     rows = events.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
