@@ -247,6 +247,39 @@ def rrf(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, id
     return rows.groupBy(id_col).agg(score.alias("score"))
 
 
+def resolved_weights(query: str, weights: dict[str, float] | None = None, profile: str | None = None, direction: str | None = None) -> dict[str, float]:
+    """A query's weights by mode: those of the profile, asked for or found in its words, ``weights`` in place of some; with a
+    causal question, or a ``direction`` that is asked for, the causal one counts half more and the sum is 1."""
+    base = PROFILES["general"] | (weights if weights is not None else PROFILES.get(profile or detect_profile(query), {}))
+    return causal_boost(base, "why" if direction else query)
+
+
+def hybrid(query: str, lists: dict[str, DataFrame], *, weights: dict[str, float] | None = None, profile: str | None = None, direction: str | None = None, modes: list[str] | None = None, ages: DataFrame | None = None,
+           texts: DataFrame | None = None, rerank=None, threshold: float = 0.0, limit: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """(id, score, rank): the modes' hits fused. ``lists``: mode -> (id, score), of which the first 2 * ``limit`` count.
+
+    Modes without a list or a weight say nothing. ``ages`` (id, days): newer hits are lifted, those without an age not.
+    ``rerank`` (query, texts) -> scores, on the hits' ``texts`` (id, text), puts them in another order; where it gives none
+    they keep theirs. Hits under ``threshold`` go before the limit; equal scores go by id.
+    """
+    from engram.operators import hooks as hk
+    from engram.operators import scoring as sc
+
+    shares = resolved_weights(query, weights, profile, direction)
+    used = {m: ranked(top(df.select(id_col, "score"), 2 * limit, id_col), id_col) for m, df in lists.items() if shares.get(m) and (modes is None or m in modes)}
+    if not used:
+        raise ValueError("no list of a mode that has a weight")
+    fused = rrf(used, shares, id_col)
+    if ages is not None:
+        fused = fused.join(ages.select(id_col, "days"), id_col, "left")
+        fused = fused.select(id_col, F.when(F.col("days").isNull(), F.col("score")).otherwise(sc.temporal_boost(F.col("score"), F.col("days"))).alias("score"))
+    fused = fused.select(id_col, F.round("score", 9).alias("score"))
+    if rerank is not None and texts is not None:
+        short = top(fused, 2 * limit, id_col).join(texts.select(id_col, "text"), id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
+        fused = hk.reranked(short, query, rerank, "text", id_col, 2 * limit).select(id_col, "score")
+    return ranked(top(fused.filter(F.col("score") >= threshold), limit, id_col), id_col)
+
+
 def minmax(scored: DataFrame, id_col: str, name: str) -> DataFrame:
     """Scores of one list scaled to 0..1; a list without range has 1."""
     ends = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -47,6 +47,15 @@ def append_batches(spark, sf):
     return Store(spark, store.path).at().table("events").select("event_id", "ms", "event_type", "key")
 
 
+@query("created_ids", """WITH e AS (SELECT event_id, epoch_us(ts) // 60000000 AS ms, row_number() OVER (PARTITION BY epoch_us(ts) // 60000000 ORDER BY event_id) - 1 AS seq FROM events),
+  h AS (SELECT event_id, seq, lpad(lower(to_hex(ms + seq // 4096)), 12, '0') AS h, sha256(CAST(event_id AS VARCHAR)) AS s FROM e)
+  SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-7' || lpad(lower(to_hex(seq % 4096)), 3, '0') || '-8' || substr(s, 1, 3) || '-' || substr(s, 4, 12) AS id FROM h""")
+def created_ids(spark, sf):
+    """Ids that rise with the events of one tick, here a minute, so that ticks have many."""
+    log = events(spark, sf).select("event_id", F.floor(F.col("ms") / 60_000).alias("ms"))
+    return cm.with_ids(log, "event_id").select("event_id", "id")
+
+
 @query("save_run_commits", _FIND + "SELECT analysis_id, count(*) AS n FROM f WHERE analysis_id <> 2 GROUP BY 1 UNION ALL SELECT 2, count(*) FROM f WHERE analysis_id = 3")
 def save_run_commits(spark, sf):
     """Runs and findings commit together; a second run of analysis 2 takes the first one's place."""

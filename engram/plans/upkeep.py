@@ -1,15 +1,18 @@
-"""Queries over gates, accesses, facts, mentions of a table's names, and the soak monitor."""
+"""Queries over gates, accesses, facts, mentions of a table's names, the soak monitor and hybrid search of all modes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from engram.functions import entities as en
+from engram.operators import index as ix
 from engram.operators import lifecycle as lc
 from engram.operators import scoring as sc
+from engram.operators import search as se
+from engram.operators import vector as ve
 from engram.operators.soak import soak
 from engram.plans.log import _LOG, NOW_MS
-from engram.plans.retrieval import _CASE, _CATS
+from engram.plans.retrieval import _CASE, _CATS, _COS, _Q, _bm25_sql
 from engram.plans.stores import _relevance
 from engram.registry import query
 from engram.sources.tables import events, table
@@ -92,3 +95,42 @@ def soak_monitor(spark, sf):
     hard = F.col("event_type").isin("MEMORY_SAVED", "MEMORY_UPDATED")
     days = events(spark, sf).groupBy(F.floor(F.col("ms") / 86_400_000).alias("day"), F.col("event_type").alias("gate"), hard.alias("hard")).agg((F.count("*") % 3 > 0).alias("green"))
     return soak(days, 3, 6, 10)
+
+
+# ---- hybrid search --------------------------------------------------------------------------------------------------
+
+_MODES = (
+    _bm25_sql({"why": 1, "the": 1, "thing": 1, "failed": 1})
+    + f""", kw AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 40), dn AS (SELECT vec_id AS doc_id, {_COS} AS score FROM embeddings ORDER BY score DESC, doc_id LIMIT 40),
+  ga AS (SELECT doc_id, 1.0::DOUBLE / length(text) AS score FROM documents JOIN labels USING (doc_id) WHERE quality = 1 ORDER BY score DESC, doc_id LIMIT 40), ca AS (SELECT l_partkey AS doc_id, max(l_discount) AS score FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 40),
+  m AS (SELECT *, 'k' AS m, 0.2 / 1.15 AS w FROM kw UNION ALL SELECT *, 's', 0.3 / 1.15 FROM dn UNION ALL SELECT *, 'g', 0.2 / 1.15 FROM ga UNION ALL SELECT *, 'c', 0.45 / 1.15 FROM ca),
+  r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, doc_id) AS rank FROM m), f AS (SELECT doc_id, least(1.0::DOUBLE, sum(w::DOUBLE / (60 + rank)) / sum(w::DOUBLE) * 60) AS score FROM r GROUP BY 1),
+  b AS (SELECT f.doc_id, round(CASE WHEN ts IS NULL THEN score ELSE score * (1 + 0.3 * exp(-({NOW_MS} - epoch_us(ts) // 1000) / 86400000.0::DOUBLE / 30)) END, 9) AS score FROM f LEFT JOIN events e ON e.event_id = f.doc_id) """
+)
+
+
+def _hybrid(spark, sf, **options):
+    docs, li = table(spark, sf, "documents"), table(spark, sf, "lineitem")
+    query_text = "why the thing failed"
+    lists = {
+        "keyword": ix.bm25(spark, ix.of_table(spark, f"{sf}/documents.parquet", "doc_id", {"text": 1.0}), query_text),
+        "semantic": ve.search(table(spark, sf, "embeddings"), _Q, 40).withColumnRenamed("vec_id", "doc_id"),
+        "graph": docs.join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", (1.0 / F.length("text")).alias("score")),
+        "causal": li.filter("l_suppkey % 20 = 0").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.max("l_discount").alias("score")),
+    }
+    ages = events(spark, sf).select(F.col("event_id").alias("doc_id"), ((F.lit(NOW_MS) - F.col("ms")) / 86_400_000).alias("days"))
+    return se.hybrid(query_text, lists, ages=ages, limit=20, **options)
+
+
+@query("hybrid_modes", _MODES + "SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY b.score DESC, doc_id) AS INT) AS rank FROM b WHERE b.score >= 0.5 ORDER BY rank LIMIT 20")
+def hybrid_modes(spark, sf):
+    """Four modes with the weights of an error's investigation, the causal one lifted by the question."""
+    return _hybrid(spark, sf, profile="error_investigation", threshold=0.5).select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("hybrid_reranked", _MODES + """, h AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 40), s AS (SELECT h.doc_id, coalesce(length(text), 0)::DOUBLE AS score FROM h LEFT JOIN documents d ON d.doc_id = h.doc_id)
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY rank LIMIT 20""")
+def hybrid_reranked(spark, sf):
+    """The same put in order by a reranker, which here likes long texts."""
+    found = _hybrid(spark, sf, profile="error_investigation", texts=table(spark, sf, "documents"), rerank=lambda q, ts: [float(len(t)) for t in ts])
+    return found.select("doc_id", F.col("rank").cast("int").alias("rank"))

@@ -1,12 +1,14 @@
 """Gates, scores after accesses, facts, mentions and the soak monitor on small tables with nulls, gaps and empty ones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from engram.functions import entities as en
+from engram.operators import commits as cm
 from engram.operators import lifecycle as lc
 from engram.operators import scoring as sc
+from engram.operators import search as se
 from engram.operators.soak import soak
-from pyspark.sql import functions as F
 
 
 def test_evidence_verdicts(spark):
@@ -55,3 +57,34 @@ def test_soak(spark):
     clean = soak(spark.createDataFrame([(d, "h", True, True) for d in range(5)], "day bigint, gate string, hard boolean, green boolean"), 3, 2, 4).orderBy("day").collect()
     assert [(r.streak, r.clean) for r in clean] == [(1, False), (2, False), (3, True), (4, True), (5, True)]
     assert soak(spark.createDataFrame([], "day bigint, gate string, hard boolean, green boolean")).count() == 0
+
+
+def test_weights_of_a_query():
+    assert se.resolved_weights("some text") == se.PROFILES["general"]
+    asked = se.resolved_weights("what caused the crash")
+    assert asked["causal"] == pytest.approx(0.45 / 1.15) and sum(asked.values()) == pytest.approx(1)
+    assert se.resolved_weights("some text", profile="error_investigation", direction="effect") == asked
+    assert se.resolved_weights("why", {"keyword": 1.0})["keyword"] == 1.0 and "causal" not in se.resolved_weights("because")
+
+
+def test_hybrid_edges(spark):
+    a = spark.createDataFrame([(i, 1.0 - i / 10, "x") for i in range(6)], "doc_id bigint, score double, rank string")
+    none = a.limit(0)
+    got = se.hybrid("text", {"keyword": a, "semantic": none, "code": a}, limit=2).collect()
+    assert [(r.doc_id, r["rank"]) for r in got] == [(0, 1), (1, 2)]
+    with pytest.raises(ValueError, match="no list"):
+        se.hybrid("text", {"code": a})
+    assert se.hybrid("text", {"keyword": none}).count() == 0 and se.hybrid("text", {"keyword": a}, threshold=0.99, limit=3).count() == 0
+    ages = spark.createDataFrame([(1, 0.0), (5, 0.0)], "doc_id bigint, days double")
+    assert se.hybrid("text", {"keyword": a}, ages=ages, limit=3).first().doc_id == 1
+    texts = spark.createDataFrame([(0, "b"), (1, "ccc"), (2, None)], "doc_id bigint, text string")
+    order = [r.doc_id for r in se.hybrid("text", {"keyword": a}, texts=texts, rerank=lambda q, ts: [float(len(t)) for t in ts], limit=2).collect()]
+    assert order == [1, 0]
+    assert [r.doc_id for r in se.hybrid("text", {"keyword": a}, texts=texts, rerank=lambda q, ts: None, limit=2).collect()] == [0, 1]
+
+
+def test_ids_rise_within_a_tick(spark):
+    df = spark.createDataFrame([(i, 1000 + (i * 7) % 3) for i in range(60)], "event_id bigint, ms bigint").repartition(4)
+    rows = sorted(map(tuple, cm.with_ids(df, "event_id").select("ms", "event_id", "id").collect()))
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows) and len({r[2] for r in rows}) == 60
+    assert [int(r[2].split("-")[2][1:], 16) for r in rows] == [*range(20)] * 3 and cm.with_ids(df.limit(0), "event_id").count() == 0
