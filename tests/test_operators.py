@@ -78,7 +78,8 @@ def test_shortest_path_and_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     pairs = spark.createDataFrame([("a", "c"), ("a", "a"), ("a", "z")], "source string, target string")
     assert [(r.source, r.target, r.via) for r in graph.shortest_paths(e, pairs).collect()] == [("a", "c", ["a", "b", "c"])]
-    assert {(r.node, r.depth) for r in graph.reach(e, spark.createDataFrame([("a",)], "seed string"), 5).collect()} == {("b", 1), ("c", 2)}
+    # edges, not nodes, are used once: the cycle leads back to its start
+    assert {(r.node, r.depth) for r in graph.reach(e, spark.createDataFrame([("a",)], "seed string"), 5).collect()} == {("a", 3), ("b", 1), ("c", 2)}
 
 
 def test_python_structure():
