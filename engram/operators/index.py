@@ -20,7 +20,7 @@ from engram.functions import text as tx
 from engram.functions.stem import porter
 from engram.operators import hooks as hk
 from engram.operators.search import B, K1, or_parts, words_of
-from engram.session import shared_dir
+from engram.session import new_path, shared_dir
 
 BUCKETS = 64
 
@@ -88,7 +88,7 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, float], least: int = 1
     length and no postings. ``stemmed``: distinct terms are stemmed once each.
     """
     spark = docs.sparkSession
-    index = Index(path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", id_col, docs.schema[id_col].dataType.simpleString(), least, stemmed)
+    index = Index(path or new_path(spark, "index"), id_col, docs.schema[id_col].dataType.simpleString(), least, stemmed)
     rows = _rows(docs, id_col, fields, least)
     lengths = rows.select("id", F.size("words").cast("bigint").alias("len"))
     lengths.write.mode("overwrite").parquet(f"{index.path}/lengths")
@@ -110,7 +110,7 @@ def reindex(index: Index, changed: DataFrame, fields: dict[str, float], gone: Da
     new = build(changed, index.id_col, fields, index.least, index.stemmed)
     out = changed.select(F.col(index.id_col).alias("id"))
     out = (out.unionByName(gone.select("id")) if gone is not None else out).distinct()
-    made = replace(index, path=f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    made = replace(index, path=new_path(spark, "index"))
     keep = lambda df: df.join(out, "id", "left_anti")
     keep(index.lengths(spark)).unionByName(new.lengths(spark)).write.parquet(f"{made.path}/lengths")
     made.lengths(spark).agg(F.count("*").alias("documents"), F.avg("len").alias("avg_len")).coalesce(1).write.parquet(f"{made.path}/figures")
@@ -181,5 +181,6 @@ def of_table(spark: SparkSession, path: str, id_col: str, fields: dict[str, floa
     status = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
     key = (sc.applicationId, path, id_col, tuple(fields.items()), least, stemmed, summary.getLength(), summary.getFileCount(), status.getModificationTime())
     if key not in _BUILT:
-        _BUILT[key] = build(spark.read.parquet(path), id_col, fields, least, stemmed)
+        # kept for the application's life, whatever ``release`` deletes
+        _BUILT[key] = build(spark.read.parquet(path), id_col, fields, least, stemmed, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
     return _BUILT[key]

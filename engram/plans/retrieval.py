@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from engram.operators import search as se
 from engram.operators import segments as sg
 from engram.operators import vector as ve
 from engram.registry import query
-from engram.session import shared_dir
+from engram.session import new_path
 from engram.sources.store import Store
 from engram.sources.tables import events, millis, table
 
@@ -134,7 +132,7 @@ def index_update(spark, sf):
     """The index after some documents change and some go: one more segment, of the changes alone."""
     d = _docs(spark, sf).select("doc_id", "text")
     changed = d.filter("doc_id % 5 = 0 and doc_id % 7 <> 0").withColumn("text", F.lit("new words here"))
-    index = sg.create(Store(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), d, "doc_id")
+    index = sg.create(Store(spark, new_path(spark, "index")), d, "doc_id")
     return sg.frequencies(index.update(changed, d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))))
 
 

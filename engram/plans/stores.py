@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from engram.operators import commits as cm
@@ -17,13 +15,13 @@ from engram.plans.network import _findings, _runs
 from engram.plans.retrieval import _CASE, _CATS, _TOK, _bm25_sql
 from engram.plans.structure import _FIND
 from engram.registry import query
-from engram.session import shared_dir
+from engram.session import new_path
 from engram.sources.store import Store
 from engram.sources.tables import events, table
 
 
 def _store(spark) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, new_path(spark, "store"))
 
 
 def _log(spark, sf):

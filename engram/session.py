@@ -63,6 +63,13 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage", block: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -71,15 +78,14 @@ def materialize(df: DataFrame, name: str = "stage", block: int | None = None) ->
     task holds, where rows are wide.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.option("parquet.block.size", block) if block else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what ``materialize`` has written for this application, once its results are no longer read; how many."""
+    """Delete what lies under ``new_path`` for this application, stages, indexes and stores, once nobody reads them; how many."""
     sc = spark.sparkContext
     paths = _WRITTEN.pop(sc.applicationId, [])
     for p in paths:
