@@ -22,7 +22,8 @@ def _split(cleaned: Column) -> Column:
 
 def tokens(text: Column, least: int = 1) -> Column:
     """Lower-case ASCII words of ``least`` characters or more."""
-    return F.filter(_split(F.regexp_replace(F.lower(text), r"[^\w\s]", " ")), lambda x: F.length(x) >= least)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))
+    return F.filter(words, lambda x: F.length(x) >= least) if least > 1 else words
 
 
 def keywords(text: Column) -> Column:

@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from engram.functions.stem import porter
 from engram.operators import ann
 from engram.operators import diagnostics as dg
+from engram.operators import index as ix
+from engram.operators import search as se
 
 
 def test_overlaps_are_dealt_by_pairs(spark, monkeypatch):
@@ -55,3 +58,23 @@ def test_probed_search_keeps_k_rows_a_query_and_task(spark, monkeypatch):
     monkeypatch.setattr(ann, "PAIRS", 2_000)  # four tasks
     found = ann.search(index, v, q, 10, probes=5, candidates=400).count()
     assert found == 200 and kept == [sum(kept)] and kept[0] <= 20 * 10 * 4  # not all 8,000 pairs
+
+
+def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
+    texts = ["The cat_1, the CAT\tran", "", None, "naïve  naïve über", "the " * 50 + "end", "running runs ran"]
+    docs = spark.createDataFrame([(i, t, "The src") for i, t in enumerate(texts)], "doc_id int, text string, source string")
+    monkeypatch.setattr(ix, "WORDS", 7)
+    for stemmed in (False, True):
+        want = {}
+        for i, t in enumerate(texts):
+            words = [(w, 1.0) for w in se.words_of(t or "")] + [("the", 2.0), ("src", 2.0)]
+            for w, x in words:
+                key = (i, len(words), porter(w) if stemmed else w)
+                want[key] = want.get(key, 0) + x
+        posts = ix.posted(ix._rows(docs, "doc_id", {"text": 1.0, "source": 2.0}, 1), stemmed)
+        assert {(r.id, r.len, r.term): r.tf for r in posts.collect()} == want
+        assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    index = ix.build(docs, "doc_id", {"text": 1.0})
+    assert {r.id: r.len for r in index.lengths(spark).collect()} == {0: 5, 1: 0, 2: 0, 3: 5, 4: 51, 5: 3}
+    assert index.postings(spark).filter("term is null or bucket < 0").count() == 0
+    assert ix.bm25(spark, index, "naïve the").count() == 3
