@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from functools import partial
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions import text as tx
+from engram.session import broadcast_if_small, materialize, ship
+
+#: Words whose hashes a task keeps; bytes of a text, and entries of vectors, that it works on at a time.
+KEPT, PIECE = 1 << 18, 1 << 20
+_WORD, _NO_WORD = re.compile(rb"[0-9A-Za-z_]+"), re.compile(rb"[^0-9A-Za-z_]")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -33,27 +44,90 @@ def checked(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.filter(F.assert_true(F.size("embedding") == dims, f"a vector must have {dims} dimensions").isNull())
 
 
+class _Digests(dict):
+    """SHA-256 of words, KEPT of them at most."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = d = sha256(word).digest()
+        return d
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, in parts of about PIECE bytes that end between words."""
+    at = 0
+    while at < len(text):
+        beyond = _NO_WORD.search(text, at + PIECE)
+        end = beyond.start() if beyond else len(text)
+        yield _WORD.findall(text[at:end])
+        at = end
+
+
+def _sums(text: bytes, dims: int, grams: int, digests: _Digests) -> np.ndarray:
+    """Signed hashing of a text's grams."""
+    out, last = np.zeros(dims), []
+    for part in _pieces(text):
+        words = last + part
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1) - 1
+        starts, ends, joined = (ends - size).tolist(), ends.tolist(), b"_".join(words)
+        found = [digests[w] for w in part]
+        for n in range(2, grams + 1):
+            first = max(len(last), n - 1)  # the word that ends the first new gram
+            found += [sha256(joined[i:j]).digest() for i, j in zip(starts[first - n + 1 :], ends[first:])]
+        if found:
+            h = np.frombuffer(b"".join(found), ">i4")[::8].astype(np.int64)
+            out += np.bincount(np.abs(h) % dims, np.where(h >= 0, 1.0, -1.0), dims)
+        last = words[len(words) - min(len(words), grams - 1) :]
+    return out
+
+
+def _hashed(dims: int, grams: int, unit: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, idx, weight) of (id, text): a text's grams are hashed and summed in its row, to unit length with ``unit``."""
+    digests = _Digests()
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            rows, places, weights, held = [], [], [], 0
+            while at < batch.num_rows and held < PIECE:
+                text = batch.column(1)[at].as_py()
+                s = _sums(text, dims, grams, digests) if text else np.zeros(0)
+                (idx,) = np.nonzero(s)
+                s = s[idx]
+                rows.append(np.full(len(idx), at))
+                places.append(idx)
+                weights.append(s / np.sqrt((s * s).sum()) if unit else s)
+                held += len(idx)
+                at += 1
+            ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(weights))], ["id", "idx", "weight"])
+
+
 def hashed(docs: DataFrame, id_col: str, text_col: str, dims: int = 768, grams: int = 3) -> DataFrame:
     """(id, idx, weight): signed hashing of word 1- to ``grams``-grams, unit length, sparse.
 
     The first 32 bits of a gram's SHA-256 are a signed number: its absolute value modulo ``dims`` is the place, its sign
-    the sign.
+    the sign. A text's vector is made in its row; only those of ids with several rows are added up, null being an id.
     """
-    w = F.col("w")
-    words = docs.select(id_col, tx.tokens(F.col(text_col)).alias("w"))
-
-    def run(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), "_"))
-
-    parts = [run(n) for n in range(1, grams + 1)]
-    none = F.array().cast("array<string>")
-    all_grams = F.concat(*(F.when(F.size(w) >= n, p).otherwise(none) for n, p in enumerate(parts, 1)))
-    each = words.select(id_col, F.explode(all_grams).alias("g"))
-    h = F.conv(F.substring(F.sha2("g", 256), 1, 8), 16, 10).cast("bigint")
-    signed = F.when(h >= 2**31, h - 2**32).otherwise(h)
-    sums = each.select(id_col, (F.abs(signed) % dims).alias("idx"), F.when(signed >= 0, 1.0).otherwise(-1.0).alias("s")).groupBy(id_col, "idx").agg(F.sum("s").alias("s")).filter("s <> 0")
-    norm = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return sums.join(norm, id_col).select(id_col, "idx", (F.col("s") / F.col("norm")).alias("weight"))
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(text_col).cast("binary").alias("text"))
+
+    def made(rows: DataFrame, unit: bool) -> DataFrame:
+        return rows.mapInArrow(partial(_hashed, dims, grams, unit), f"id {kind}, idx bigint, weight double")
+
+    repeated = materialize(texts.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_many")), "repeated")
+    if repeated.isEmpty():
+        out = made(texts, True)
+    else:
+        same = F.col("id").eqNullSafe(F.col("_many"))
+        repeated = broadcast_if_small(repeated)
+        s = F.col("s")
+        added = made(texts.join(repeated, same, "left_semi"), False).groupBy("id", "idx").agg(F.sum("weight").alias("s")).filter("s <> 0")
+        added = added.select("id", "idx", (s / F.sqrt(F.sum(s * s).over(Window.partitionBy("id")))).alias("weight"))
+        out = made(texts.join(repeated, same, "left_anti"), True).unionByName(added)
+    return out.select(F.col("id").alias(id_col), "idx", "weight")
 
 
 def label_stats(vectors: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Work that grew faster than its input: dealt by pairs, held in blocks, counted where it is read."""
 
+import hashlib
 import random
+import re
 import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -13,6 +16,7 @@ from engram.operators import ann
 from engram.operators import diagnostics as dg
 from engram.operators import index as ix
 from engram.operators import search as se
+from engram.operators import vector as ve
 
 
 def test_overlaps_are_dealt_by_pairs(spark, monkeypatch):
@@ -78,3 +82,28 @@ def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
     assert {r.id: r.len for r in index.lengths(spark).collect()} == {0: 5, 1: 0, 2: 0, 3: 5, 4: 51, 5: 3}
     assert index.postings(spark).filter("term is null or bucket < 0").count() == 0
     assert ix.bm25(spark, index, "naïve the").count() == 3
+
+
+def test_hashed_vectors_are_made_in_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ve, "PIECE", 16)  # texts in parts, as grams cross them
+    rows = [(1, "One two  two-three; ONE two été x_1"), (2, "a"), (3, None), (4, " - "), (5, "b c d " * 9)]
+    shared = [(1, "more of it"), (None, "no id"), (None, "one more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def want(rows):
+        sums = {}
+        for i, text in rows:
+            w = re.findall(r"[a-z0-9_]+", (text or "").lower())
+            for n in (1, 2, 3):
+                for at in range(len(w) - n + 1):
+                    h = int.from_bytes(hashlib.sha256("_".join(w[at : at + n]).encode()).digest()[:4], "big", signed=True)
+                    sums.setdefault(i, Counter())[abs(h) % 768] += 1 if h >= 0 else -1
+        norm = {i: sum(x * x for x in s.values()) ** 0.5 for i, s in sums.items()}
+        return {(i, k): round(x / norm[i], 9) for i, s in sums.items() for k, x in s.items() if x}
+
+    got = ve.hashed(docs, "doc_id", "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.idx): round(r.weight, 9) for r in got.collect()} == want(rows)
+    got = ve.hashed(docs.unionByName(spark.createDataFrame(shared, docs.schema)), "doc_id", "text").collect()
+    assert {(r.doc_id, r.idx): round(r.weight, 9) for r in got} == want(rows + shared) and len(got) == len(want(rows + shared))
+    assert ve.hashed(docs.limit(0), "doc_id", "text").count() == 0
