@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.session import BROADCAST_BYTES, materialize
+
 #: Patterns of entities, by type; the first group is the name. A pair (lead, tail) finds words of two letters or
 #: more, side by side, between a lead and the last tail: a pattern's group of any number of words would overflow the stack.
 PATTERNS: dict[str, list[str | tuple[str, str]]] = {
@@ -152,29 +154,49 @@ def boosted(confidence: Column, prioritized: Column) -> Column:
     return F.least(F.lit(1.0), F.when(prioritized, confidence * 1.2).otherwise(confidence))
 
 
-def mentions(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, kind, name): technologies and design patterns that a text mentions, in lower case, once each."""
+def mentions(docs: DataFrame, id_col: str, text: str, kinds: Sequence[str] = ("technology", "pattern")) -> DataFrame:
+    """(id, kind, name): technologies and design patterns (``kinds``) that a text mentions, in lower case, once each."""
     tech = r"(?i)\b(" + "|".join(TECHNOLOGIES) + r")\b"
     design = r"(?i)\b(" + "|".join(DESIGNS) + r")\b"
-    both = [F.struct(F.lit(k).alias("kind"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), F.lower)).alias("names")) for k, p in (("technology", tech), ("pattern", design))]
+    both = [F.struct(F.lit(k).alias("kind"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), F.lower)).alias("names")) for k, p in (("technology", tech), ("pattern", design)) if k in kinds]
     return docs.select(id_col, F.explode(F.array(*both)).alias("x")).select(id_col, "x.kind", F.explode("x.names").alias("name"))
 
 
 def dictionary_mentions(docs: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
     """(id, name): the names (name) of a table of any size that a text holds between borders of words, whatever the case.
 
-    A text's distinct words meet the names' first words in a join; a name of more than one word is then looked for in the
-    texts that hold its first one. Null and wordless texts and names meet nothing; names are told apart in lower case.
+    A text's words, and its pairs of adjacent words, meet the names' first one or two words in a join; what is more than a
+    word is then looked for in the text. Small tables of names are broadcast, so that all this is done in a text's row; with
+    large ones words and pairs are shuffled, texts once for the rows that met. Null and wordless texts and names meet
+    nothing; names are told apart in lower case.
     """
-    word = r"[a-z0-9_]+"
     known = names.select(F.lower("name").alias("name")).filter("name is not null").distinct()
-    known = known.withColumn("word", F.regexp_extract("name", word, 0)).filter("word <> ''")
-    words = docs.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))).alias("word"))
-    met = words.join(known, "word").select(id_col, "name", (F.col("name") == F.col("word")).alias("whole"))
-    longer = met.filter("not whole").join(docs.select(id_col, F.lower(text).alias("_t")), id_col)
-    pattern = F.concat(F.lit("(?<![a-z0-9_])"), F.regexp_replace("name", r"([^a-z0-9_ ])", r"\\$1"), F.lit("(?![a-z0-9_])"))
-    longer = longer.filter(F.regexp_like("_t", pattern))
-    return met.filter("whole").select(id_col, "name").unionByName(longer.select(id_col, "name")).distinct()
+    known = known.withColumn("_words", _words(F.col("name"))).filter("size(_words) > 0")
+    key = F.array_join(F.slice("_words", 1, 2), " ")
+    known = materialize(known.select("name", key.alias("_key"), (F.col("name") == F.get("_words", 0)).alias("_whole")), "names")
+    wide = F.sum(F.octet_length("name") + F.octet_length("_key") + 32)
+    size, pairs = known.agg(F.coalesce(wide, F.lit(0)), F.coalesce(F.bool_or(F.contains("_key", F.lit(" "))), F.lit(False))).first()
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("_id"), F.lower(text).alias("_t"))
+    found = F.col("_whole") | F.regexp_like("_t", F.concat(F.lit("(?<![a-z0-9_])"), F.regexp_replace("name", r"([^a-z0-9_ ])", r"\\$1"), F.lit("(?![a-z0-9_])")))
+    if size <= BROADCAST_BYTES:
+        met = _keyed(rows, pairs, "_id", "_t").join(F.broadcast(known), "_key").filter(found)
+    else:
+        met = _keyed(rows, pairs, "_id").join(known, "_key").select("_id", "name", "_whole").distinct()
+        longer = met.filter("not _whole").groupBy("_id").agg(F.collect_list("name").alias("_names"))  # a text's own, at most one a place
+        longer = rows.join(longer, "_id").select("_id", "_t", F.explode("_names").alias("name"), F.lit(False).alias("_whole")).filter(found)
+        met = met.filter("_whole").select("_id", "name").unionByName(longer.select("_id", "name"))
+    return met.select(F.col("_id.id").alias(id_col), "name").distinct()
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[a-z0-9_]+"), F.lit(0))
+
+
+def _keyed(rows: DataFrame, pairs: bool, *keep: str) -> DataFrame:
+    """A row for each word of ``_t`` (_key), and for each pair of adjacent ones with ``pairs``."""
+    each = rows.withColumn("_w", _words(F.col("_t"))).select(*keep, "_w", F.posexplode("_w").alias("_i", "_a"))
+    keys = [F.col("_a"), F.concat("_a", F.lit(" "), F.get("_w", F.col("_i") + 1))]
+    return each.select(*keep, F.explode(F.array(*keys[: 1 + pairs])).alias("_key"))
 
 
 def relations(mentioned: DataFrame, project: str) -> DataFrame:

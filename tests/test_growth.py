@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from engram.functions import entities as en
 from engram.functions.stem import porter
 from engram.operators import ann
 from engram.operators import diagnostics as dg
@@ -107,3 +108,18 @@ def test_hashed_vectors_are_made_in_their_rows(spark, monkeypatch):
     got = ve.hashed(docs.unionByName(spark.createDataFrame(shared, docs.schema)), "doc_id", "text").collect()
     assert {(r.doc_id, r.idx): round(r.weight, 9) for r in got} == want(rows + shared) and len(got) == len(want(rows + shared))
     assert ve.hashed(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_names_are_looked_for_in_their_texts_row(spark, monkeypatch):
+    rows = [(i, f"the and the file {i} of the, it's c++{'' if i % 3 else 'x'} the  and") for i in range(60)] + [(None, "the of"), (None, "the file 7"), (7, None), (7, "A.B the of")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = ["the", "the and", "the of", "The  and", "the file 7", "file", "file 5 of the, it", "c++", "a.b", "b the", ".b the", "nothing", None, "++", "the file 70"]
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    word = lambda n, t: re.search(rf"(?<![a-z0-9_]){re.escape(n.lower())}(?![a-z0-9_])", t.lower())
+    want = sorted({(str(i), n.lower()) for i, t in rows for n in names if t and n and n != "++" and word(n, t)})
+    found = en.dictionary_mentions(docs, "doc_id", "text", known)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # what was found, once each
+    for at_most in (en.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(en, "BROADCAST_BYTES", at_most)
+        got = en.dictionary_mentions(docs, "doc_id", "text", known).collect()
+        assert sorted((str(r.doc_id), r.name) for r in got) == want
