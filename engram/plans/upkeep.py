@@ -76,10 +76,10 @@ def project_mentions(spark, sf):
 @query("mention_relations", _NAMES + "SELECT source AS project, name AS target, 'related_to' AS type, count(*) AS n FROM m GROUP BY 1, 2 UNION ALL SELECT source, 'python', 'uses', count(*) FROM documents WHERE regexp_matches(text, '(?i)\\bPython\\b') GROUP BY 1".replace("\\\\", "\\"))
 def mention_relations(spark, sf):
     """Relations of sources to what their texts mention: names of the table, and one technology."""
-    d = table(spark, sf, "documents")
-    named = en.dictionary_mentions(d, "doc_id", "text", _names(spark, sf)).withColumn("kind", F.lit("project"))
-    tech = en.mentions(d, "doc_id", "text").filter("name = 'python' and kind = 'technology'").select("doc_id", "name", "kind")
-    return en.relations(named.unionByName(tech).join(d.select("doc_id", "source"), "doc_id"), "source")
+    d = table(spark, sf, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    named = en.dictionary_mentions(d, "doc", "text", _names(spark, sf)).withColumn("kind", F.lit("project"))
+    tech = en.mentions(d, "doc", "text", ("technology",)).filter("name = 'python'").select("doc", "name", "kind")
+    return en.relations(named.unionByName(tech).select("doc.source", "name", "kind"), "source")
 
 
 _DAYS = "d AS (SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type AS gate, event_type IN ('purchase', 'click') AS hard, count(*) % 3 > 0 AS green FROM events GROUP BY 1, 2)"
