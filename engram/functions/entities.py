@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,30 @@ PATTERNS: dict[str, list[str | tuple[str, str]]] = {
         r"\b([A-Z][a-zA-Z0-9]*(?:Type|Interface|Class|Props|State|Config|Options))\b",
     ],
 }
+#: What each match of a pattern holds, by type and place: one of some signs (in lower case where the pattern is
+#: of any case), or a match of a simpler pattern. A text without it isn't searched.
+_NEEDS: dict[str, list[list[str] | str]] = {
+    "PERSON": [["Dr", "Mr", "Ms", "Miss", "Prof"], "said wrote created developed implemented designed built reported mentioned suggested recommended asked answered fixed reviewed".split(), ["'s"], ["@"]],
+    "ORGANIZATION": [
+        r"(?i)\s(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co|GmbH|AG|SA|Pty|PLC)\b",
+        "team company organization group department".split(),
+        "Google Microsoft Apple Amazon Meta Facebook Netflix Anthropic OpenAI GitHub GitLab Vercel Cloudflare AWS Azure IBM Oracle Salesforce".split(),
+        "team group company organization".split(),
+    ],
+    "CODE_FILE": [
+        r"\.[a-z]",
+        r"/(?<=(?:src|lib|packages|apps|modules|components|utils|helpers|services|hooks|stores|types|interfaces|models|controllers|views|routes|api|tests?|__tests__|spec)/)",
+        ["./"],
+        ["index."],
+    ],
+    "CODE_FUNCTION": [["("], ["function"], ["function"], ["=>"], ["("], r"use[A-Z]"],
+    "DECISION": [["decided", "chosen", "selected", "opted"], ["decision"], ["will", "should", "must", "shall"], ["going"], ["chose"]],
+    "TASK": [["TODO:", "FIXME:", "HACK:", "XXX:", "BUG:", "NOTE:"], ["need"], "implement add create build fix update refactor remove delete".split(), ["["], ["should"]],
+    "ERROR": [["Error:", "error:", "ERROR:"], ["Error", "Exception", "Fault"], ["failed"], r":[0-9]+:[0-9]+\)", ["threw"], ["cannot", "could"]],
+    "CONCEPT": [["concept"], "pattern principle approach methodology architecture paradigm".split()],
+    "CODE_CLASS": [r"class\s+[A-Z]", r"interface\s+[A-Z]", r"type\s+[A-Z]", ["extends", "implements"], "Type Interface Class Props State Config Options".split()],
+}
+NEEDS = {p: need for t, ps in PATTERNS.items() for p, need in zip(ps, _NEEDS[t], strict=True)}
 #: Words that are no names of any type, and names that are no functions, compared in lower case.
 COMMON = """the a an is are was were be been being have has had do does did will would could should may might must shall can this that these
 those it its of in on at to for with by from as or and but if then else when up out no not all any some such new get set add run put""".split()
@@ -103,7 +129,13 @@ RUN = r"\b[A-Za-z]{2,}+(?:\s++[A-Za-z]{2,}+)*+[0-9_]?"
 def _found(text: Column, pattern: str | tuple[str, str]) -> Column:
     """Array of (a: first group, b: whole match), in order."""
     if isinstance(pattern, str):
-        return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("b"))
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # of use for blank groups alone
+        none = F.array().cast("array<string>")
+
+        def both(groups: Column) -> Column:
+            return F.zip_with(groups, F.when(F.exists(groups, lambda x: _bare(x) == ""), whole).otherwise(none), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+        return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), both), 0)  # groups are found once
     lead, tail = pattern
     names = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda run: F.regexp_extract(run, rf"(?is)^(.+)\s+(?:{tail})", 1))
     if lead:
@@ -111,6 +143,17 @@ def _found(text: Column, pattern: str | tuple[str, str]) -> Column:
     return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(n.alias("a"), n.alias("b")))
 
 
+def _needed(text: Column, low: Column, pattern: str | tuple[str, str]) -> Column:
+    """Whether a text, in lower case ``low``, may hold a match."""
+    need = NEEDS.get(pattern)
+    if need is None:
+        return F.lit(True)
+    if isinstance(need, str):
+        return F.regexp_like(text, F.lit(need))
+    own = text if isinstance(pattern, str) and not pattern.startswith("(?i") else low
+    return reduce(or_, (F.contains(own, F.lit(x)) for x in need))
+
+
 def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -124,9 +167,10 @@ def extract(docs: DataFrame, id_col: str, text: str, patterns: Mapping[str, Sequ
     entities. Rows of one id are one text's; null ids are one id.
     """
     found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(i).alias("rank"), F.lit(max(0.3, min(1.0, 1 / len(ps) + 0.5))).alias("confidence"),
-                               _found(F.col(text), p).alias("names"))
+                               F.when(_needed(F.col("__text"), F.col("__low"), p), _found(F.col("__text"), p)).alias("names"))
                       for t, ps in patterns.items() for i, p in enumerate(ps)))
-    rows = docs.select(F.col(id_col), F.explode(found).alias("x"), *(c.alias(n) for n, c in (("__key", key), ("__category", category)) if c is not None))
+    rows = docs.select(F.col(id_col), F.col(text).alias("__text"), F.lower(text).alias("__low"), *(c.alias(n) for n, c in (("__key", key), ("__category", category)) if c is not None))
+    rows = rows.select(id_col, F.explode(found).alias("x"), *(n for n, c in (("__key", key), ("__category", category)) if c is not None))
     hints = F.lit(False)
     for n, c, table in (("__key", key, KEY_HINTS), ("__category", category, CATEGORY_HINTS)):
         for t, words in table.items() if c is not None else ():

@@ -123,3 +123,21 @@ def test_names_are_looked_for_in_their_texts_row(spark, monkeypatch):
         monkeypatch.setattr(en, "BROADCAST_BYTES", at_most)
         got = en.dictionary_mentions(docs, "doc_id", "text", known).collect()
         assert sorted((str(r.doc_id), r.name) for r in got) == want
+
+
+def test_texts_without_a_patterns_signs_are_not_searched(spark, monkeypatch):
+    texts = """Dr. Ada Byron|Mrs Eve|Prof Max Planck|Ann Lee reviewed it|Ada Byron's work|ask @ada_1|Acme Works GmbH.|a big inc|work by blue sky TEAM|the red group
+        Use Cloudflare|see lib/x.scss|a/b.yml|x../up/here|tests/unit|__tests__/one|spec/two|index.jsx|load (x)|async function go1|function go2|const f = async (a) => 1|a.bc (d)|useState
+        We DECIDED to go|opted to stay|the decision was no way|THEY shall pass|going With you|chose tea over milk|FIXME: that bug|Need to eat|DELETE files|- [x] done|should be ok
+        ERROR: bad|IoFault|FAILED to run|at a.b (f.js:1:22)|threw an IoError|Couldn't stop|could not wait|the Concept of time|one two Paradigm
+        class Ab|interface Cd|type Ef = 1|extends Gh|implements Ij|MyProps|failed to \\u00a0|failed to   .|nothing here""".replace("\\u00a0", " ")
+    rows = [(i, t.strip()) for i, t in enumerate(texts.replace("\n", "|").split("|"))] + [(-1, None), (-2, "")]
+    docs = spark.createDataFrame(rows + [(1000, " ; ".join(t for _, t in rows if t))], "id bigint, text string")
+    found = lambda: sorted(map(tuple, en.extract(docs, "id", "text").collect()))
+    got = found()
+    assert set(en.NEEDS) == {p for ps in en.PATTERNS.values() for p in ps}
+    for t, ps in en.PATTERNS.items():  # each pattern finds something by itself
+        for p in ps:
+            assert en.extract(docs.filter("id < 1000"), "id", "text", {t: [p]}).limit(1).count() == 1, (t, p)
+    monkeypatch.setattr(en, "NEEDS", {})
+    assert got == found()
