@@ -43,7 +43,8 @@ def entity_confidence(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.expr("text || " + _NOTE.replace("@", "source")).alias("text"))
     found = en.extract(d, "doc_id", "text", _SQL_TYPES, key=F.lit("next_task"), category=F.lit("technical"))
     n = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities"), F.max("confidence").alias("best"))
-    return d.join(n, "doc_id").select("doc_id", "entities", F.round("best", 9).alias("best"), F.round(en.overall_confidence(F.col("entities"), F.length("text")), 9).alias("overall"))
+    size = d.select("doc_id", F.length("text").alias("size"))  # texts themselves don't go into the join
+    return size.join(n, "doc_id").select("doc_id", "entities", F.round("best", 9).alias("best"), F.round(en.overall_confidence(F.col("entities"), F.col("size")), 9).alias("overall"))
 
 
 @query("tech_mentions", r"""SELECT DISTINCT item_id, 'technology' AS kind, lower(n) AS name FROM (SELECT item_id, unnest(regexp_extract_all(t, '(?i)\b(Python|Redis|Go)\b', 1)) AS n FROM (SELECT item_id, 'uses Python and redis or go ' AS t FROM benchmark))""")

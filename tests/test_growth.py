@@ -141,3 +141,29 @@ def test_texts_without_a_patterns_signs_are_not_searched(spark, monkeypatch):
             assert en.extract(docs.filter("id < 1000"), "id", "text", {t: [p]}).limit(1).count() == 1, (t, p)
     monkeypatch.setattr(en, "NEEDS", {})
     assert got == found()
+
+
+def test_texts_are_searched_from_their_signs_on(spark, monkeypatch):
+    rng = random.Random(9)
+    bits = """the we they i Dr. Mr Ada Byron Ann's said fixed Acme Inc GmbH. by from TEAM group company Google a/b.yml src/x lib/ ../up ./q index.ts .ts load ( ) (x) async function go1 const f = => .bc use
+        useState decided opted to decision was will should going with chose over TODO: BUG: NOTE: need add FIX delete - [x] [ ] * Error: IoFault Exception failed at a.b (f.js:1:22) threw an cannot could not couldn't concept
+        of pattern paradigm Paradigm_x class interface type extends implements Ab MyProps XType @ada_1 é ñandú x́y İo Klm words 7 _""".split()
+    ends = [" ", " ", " ", " ", " ", "  ", ".", ". ", "\n", " \n ", ",", "\t", " ", "", "\x0b", "!", "\r\n"]
+    texts = ["".join(rng.choice(bits) + rng.choice(ends) for _ in range(rng.choice([3, 9, 30]))) for _ in range(1500)]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "id bigint, text string").repartition(4)
+    found = lambda: sorted(map(tuple, en.extract(docs, "id", "text").collect()))
+    got = found()
+    needs = [(en.NEEDS[p], s.encode() if (s := en.BREAKS.get(p, " ")) else None) for ps in en.PATTERNS.values() for p in ps]
+    monkeypatch.setattr(en, "NEEDS", {})
+    assert got == found() and {r[1] for r in got} == set(en.PATTERNS)
+    prose = "Many plain words of one text. " * 500
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([prose + "It failed to parse", None, prose, ""])], ["id", "__text"])
+    rows = [tuple(r.values()) for out in en._searched(needs)(iter([batch])) for r in out.to_pylist()]
+    assert [(i, text) for i, _, text in rows] == [(1, "failed to parse")]  # not 15,000 characters for each pattern
+
+
+def test_texts_are_not_joined(spark, sf):
+    from engram.plans import text as tx
+
+    plan = tx.entity_confidence(spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert [line.strip(" :+-")[:7] for line in plan.toString().split("\n") if "length(" in line and " AS size#" in line] == ["Project"]
