@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from engram import session
 from engram.operators import greedy as gd
 from engram.operators import state as st
 
@@ -61,3 +62,32 @@ def test_packed_lines(spark):
     long = spark.createDataFrame([("f", "line of text\n" * 20_000)], "file_path string, content string")
     rows = gd.packed_lines(long).orderBy("part").collect()
     assert [(r.first_line, r.last_line) for r in rows[:2]] == [(1, 2463), (2460, 4924)] and rows[-1].last_line == 20_001
+
+
+def test_ranges_and_joins_are_dealt_by_rows(spark, monkeypatch):
+    """A range has about ROWS rows however many there are; rows are broadcast by their own size, not that of their files."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice(["a", None]), i, rng.randrange(4000)) for i in range(800)], "k string, event_id bigint, ms bigint")
+    seen, plans, own = [], [], gd.materialize
+
+    def written(rows, name):
+        out = own(rows, name)
+        if name == "ranged":
+            seen.append(out.groupBy("_range").count().agg(F.max("count")).first()[0])
+        elif name in ("jump", "marked"):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(gd, "materialize", written)
+    monkeypatch.setattr(gd, "ROWS", 25, raising=False)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    order = lambda r: (str(r.k), r.ms, r.event_id)
+    got = gd.accepted(df, "k", 90)
+    want = st.sequential(df.withColumn("accepted", F.lit(True)).drop("accepted"), "k", ["ms", "event_id"], st.dedup_step(90))
+    assert sorted(map(tuple, sorted(got.collect(), key=order)), key=str) == sorted(map(tuple, sorted(want.collect(), key=order)), key=str)
+    assert len(seen) == 2 and max(seen) <= 75  # not 400, a fourth of values and bounds
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans[2:])
+    monkeypatch.undo()
+    wide = own(spark.createDataFrame([(("x" * 900,), i) for i in range(9)], "k struct<k: string>, pos bigint"), "wide")
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 8_000)
+    assert session.broadcast_if_small(wide) is wide  # what is in a struct counts
