@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
+from engram.session import materialize
 
 K1, B = 1.5, 0.75
 #: Mode weights of the search profiles, and the words that choose one, in order.
@@ -254,6 +255,11 @@ def resolved_weights(query: str, weights: dict[str, float] | None = None, profil
     return causal_boost(base, "why" if direction else query)
 
 
+def _of(rows: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
+    """The rows of a short list's ids."""
+    return rows.join(F.broadcast(hits.select(id_col)), id_col, "left_semi")
+
+
 def hybrid(query: str, lists: dict[str, DataFrame], *, weights: dict[str, float] | None = None, profile: str | None = None, direction: str | None = None, modes: list[str] | None = None, ages: DataFrame | None = None,
            texts: DataFrame | None = None, rerank=None, threshold: float = 0.0, limit: int = 10, id_col: str = "doc_id") -> DataFrame:
     """(id, score, rank): the modes' hits fused. ``lists``: mode -> (id, score), of which the first 2 * ``limit`` count.
@@ -269,14 +275,16 @@ def hybrid(query: str, lists: dict[str, DataFrame], *, weights: dict[str, float]
     used = {m: ranked(top(df.select(id_col, "score"), 2 * limit, id_col), id_col) for m, df in lists.items() if shares.get(m) and (modes is None or m in modes)}
     if not used:
         raise ValueError("no list of a mode that has a weight")
-    fused = rrf(used, shares, id_col)
+    # a few rows, written once: they go to the ages and texts, which stay where they are, and nothing above runs again
+    fused = materialize(rrf(used, shares, id_col), "fused")
     if ages is not None:
-        fused = fused.join(ages.select(id_col, "days"), id_col, "left")
+        fused = fused.join(_of(ages.select(id_col, "days"), fused, id_col), id_col, "left")
         fused = fused.select(id_col, F.when(F.col("days").isNull(), F.col("score")).otherwise(sc.temporal_boost(F.col("score"), F.col("days"))).alias("score"))
     fused = fused.select(id_col, F.round("score", 9).alias("score"))
     if rerank is not None and texts is not None:
-        short = top(fused, 2 * limit, id_col).join(texts.select(id_col, "text"), id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
-        fused = hk.reranked(short, query, rerank, "text", id_col, 2 * limit).select(id_col, "score")
+        short = materialize(top(fused, 2 * limit, id_col), "short")
+        short = short.join(_of(texts.select(id_col, "text"), short, id_col), id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
+        fused = hk.reranked(materialize(short, "texts"), query, rerank, "text", id_col, 2 * limit).select(id_col, "score")
     return ranked(top(fused.filter(F.col("score") >= threshold), limit, id_col), id_col)
 
 

@@ -112,10 +112,11 @@ _MODES = (
 def _hybrid(spark, sf, **options):
     docs, li = table(spark, sf, "documents"), table(spark, sf, "lineitem")
     query_text = "why the thing failed"
+    size = docs.select("doc_id", F.length("text").alias("size"))  # texts themselves don't go into the join
     lists = {
         "keyword": ix.bm25(spark, ix.of_table(spark, f"{sf}/documents.parquet", "doc_id", {"text": 1.0}), query_text),
         "semantic": ve.search(table(spark, sf, "embeddings"), _Q, 40).withColumnRenamed("vec_id", "doc_id"),
-        "graph": docs.join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", (1.0 / F.length("text")).alias("score")),
+        "graph": size.join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.when(F.col("size") == 0, float("inf")).otherwise(1.0 / F.col("size")).alias("score")),
         "causal": li.filter("l_suppkey % 20 = 0").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.max("l_discount").alias("score")),
     }
     ages = events(spark, sf).select(F.col("event_id").alias("doc_id"), ((F.lit(NOW_MS) - F.col("ms")) / 86_400_000).alias("days"))

@@ -1,10 +1,13 @@
 """Gates, scores after accesses, facts, mentions and the soak monitor on small tables with nulls, gaps and empty ones."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import entities as en
 from engram.operators import commits as cm
+from engram.operators import index as ix
 from engram.operators import lifecycle as lc
 from engram.operators import scoring as sc
 from engram.operators import search as se
@@ -83,6 +86,50 @@ def test_hybrid_edges(spark):
     assert [r.doc_id for r in se.hybrid("text", {"keyword": a}, texts=texts, rerank=lambda q, ts: None, limit=2).collect()] == [0, 1]
 
 
+def test_texts_come_to_the_short_list(spark, monkeypatch):
+    lists = {"keyword": spark.range(300).select(F.col("id").alias("doc_id"), (1 / (F.col("id") + 1)).alias("score"))}
+    texts = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text")).unionByName(spark.createDataFrame([(3, "y" * 90)], "doc_id bigint, text string"))
+    ages = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1.0).alias("days"))
+    plans = {}
+    monkeypatch.setattr(se, "materialize", lambda df, name, own=se.materialize: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or own(df, name))
+    found = se.hybrid("text", lists, ages=ages, texts=texts, rerank=lambda q, ts: [float(len(t)) for t in ts], limit=4)
+    assert [(r.doc_id, r.score) for r in found.collect()] == [(3, 90.0), (7, 7.0), (6, 6.0), (5, 5.0)]
+    assert "Range (0, 300" not in found._jdf.queryExecution().optimizedPlan().toString()  # the lists are read once
+    for name, table in (("texts", "Range (0, 500"), ("short", "Range (0, 400")):  # the short list goes to the table, not the table to a shuffle
+        assert table in plans[name] and "Join LeftSemi" in plans[name].split(table)[0] and "strategy=broadcast" in plans[name]
+
+
+def test_hybrid_with_an_empty_text(spark, sf, tmp_path):
+    import duckdb
+
+    from engram import registry
+
+    con = duckdb.connect()
+    empty = "REPLACE (CASE WHEN doc_id IN (SELECT min(doc_id) FROM labels WHERE quality = 1) THEN '' ELSE text END AS text)"
+    for t in ("lineitem", "labels", "embeddings", "events", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * {empty if t == 'documents' else ''} FROM '{sf}/{t}.parquet'")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    assert con.execute("SELECT count(*) FROM documents WHERE text = ''").fetchone() == (1,)
+    for name in ("hybrid_modes", "hybrid_reranked"):
+        found = con.execute(registry.oracle_sql()[name])
+        columns = [d[0] for d in found.description]
+        got = registry.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+
+
+def test_an_index_that_was_cleared_away_is_built_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "shared_dir", lambda spark: f"file://{tmp_path}")
+    spark.createDataFrame([(1, "a thing"), (2, "a b")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = lambda: ix.of_table(spark, f"{tmp_path}/documents.parquet", "doc_id", {"text": 1.0})
+    found = lambda: [r.doc_id for r in ix.bm25(spark, own(), "thing").collect()]
+    assert found() == [1] and own() == own()
+    first = own().path
+    for cleared in (f"{first}/figures", own().path):
+        shutil.rmtree(cleared.removeprefix("file://"))
+        assert found() == [1]
+    assert own().path != first
+
+
 def test_ids_rise_within_a_tick(spark):
     df = spark.createDataFrame([(i, 1000 + (i * 7) % 3) for i in range(60)], "event_id bigint, ms bigint").repartition(4)
     rows = sorted(map(tuple, cm.with_ids(df, "event_id").select("ms", "event_id", "id").collect()))
