@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
@@ -37,6 +38,33 @@ def test_overlaps_are_dealt_by_pairs(spark, monkeypatch):
     assert none.columns == ["f", "a_id", "a1", "a2", "b_id", "b1", "b2"] and none.count() == 0
 
 
+def test_equal_spans_go_to_their_partners_together(spark, monkeypatch):
+    rows = [(1, i, None if i % 7 == 0 else f"n{i % 3}", i % 4, i % 4 + i % 3) for i in range(150)] * 2  # twelve spans
+    s = spark.createDataFrame(rows, "f int, id int, name string, a1 int, a2 int")
+    t = s.select("f", F.col("a1").alias("b1"), F.col("a2").alias("b2"))  # nothing but spans
+    want = sorted(str((x[0], x[1], x[2], x[3], x[4], y[3], y[4])) for x in rows for y in rows if x[3] <= y[4] and y[3] <= x[4])
+    for held in (dg.ROWS, 40):
+        monkeypatch.setattr(dg, "ROWS", held)
+        monkeypatch.setattr(dg, "FEW", 3)
+        monkeypatch.setattr(dg, "MANY", 5)
+        got = dg.overlap_join(s, t, ("a1", "a2"), ("b1", "b2"), "f", width=2)
+        assert got.columns == ["f", "id", "name", "a1", "a2", "b1", "b2"] and sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_equal_spans_are_not_shuffled_for_each_piece(spark, monkeypatch):
+    monkeypatch.setattr(dg, "SPANS", 100)
+    s = spark.range(6_000).select(F.lit(1).alias("f"), F.col("id").alias("a_id"), (F.col("id") % 4).alias("a1"), (F.col("id") % 4 + F.col("id") % 3).alias("a2"))
+    t = s.select("f", F.col("a_id").alias("b_id"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
+
+    def written() -> int:
+        time.sleep(1)  # figures come a little later
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert dg.overlap_join(s, t, ("a1", "a2"), ("b1", "b2"), "f", width=8).limit(1).count() == 1
+    assert written() - before < 1 << 20  # 60 copies of each row have several times as much
+
+
 def test_searches_hold_blocks_not_all_pairs(monkeypatch):
     rng = np.random.default_rng(8)
     q, x = rng.normal(size=(3_000, 4)), rng.normal(size=(10_000, 4))
